@@ -30,7 +30,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in SESSION_CONF.items():
         builder = builder.config(k, v)
