@@ -83,3 +83,4 @@ def permits(spark: SparkSession, sf_dir: str) -> DataFrame:
 from trenchline.plans import queries_daily  # noqa: E402,F401
 from trenchline.plans import queries_rankings  # noqa: E402,F401
 from trenchline.plans import queries_table  # noqa: E402,F401
+from trenchline.plans import queries_text  # noqa: E402,F401
