@@ -40,6 +40,21 @@ def _scope(permits: DataFrame, start=None, end=None, emergency_only: bool = Fals
     return p.where(F.col("is_emergency")) if emergency_only else p
 
 
+def clean_distinct(df: DataFrame, raw: str, dst: str = "name", carry: dict | None = None) -> DataFrame:
+    """Clean ``raw`` once per distinct value: ``raw, dst`` (+ carried aggregates).
+
+    ``df`` must already hold one row per ``raw`` value.  The cleaned name
+    leaves through an aggregate keyed by the raw name, so it is an aggregate
+    *output*: a later filter on it (e.g. "non-empty") cannot be pushed below
+    this point, which would otherwise move the whole rule chain into the
+    permit scan and run it once per permit instead of once per name.  The
+    input is already partitioned by ``raw``, so the barrier adds no shuffle.
+    """
+    cleaned = with_clean_name(df, raw, dst)
+    aggs = [F.max(dst).alias(dst)] + [F.max(c).alias(a) for a, c in (carry or {}).items()]
+    return cleaned.groupBy(raw).agg(*aggs)
+
+
 def _top(counts: DataFrame, k: int, count_col: str, name_col: str) -> DataFrame:
     """Global top-k with an explicit rank (TakeOrderedAndProject, then rank on k rows)."""
     top = counts.orderBy(F.col(count_col).desc(), F.col(name_col).asc_nulls_first()).limit(k)
@@ -66,7 +81,7 @@ def leaderboard(
     p = _scope(permits, start, end, emergency_only).where(_has_last_name())
     counts = p.groupBy(contractor_name().alias("contractor_name")).agg(F.count(F.lit(1)).alias("count"))
     if merge_names:
-        cleaned = with_clean_name(counts, "contractor_name", "name")
+        cleaned = clean_distinct(counts, "contractor_name", "name", carry={"count": "count"})
         merged = cleaned.groupBy("name").agg(F.sum("count").cast("bigint").alias("count")).where(F.col("name") != F.lit(""))
         return _top(merged, k, "count", "name").select("rank", "name", "count")
     top = counts.orderBy(F.col("count").desc(), F.col("contractor_name").asc()).limit(k)
@@ -85,7 +100,7 @@ def leaderboard_by_day(
     )
     if merge_names:
         names = counts.select("contractor_name").distinct()
-        lookup = with_clean_name(names, "contractor_name", "name")
+        lookup = clean_distinct(names, "contractor_name", "name")
         counts = (
             counts.join(lookup, "contractor_name")
             .groupBy(DAY, "name")
