@@ -70,12 +70,32 @@ def day_spine(counts: DataFrame, start=None, end=None, lookback_days: int = 0) -
     return base.select(F.explode(F.sequence(lo, hi, F.expr("INTERVAL 1 DAY"))).alias(DAY))
 
 
+def dense_days(counts: DataFrame, value_cols: list[str]) -> DataFrame:
+    """Per-day rows -> every calendar day from the first to the last, with
+    ``value_cols`` null on the days that had no row.
+
+    Each day row is expanded up to the day before the next one (``lead`` over
+    the per-day table, which holds one row per calendar day at most), so the
+    gaps are filled without a min/max pass or a join: the permit scan behind
+    ``counts`` runs once.
+    """
+    nxt = F.lead(DAY).over(Window.orderBy(DAY))
+    seg = counts.select(DAY, *value_cols, nxt.alias("_next"))
+    upto = F.coalesce(F.date_sub(F.col("_next"), 1), F.col(DAY))
+    filled = seg.select(F.explode(F.sequence(F.col(DAY), upto, F.expr("INTERVAL 1 DAY"))).alias("_d"), DAY, *value_cols)
+    first = F.col("_d") == F.col(DAY)
+    return filled.select(F.col("_d").alias(DAY), *[F.when(first, F.col(c)).alias(c) for c in value_cols])
+
+
 def daily_series(permits: DataFrame, start=None, end=None) -> DataFrame:
     """``date, regular_tickets, emergency_tickets`` for every day of the range,
     zero on days without permits (the chart input)."""
     counts = daily_counts(permits, start, end)
-    spine = day_spine(counts, start, end)
-    return spine.join(counts, DAY, "left").select(
+    if start is None and end is None:
+        days = dense_days(counts, ["total_permits", "emergency_permits"])
+    else:
+        days = day_spine(counts, start, end).join(counts, DAY, "left")
+    return days.select(
         F.col(DAY).alias("date"),
         (F.coalesce("total_permits", F.lit(0)) - F.coalesce("emergency_permits", F.lit(0))).alias("regular_tickets"),
         F.coalesce("emergency_permits", F.lit(0)).alias("emergency_tickets"),
@@ -149,15 +169,19 @@ def weekday_comparison(
         counts = counts.where((F.col(DAY) >= lo) if lo is not None else F.lit(True))
         if end is not None:
             counts = counts.where(F.col(DAY) <= as_date(end))
-    spine = day_spine(counts, start, end, lookback_days=window_days if start is not None else 0)
-    hist = counts
+    if start is None and end is None:
+        days = dense_days(counts, ["total_permits", "emergency_permits"])
+    else:
+        spine = day_spine(counts, start, end, lookback_days=window_days if start is not None else 0)
+        days = spine.join(counts, DAY, "left")
+    h_total, h_emergency = F.col("total_permits"), F.col("emergency_permits")
     if holidays is not None:
-        hist = counts.join(holidays.select(F.col(DAY).cast("date").alias(DAY)), DAY, "left_anti")
-    days = spine.join(counts, DAY, "left").join(
-        hist.select(DAY, F.col("total_permits").alias("h_total"), F.col("emergency_permits").alias("h_emergency")),
-        DAY,
-        "left",
-    )
+        # holiday days stay in the output but leave the history (null -> AVG skips)
+        flags = holidays.select(F.col(DAY).cast("date").alias(DAY)).distinct().withColumn("_holiday", F.lit(True))
+        days = days.join(flags, DAY, "left")
+        h_total = F.when(F.col("_holiday").isNull(), h_total)
+        h_emergency = F.when(F.col("_holiday").isNull(), h_emergency)
+    days = days.withColumn("h_total", h_total).withColumn("h_emergency", h_emergency)
     w = Window.partitionBy(F.dayofweek(DAY)).orderBy(F.unix_date(DAY)).rangeBetween(-window_days, -1)
     with_hist = days.select(
         DAY,
