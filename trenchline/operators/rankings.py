@@ -49,8 +49,14 @@ def clean_distinct(df: DataFrame, raw: str, dst: str = "name", carry: dict | Non
     this point, which would otherwise move the whole rule chain into the
     permit scan and run it once per permit instead of once per name.  The
     input is already partitioned by ``raw``, so the barrier adds no shuffle.
+
+    The rows are hash-partitioned by ``raw`` over the session's shuffle
+    partitions first: the rule chain is CPU-heavy per row, and without an
+    explicit partition count AQE would coalesce a few thousand small rows
+    into one task.
     """
-    cleaned = with_clean_name(df, raw, dst)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cleaned = with_clean_name(df.repartition(n, raw), raw, dst)
     aggs = [F.max(dst).alias(dst)] + [F.max(c).alias(a) for a, c in (carry or {}).items()]
     return cleaned.groupBy(raw).agg(*aggs)
 
@@ -112,7 +118,9 @@ def leaderboard_by_day(
     top = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     if merge_names:
         return top.select(DAY, F.col("_r").alias("rank"), F.col("contractor_name").alias("name"), "count")
-    cleaned = with_clean_name(top, "contractor_name", "name").where(F.col("name") != F.lit(""))
+    # clean each distinct name of the top rows once, then join back
+    lookup = clean_distinct(top.select("contractor_name").distinct(), "contractor_name", "name")
+    cleaned = top.join(lookup, "contractor_name").where(F.col("name") != F.lit(""))
     return cleaned.select(DAY, F.row_number().over(w).alias("rank"), "name", "count")
 
 
@@ -179,4 +187,6 @@ def normalize_names(permits: DataFrame, column: str = "contact_last_name") -> Da
     names = permits.where(F.col(column).isNotNull() & (F.col(column) != F.lit(""))).groupBy(
         F.col(column).alias("raw_name")
     ).agg(F.count(F.lit(1)).alias("frequency"))
-    return with_clean_name(names, "raw_name", "clean_name").select("raw_name", "clean_name", "frequency")
+    return clean_distinct(names, "raw_name", "clean_name", carry={"frequency": "frequency"}).select(
+        "raw_name", "clean_name", "frequency"
+    )
