@@ -81,3 +81,18 @@ def test_normalize_edge_values(spark):
 def test_export_then_conform_roundtrip(spark, permits_small):
     back = normalize.conform(normalize.to_export(permits_small))
     assert back.exceptAll(permits_small).count() == 0 and permits_small.exceptAll(back).count() == 0
+
+
+def test_unchanged_batch_commits_nothing_and_inputs_are_checked(spark):
+    from trenchline.operators import daily, geo, quality
+
+    t = table.PermitTable(spark, scratch_path(spark, "t2"))
+    table.full_refresh(t, normalize.conform(api_batch(spark, ["A"])), now="2024-01-01 00:00:00")
+    empty = normalize.conform(api_batch(spark, []))
+    v, rep = table.apply_batch(t, empty)
+    assert v is None and rep.first().inserts == 0 and t.versions() == [1]
+    bad = spark.createDataFrame([("x", 1.0)], "dig_date string, latitude double")
+    with pytest.raises(quality.DataValidationError):
+        geo.map_points(bad)
+    with pytest.raises(quality.DataValidationError):
+        daily.daily_series(bad)

@@ -90,6 +90,9 @@ def dense_days(counts: DataFrame, value_cols: list[str]) -> DataFrame:
 def daily_series(permits: DataFrame, start=None, end=None) -> DataFrame:
     """``date, regular_tickets, emergency_tickets`` for every day of the range,
     zero on days without permits (the chart input)."""
+    from trenchline.operators.quality import TIMESTAMPS, require_columns
+
+    require_columns(permits, {"dig_date": TIMESTAMPS, "is_emergency": ("boolean",)})
     counts = daily_counts(permits, start, end)
     if start is None and end is None:
         days = dense_days(counts, ["total_permits", "emergency_permits"])

@@ -26,6 +26,9 @@ def map_points(permits: DataFrame, start=None, end=None, box=VALID_BOX) -> DataF
     """G1: ``day, layer, dig_ticket_number, latitude, longitude`` for permits
     with a location inside the box; layer is 'emergency' or 'regular'.
     The day filter and the box reach the Parquet scan as pushed predicates."""
+    from trenchline.operators.quality import NUMERIC, TIMESTAMPS, require_columns
+
+    require_columns(permits, {"latitude": NUMERIC, "longitude": NUMERIC, "dig_date": TIMESTAMPS, "is_emergency": ("boolean",)})
     cond = day_range_filter("dig_date", start, end)
     p = permits if cond is None else permits.where(cond)
     return p.where(valid_location(box)).select(

@@ -57,6 +57,22 @@ def quality_gate(df: DataFrame, min_rows: int = MIN_ROWS_DAILY_UPDATE, key: str
     )
 
 
+def require_columns(df: DataFrame, columns: dict[str, tuple[str, ...]]) -> None:
+    """Fail fast (no Spark job) when an input lacks a column or has a
+    column of the wrong kind; ``columns`` maps name -> accepted type names."""
+    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    missing = [c for c in columns if c not in types]
+    if missing:
+        raise DataValidationError(f"missing columns: {missing}")
+    wrong = {c: types[c] for c, ok in columns.items() if ok and types[c] not in ok}
+    if wrong:
+        raise DataValidationError(f"columns of the wrong type: {wrong}")
+
+
+NUMERIC = ("double", "float", "long", "integer", "short", "decimal")
+TIMESTAMPS = ("timestamp_ntz", "timestamp", "date")
+
+
 def enforce_gate(gate: DataFrame) -> dict:
     """Run the gate (one small action) and raise when it fails."""
     row = gate.first().asDict()

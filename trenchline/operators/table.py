@@ -172,19 +172,26 @@ def merge_report(existing: DataFrame, batch: DataFrame, key: str = KEY, broadcas
         probe = F.broadcast(probe)
     hits = existing.select(key).join(probe, key, "left_semi").distinct().withColumn("_hit", F.lit(True))
     return bk.join(hits, key, "left").agg(
-        F.sum("_copies").cast("bigint").alias("batch_rows"),
+        F.coalesce(F.sum("_copies"), F.lit(0)).cast("bigint").alias("batch_rows"),
         F.count_if(F.col("_hit").isNull()).alias("inserts"),
         F.count_if(F.col("_hit").isNotNull()).alias("updates"),
     )
 
 
-def apply_batch(table: PermitTable, batch: DataFrame, now=None, order: tuple[str, ...] = ("arrival",)) -> tuple[int, DataFrame]:
+def apply_batch(
+    table: PermitTable, batch: DataFrame, now=None, order: tuple[str, ...] = ("arrival",)
+) -> tuple[int | None, DataFrame]:
     """Merge ``batch`` into the current version and commit the result as the
-    next version; returns (version, report)."""
+    next version; returns (version, report).  A batch that neither inserts
+    nor replaces a ticket commits nothing (version None), as the daily job
+    stops when nothing changed."""
     existing = table.read()
     report = merge_report(existing, batch).collect()  # one row
+    rep = table.spark.createDataFrame(report, "batch_rows bigint, inserts bigint, updates bigint")
+    if report[0]["inserts"] + report[0]["updates"] == 0:
+        return None, rep
     v = table.commit(upsert(existing, batch, now, order=order))
-    return v, table.spark.createDataFrame(report)
+    return v, rep
 
 
 def recent_permits(permits: DataFrame, as_of=None, days: int = 30) -> DataFrame:

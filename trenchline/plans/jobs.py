@@ -69,10 +69,13 @@ def daily_update(
 def full_refresh_job(
     spark: SparkSession, target: table.PermitTable, csv_path: str, now=None, min_rows: int = quality.MIN_ROWS_FULL_REFRESH
 ) -> int:
-    """Bulk CSV -> conform -> gate -> new table version (old one stays)."""
+    """Bulk CSV -> conform -> gate -> new table version (old one stays);
+    the stored version is counted back and gated again (A9)."""
     permits = normalize.conform(files.read_permits_csv(spark, csv_path))
     quality.enforce_gate(quality.quality_gate(permits, min_rows=min_rows))
-    return table.full_refresh(target, permits, now=now)
+    version = table.full_refresh(target, permits, now=now)
+    quality.enforce_gate(quality.quality_gate(target.read(version), min_rows=min_rows))
+    return version
 
 
 def random_permit_posts(permits: DataFrame, stored_pages: DataFrame | None = None, seed: int = 42, start=None, end=None) -> DataFrame:

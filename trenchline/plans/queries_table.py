@@ -134,7 +134,7 @@ def q_upsert(spark, sf):
     "merge_report",
     with_permits(
         """
-select cast(sum(copies) as bigint) as batch_rows,
+select cast(coalesce(sum(copies), 0) as bigint) as batch_rows,
        cast(count(*) filter (where e.dig_ticket_number is null) as bigint) as inserts,
        cast(count(*) filter (where e.dig_ticket_number is not null) as bigint) as updates
 from (select dig_ticket_number, count(*) as copies from batch group by 1) bk
