@@ -55,6 +55,17 @@ def permits_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def permits_scaled(spark: SparkSession, sf_dir: str, factor: int) -> DataFrame:
+    """B1 multiplied ``factor`` times by ticket offset (measurement input).
+
+    Every copy keeps its day, customer and contractor, so per-day and
+    per-contractor groups grow ``factor``-fold: the same hot keys, bigger."""
+    base = permits_from_tpch(spark, sf_dir)
+    out = base.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(factor - 1).cast("bigint"))))
+    ticket = (F.col("dig_ticket_number").cast("bigint") + F.col("_copy") * F.lit(10_000_000_000)).cast("string")
+    return out.withColumn("dig_ticket_number", ticket).withColumn("permit_number", F.concat(F.lit("P"), ticket)).drop("_copy")
+
+
 def _last_name(cust: Column) -> Column:
     r = cust % 8
     return (
