@@ -150,15 +150,6 @@ def _capitalize(s: Column) -> Column:
     return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 1 << 30)))
 
 
-def _expand_word(w: Column) -> Column:
-    """Rule 7: whole-word expansion (first pattern that matches)."""
-    expanded = None
-    for pat, repl in WORD_REPLACEMENTS:
-        cond = w.rlike("^(?:" + pat + ")$")
-        expanded = F.when(cond, F.lit(repl)) if expanded is None else expanded.when(cond, F.lit(repl))
-    return expanded.otherwise(w)
-
-
 def _case_word(v: Column, i: Column) -> Column:
     """Rule 8: capitalisation of the word at position i."""
     listed = v.isin(list(WORD_CAPITALIZATIONS))
@@ -212,8 +203,15 @@ def with_clean_name(df: DataFrame, src: str, dst: str = "clean_name") -> DataFra
     n6 = F.regexp_replace(F.replace(n6, F.lit("&"), F.lit(" & ")), _WS_RUN, " ")
     df = df.withColumn(t + "n6", n6)
     # 7-8. per-word expansion and capitalisation, with the word position
-    words = F.split(F.trim(F.col(t + "n6")), " ", -1)
-    df = df.withColumn(t + "n7", F.transform(words, _expand_word))
+    # 7. whole-word expansions as whole-string replacements: after step 6 the
+    # words are separated by single blanks, so "whole word" = between blanks
+    # or string ends (a compiled regex per target, no per-word lambda)
+    n7 = F.trim(F.col(t + "n6"))
+    for repl in dict.fromkeys(r for _, r in WORD_REPLACEMENTS):
+        alts = "|".join(p for p, r in WORD_REPLACEMENTS if r == repl)
+        n7 = F.regexp_replace(n7, "(?<=^| )(?:" + alts + ")(?= |$)", repl)
+    df = df.withColumn(t + "n7", F.split(n7, " ", -1))
+    # 8. capitalisation needs the word and its position
     df = df.withColumn(t + "n8", F.array_join(F.transform(F.col(t + "n7"), _case_word), " "))
     # 9. assemble
     general = F.trim(F.concat(F.col(t + "n8"), F.col(t + "bs"), F.col(t + "keep")))
