@@ -112,18 +112,27 @@ def profile_values(df: DataFrame, max_distinct: int = PROFILE_MAX_DISTINCT, top:
     linear-counting range (rsd 0.05: 512 registers, estimate m*ln(m/V) with
     V >= m - max_distinct empty registers) and cannot report more than
     ~max_distinct, so a cut at 2x max_distinct never drops a qualifying
-    column; the candidates are then counted exactly.  High-cardinality columns (ticket
-    numbers, coordinates) are never exploded into value rows.
+    column; the candidates are then counted exactly, one grouped count per
+    column.  High-cardinality columns (ticket numbers, coordinates) are never
+    grouped by value.
     """
     cols = df.columns
     approx = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"a{i}") for i, c in enumerate(cols)]).first()
     cand = [c for i, c in enumerate(cols) if approx[f"a{i}"] <= 2 * max_distinct]
     if not cand:
         return df.sparkSession.createDataFrame([], "column_name string, value string, frequency bigint, rank bigint")
-    pairs = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cand])).alias("p")
-    ).select("p.*")
-    counts = pairs.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("frequency"))
+    # one grouped count per candidate column, unioned: each reads one column
+    # and shrinks to a handful of rows before its shuffle (no row explosion)
+    parts = [
+        df.where(F.col(f"`{c}`").isNotNull())
+        .groupBy(F.col(f"`{c}`").cast("string").alias("value"))
+        .agg(F.count(F.lit(1)).alias("frequency"))
+        .select(F.lit(c).alias("column_name"), "value", "frequency")
+        for c in cand
+    ]
+    counts = parts[0]
+    for part in parts[1:]:
+        counts = counts.unionByName(part)
     per_col = Window.partitionBy("column_name")
     ranked = counts.withColumn("n_distinct", F.count(F.lit(1)).over(per_col)).where(F.col("n_distinct") <= max_distinct)
     w = Window.partitionBy("column_name").orderBy(F.col("frequency").desc(), F.col("value").asc())
