@@ -8,7 +8,6 @@ test run) do we create one.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -66,11 +65,3 @@ def apply_session_conf(spark: SparkSession) -> None:
             spark.conf.set(k, v)
         except Exception:  # static conf on a shared session: leave as is
             pass
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def is_local(path: str) -> bool:
-    return path.startswith("file:") or os.path.isabs(path)
