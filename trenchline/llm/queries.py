@@ -44,3 +44,20 @@ def op10_simple8b_files(spark, sf_dir):
     path = scratch_path(spark, "token_files")
     write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return decoded_digest(read_token_files(spark, path))
+
+
+@register
+def op4_decision_list(spark, sf_dir):
+    """Text statistics and the verdict of the learned rules for all documents."""
+    from trenchline.llm.decision_list import quality_verdicts
+
+    out = quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register
+def op5_minhash_join(spark, sf_dir):
+    """Near-duplicate class and number of links of every document (five-word shingles, 0.8)."""
+    from trenchline.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
