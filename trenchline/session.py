@@ -8,6 +8,7 @@ test run) do we create one.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -35,6 +36,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -47,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all nodes share")
         configured = tempfile.mkdtemp(prefix="trenchline-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -58,8 +62,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/trenchline-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from the driver's path.
+
+    Enough where workers share that path (local mode, a shared install); on
+    other clusters the package is shipped with ``--py-files`` as usual."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH", "")]))
+
+
 def apply_session_conf(spark: SparkSession) -> None:
     """Pin the SQL settings the operators assume (idempotent)."""
+    ship_package(spark)
     for k, v in SESSION_CONF.items():
         try:
             spark.conf.set(k, v)
