@@ -61,3 +61,20 @@ def op5_minhash_join(spark, sf_dir):
     from trenchline.llm.jaccard_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+
+
+@register
+def op6_spotsigs(spark, sf_dir):
+    """SpotSigs fingerprints of all documents and their edited texts."""
+    from trenchline.llm.spotsigs import fingerprint_with_edits
+
+    return fingerprint_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register
+def op7_toxic_crf(spark, sf_dir):
+    """Toxicity score of all documents, learned outside the held-out fold."""
+    from trenchline.llm.toxic_crf import held_out, toxicity
+
+    out = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
