@@ -13,8 +13,8 @@ work); the last uses 128 bits.  A text with thousands of copies sends its
 windows once per block.
 
 Null text: no words.  Copies lose all words in repeated windows, the first
-copy included.  Documents shorter than the window keep every word unless a
-window cannot fit, i.e. always.  Repeated rows are documents of their own.
+copy included.  Documents shorter than the window keep every word.  Repeated
+rows are documents of their own.
 An empty table gives no rows.  Input columns named like an output column
 (n_words, n_removed, kept_text) give way to it.
 """
@@ -205,7 +205,5 @@ def remove_repeats(docs: DataFrame, window: int = 35, start: int = 9, block_byte
         cols += [pa.array(np.diff(block.ends)), pa.array(np.diff(removed)), pa.array(texts, pa.string())]
         yield from pa.Table.from_arrays([pa.chunked_array([c]) if isinstance(c, pa.Array) else c for c in cols], names=out_names).to_batches()
 
-    if not (total and lengths):
-        pass
     final = blocks.join(state.select("block_id", "mask"), "block_id", "left")
     return B.per_block(final, cut_words, schema)

@@ -78,3 +78,11 @@ def op7_toxic_crf(spark, sf_dir):
 
     out = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register
+def op2_elias_fano_lm(spark, sf_dir):
+    """Language-model scores of all documents from sharded Elias-Fano bigram tries."""
+    from trenchline.llm.ngram_trie import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
