@@ -86,3 +86,12 @@ def op2_elias_fano_lm(spark, sf_dir):
     from trenchline.llm.ngram_trie import score_documents
 
     return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register
+def op8_gumbel_pieces(spark, sf_dir):
+    """Two distinct sampled segmentations of every document, coded and decoded."""
+    from trenchline.llm.gumbel_pieces import sample_segmentations
+
+    out = sample_segmentations(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", F.crc32("ids").alias("ids_crc32"), "decodes")
