@@ -95,3 +95,11 @@ def op8_gumbel_pieces(spark, sf_dir):
 
     out = sample_segmentations(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", F.crc32("ids").alias("ids_crc32"), "decodes")
+
+
+@register
+def op3_boosted_html(spark, sf_dir):
+    """Main text of all pages."""
+    from trenchline.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
