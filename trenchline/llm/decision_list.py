@@ -1,7 +1,6 @@
 """Quality rules: a decision list learned by sequential covering.
 
-Text statistics of all documents are computed once.  On a bounded sample of
-labelled rows, rules that reject low quality are grown (threshold conditions
+On a bounded sample of labelled documents, rules that reject low quality are grown (threshold conditions
 added by FOIL gain on two thirds of the rows) and pruned (last conditions
 dropped while that raises (p - n) / (p + n) on the other third).  Rules that
 stay precise are kept in order and emitted as one Spark ``when`` chain.
@@ -22,14 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trenchline.llm.common import landed
-from trenchline.llm.words import coded_words, joined, lengths_to_offsets, pieces, tune
+from trenchline.llm.words import coded_words, joined, lengths_to_offsets, pieces, schema_of, tune
 
 #: most labelled rows that the rules are learned from (least hash of doc_id first)
 SAMPLE_ROWS = 20_000
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_upper", "n_digits", "n_marks", "n_lines", "n_letters"]
-STATS = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in COUNTS]])
 # name -> (numerator, denominator); the features that rules may test
 RATIOS = {
     "symbols_per_word": ("n_symbols", "n_words"),
@@ -86,17 +83,18 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """row_key (hash of doc_id and text), doc_id and counts of every text."""
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """All rows with the counts of their text; input columns named like a count give way to it."""
     tune(docs.sparkSession)
-    source = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = schema_of(docs, [(c, T.LongType()) for c in COUNTS])
+    carry = [f.name for f in schema.fields[: -len(COUNTS)]]
 
     def run(batches):
         for batch in pieces(batches):
             counts = text_counts(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), *[pa.array(counts[c].astype(np.int64)) for c in COUNTS]], names=STATS.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], *[pa.array(counts[c].astype(np.int64)) for c in COUNTS]], names=schema.names)
 
-    return source.mapInArrow(run, STATS)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def features(df: DataFrame) -> DataFrame:
@@ -193,13 +191,16 @@ def rules_column(rules: list[Rule]) -> Column:
     return F.lit(0) if chain is None else chain.otherwise(F.lit(0))
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules from at most ``sample_rows`` labelled rows; rows that fail the base are not used."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Rules from at most ``sample_rows`` labelled documents; those that fail the base are not used."""
     marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = features(stats).join(marked, "doc_id").where(~base_failed())
-    rows = rows.orderBy(F.xxhash64("doc_id"), "row_key").limit(sample_rows).select("quality", "n_words", *RATIOS).toPandas()
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    # broadcast: at most sample_rows pairs of numbers
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = features(with_statistics(rows)).where(~base_failed()).select("doc_id", "quality", "n_words", *RATIOS).limit(2 * sample_rows).toPandas()
     if not len(rows):
         return []
+    rows = rows.sort_values(list(rows.columns), kind="stable")
     return learn_rules({c: rows[c].to_numpy(float) for c in ["n_words", *RATIOS]}, rows["quality"].to_numpy() == 0)
 
 
@@ -207,9 +208,8 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics, base_failed, rule (0: none) and kept for every row, with row_key."""
-    stats = landed(text_statistics(docs), "text_stats")
-    rules = fit(stats, labels)
-    out = features(stats).withColumn("base_failed", base_failed()).withColumn("rule", rules_column(rules))
+def quality_verdicts(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """All rows with statistics, base_failed, rule (number of the rejecting rule, 0: none) and kept."""
+    rules = fit(docs, labels, sample_rows)
+    out = features(with_statistics(docs)).withColumn("base_failed", base_failed()).withColumn("rule", rules_column(rules))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

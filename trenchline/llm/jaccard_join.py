@@ -158,8 +158,20 @@ def _verify(names: list[str], sides: list[int], weights: list[int], blobs: list[
     )
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each class: the least doc_id (then least text hash), once.
+
+    Empty texts are classes by doc_id; those without doc_id are one class."""
+    found = near_duplicates(docs.select("doc_id", "text"), **options)
+    chosen = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
+    chosen = chosen.select(F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
+    rows = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string"))).withColumn("_doc", F.col("doc_id").cast("long"))
+    kept = rows.join(chosen, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["_doc", "_key"]).drop("_doc", "_key")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """(doc_id, text_hash, class_id, n_links) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, text_hash, class_key, class_id, n_links) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     tune(spark)
     bands, rows = choose_bands(threshold, recall)
@@ -255,6 +267,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     return out.select(
         "doc_id",
         "text_hash",
+        F.coalesce("class", F.concat(F.lit("empty "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("class_key"),
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
     )
