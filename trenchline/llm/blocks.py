@@ -23,7 +23,7 @@ from trenchline.llm.common import bucketed
 from trenchline.llm.words import coded_words, pieces, tune
 
 #: bytes of text in a block; more make fewer, larger messages between blocks and shards
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 
 BLOCKS = T.StructType(
     [
@@ -115,7 +115,7 @@ def per_block(df: DataFrame, fn: Callable[[dict], Iterator[pa.RecordBatch]], sch
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                yield from fn(batch.slice(i, 1).to_pylist()[0])
+                yield from fn({name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)})
 
     return df.mapInArrow(run, schema)
 
