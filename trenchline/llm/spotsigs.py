@@ -119,13 +119,13 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
         bounds = F.array(*[F.lit(c) for c in cuts])
         part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id")))).cast("int")
     rows = rows.withColumn("part", part)
-    firsts = sorted((r["part"], r["one"]) for r in rows.select("part", "doc_id", "tie").groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("one")).collect())
+    firsts = sorted(((r["part"], r["one"]) for r in rows.select("part", "doc_id", "tie").groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("one")).collect()), key=lambda r: r[0])
     if not firsts:
         return rows.withColumn("borrowed", F.lit(0)).drop("tie")
-    at = F.lit(None).cast("int")
-    for i, (p, one) in enumerate(firsts):  # at most ``parts`` rows
-        head = (F.col("part") == p) & F.col("doc_id").eqNullSafe(F.lit(one["doc_id"])) & (F.col("tie") == one["tie"])
-        at = F.when(head, F.lit(firsts[i - 1][0])).otherwise(at)
+    # bounded: at most ``parts`` rows, so a broadcast whatever the input
+    heads = docs.sparkSession.createDataFrame([(one["doc_id"], one["tie"], firsts[i - 1][0]) for i, (_, one) in enumerate(firsts)], "head_id long, head_tie long, lent_to int")
+    rows = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie")), "left")
+    at = F.col("lent_to")
     copies = F.when(at.isNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("borrowed")))).otherwise(
         F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("borrowed")), F.struct(at.alias("part"), F.lit(1).alias("borrowed")))
     )
