@@ -71,7 +71,9 @@ class Vocabulary:
         for length, rows in sorted(by_length.items()):
             keys = np.array([k for k, _ in rows], np.uint64)
             order = np.argsort(keys)
-            self.tables[length] = keys[order], np.array([i for _, i in rows])[order]
+            there = np.zeros(1 << 18, bool)  # a quick look before the search
+            there[keys >> np.uint64(46)] = True
+            self.tables[length] = keys[order], np.array([i for _, i in rows])[order], there
 
 
 @lru_cache(maxsize=2)
@@ -125,11 +127,13 @@ class Lattice:
         inverse = _inverse(1 << max(10, n.bit_length()))[:n]
         starts, lengths, ids = [], [], []
         single = np.zeros(n, bool)
-        for length, (keys, pieces_) in vocab.tables.items():
+        for length, (keys, pieces_, there) in vocab.tables.items():
             at = np.flatnonzero(room >= length)
             if not len(at):
                 break
             key = (h[at + length] - h[at]) * inverse[at]
+            maybe = there[key >> np.uint64(46)]
+            at, key = at[maybe], key[maybe]
             i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             hit = keys[i] == key
             starts.append(at[hit]), ids.append(pieces_[i[hit]]), lengths.append(np.full(int(hit.sum()), length))
@@ -138,7 +142,7 @@ class Lattice:
         bare = np.flatnonzero(~single)
         starts.append(bare), ids.append(-code[bare]), lengths.append(np.ones(len(bare), np.int64))
         start, length, piece = np.concatenate(starts), np.concatenate(lengths), np.concatenate(ids)
-        order = np.lexsort((length, start))
+        order = np.argsort(start * 64 + (63 - length))  # long pieces, the likely ones, first
         start, length, self.piece = start[order], length[order], piece[order]
         n_bytes = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
         weight = np.where(self.piece >= 0, vocab.weight[np.maximum(self.piece, 0)], vocab.byte_weight * n_bytes[start] if n else 0.0)
@@ -166,8 +170,12 @@ class Lattice:
 
     def sample(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each character, by its probability."""
-        e = np.searchsorted(self.key, node + u, side="right")
-        return np.clip(e, self.begin[node], self.begin[node + 1] - 1)
+        e, last, want = self.begin[node], self.begin[node + 1] - 1, node + u
+        open_ = np.arange(len(node))
+        while len(open_):
+            open_ = open_[(self.key[e[open_]] <= want[open_]) & (e[open_] < last[open_])]
+            e[open_] += 1
+        return e
 
 
 def uniform(seed: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -314,10 +322,15 @@ def piece_ids(piece: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     """Ids of lattice pieces; characters without a piece become their bytes."""
     if (piece >= 0).all():
         return piece.astype("<u4")
-    out: list[int] = []
-    for x in piece.tolist():
-        out.extend([x] if x >= 0 else vocab.byte_id[list(chr(-x).encode("utf-8", "replace"))].tolist())
-    return np.array(out, "<u4")
+    code = -piece
+    size = np.where(piece >= 0, 1, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+    start = lengths_to_offsets(size)[:-1]
+    out = np.repeat(piece, size)
+    for x in np.unique(code[piece < 0]).tolist():
+        at = start[code == x]
+        for k, byte in enumerate(chr(x).encode("utf-8")):
+            out[at + k] = vocab.byte_id[byte]
+    return out.astype("<u4")
 
 
 def decode(ids: np.ndarray, vocab: Vocabulary) -> str:
