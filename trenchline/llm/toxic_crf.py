@@ -21,17 +21,15 @@ every score is the prior.  Repeated rows get equal scores.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trenchline.llm.words import coded_words, lengths_to_offsets, pieces, schema_of, tune
+from trenchline.llm.words import coded_words, joined, lengths_to_offsets, pieces, schema_of, tune
 
 #: most labelled documents that the model is fitted on (least hash of doc_id first)
 SAMPLE_DOCS = 6_000
@@ -92,84 +90,92 @@ def forward_backward(u: np.ndarray, here: np.ndarray, trans: np.ndarray) -> tupl
     return both / (both + (1 - fwd) * (1 - bwd)), fwd, bwd
 
 
-def toxic_forms(texts: list[list[str]], toxic: np.ndarray, level: float = 0.01) -> set[str]:
-    """Word forms whose distinct contexts lie in toxic documents beyond chance."""
-    seen: dict[tuple, int] = {}
-    for words, y in zip(texts, toxic.tolist()):
-        for key in zip(["", *words], words, [*words[1:], ""]):
-            seen[key] = min(seen.get(key, 1), y)  # a context that a clean text has is clean
-    hits, total = Counter(), Counter()
-    for (_, w, _), y in seen.items():
-        total[w] += 1
-        hits[w] += y
-    n, k = sum(total.values()), sum(hits.values())
+def toxic_forms(form: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, n_forms: int, level: float = 0.01) -> np.ndarray:
+    """Which word forms (by number) have contexts that lie in toxic documents beyond chance."""
+    out = np.zeros(n_forms, bool)
+    if not len(form):
+        return out
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    f = form.astype(np.uint64) + np.uint64(1)
+    before, after = np.zeros_like(f), np.zeros_like(f)
+    before[1:] = np.where(doc[1:] == doc[:-1], f[:-1], 0)
+    after[:-1] = np.where(doc[1:] == doc[:-1], f[1:], 0)
+    key = joined(joined(before, f), after)
+    order = np.argsort(key)
+    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    # a context that a clean text has is clean
+    y = np.minimum.reduceat(toxic[doc][order], first)
+    word = form[order[first]]
+    total = np.bincount(word, minlength=n_forms)
+    hits = np.bincount(word, y, minlength=n_forms)
+    n, k = total.sum(), hits.sum()
     if not k or k == n:
-        return set()
+        return out
     base = k / n
-    tested = [w for w in total if total[w] >= 3]
-    bound = np.log(max(1, len(tested)) / level)
-    out = set()
-    for w in tested:
-        m, p = total[w], hits[w] / total[w]
-        if p <= max(0.5, base):
-            continue
-        kl = p * np.log(p / base) + ((1 - p) * np.log((1 - p) / (1 - base)) if p < 1 else 0.0)
-        if m * kl > bound:
-            out.add(w)
-    return out
+    tested = total >= 3
+    bound = np.log(max(1, int(tested.sum())) / level)
+    p = np.where(tested, hits / np.maximum(total, 1), 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = p * np.log(p / base) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - base)), 0.0)
+    return tested & (p > max(0.5, base)) & (total * kl > bound)
 
 
-def _segments(texts: list[list[str]], raw: list[list[str]], toxic: np.ndarray, marked: set[str]):
-    """Training segments: all that hold a toxic token, and an even share of the others."""
-    with_toxic, without = [], []
-    for words, source, y in zip(texts, raw, toxic.tolist()):
-        for a in range(0, len(words), SEGMENT):
-            part = words[a : a + SEGMENT]
-            label = [1 if y and w in marked else 0 for w in part]
-            (with_toxic if any(label) else without).append((source[a : a + SEGMENT], label))
-    step = max(1, len(without) // SEGMENTS)
-    return with_toxic[:SEGMENTS] + without[::step][:SEGMENTS]
+def _segments(offsets: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Starts and ends of training segments: those that hold a toxic token, and an even share of the others."""
+    lengths = np.diff(offsets)
+    count = -(-lengths // SEGMENT)
+    doc = np.repeat(np.arange(len(lengths)), count)
+    start = offsets[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
+    end = np.minimum(start + SEGMENT, offsets[1:][doc])
+    held = lengths_to_offsets(label)
+    has = held[end] > held[start]
+    with_toxic, without = np.flatnonzero(has), np.flatnonzero(~has)
+    chosen = np.concatenate([with_toxic[:: max(1, len(with_toxic) // SEGMENTS)], without[:: max(1, len(without) // SEGMENTS)]])
+    return np.stack([start[chosen], end[chosen]], axis=1)
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> Crf:
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float = 1e-5) -> Crf:
     model = Crf()
-    raw = [WORD.findall(t) for t in texts]
-    form_lists = [forms(r) for r in raw]
-    if len(texts):
-        rate = min(max(float(np.mean(toxic)), 1e-3), 1 - 1e-3)
-        model.calibration = (float(np.log(rate / (1 - rate))), 0.0)
-    marked = toxic_forms(form_lists, toxic) if len(texts) else set()
-    if not marked:
+    if not len(texts):
         return model
-    data = _segments(form_lists, raw, toxic, marked)
+    rate = min(max(float(np.mean(toxic)), 1e-3), 1 - 1e-3)
+    model.calibration = (float(np.log(rate / (1 - rate))), 0.0)
+    offsets, codes, dictionary = coded_words(pa.array(texts, pa.string()))
+    words = dictionary.to_pylist()
+    form_of = pa.array(forms(words), pa.string()).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n_forms = int(form_of.max()) + 1 if len(form_of) else 0
+    marked = toxic_forms(form_of[codes] if len(codes) else codes, offsets, toxic, n_forms)
+    if not marked.any():
+        return model
+    label_of = (marked[form_of][codes] & (np.repeat(toxic, np.diff(offsets)) > 0)).astype(np.int64)
+    spans = _segments(offsets, label_of)
+    step = np.arange(SEGMENT)
+    here = step < (spans[:, 1] - spans[:, 0])[:, None]
+    at = np.minimum(spans[:, :1] + step, len(codes) - 1)
+    used, code = np.unique(codes[at], return_inverse=True)
+    code = code.reshape(at.shape)
+    y = np.where(here, label_of[at], 0)
     vocabulary: dict[str, int] = {}
-    words = [w for source, _ in data for w in source]
-    distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    feature_ids = np.array([[vocabulary.setdefault(f, len(vocabulary)) for f in word_features(w, s)] for w, s in zip(distinct, forms(list(distinct)))])
-    code = np.zeros((len(data), SEGMENT), np.int64)
-    label = np.zeros((len(data), SEGMENT))
-    here = np.zeros((len(data), SEGMENT), bool)
-    for i, (source, y) in enumerate(data):
-        code[i, : len(source)] = [distinct[w] for w in source]
-        label[i, : len(y)], here[i, : len(y)] = y, True
+    mine = [words[i] for i in used.tolist()]
+    feature_ids = np.array([[vocabulary.setdefault(f, len(vocabulary)) for f in word_features(w, s)] for w, s in zip(mine, forms(mine))])
     w, bias, trans = np.zeros(len(vocabulary)), -4.0, np.zeros((2, 2))
     square = [np.full(len(vocabulary), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
-    y = label.astype(int)
     pair = here[:, 1:]
     seen = np.array([[np.sum(pair & (y[:, :-1] == a) & (y[:, 1:] == b)) for b in (0, 1)] for a in (0, 1)], float)
     for _ in range(rounds):
         u = (bias + w[feature_ids].sum(axis=1))[code]
         marginal, fwd, bwd = forward_backward(u, here, trans)
-        miss = np.where(here, label - marginal, 0.0)
-        per_word = np.bincount(code.ravel(), miss.ravel(), minlength=len(distinct))
+        miss = np.where(here, y - marginal, 0.0)
+        per_word = np.bincount(code.ravel(), miss.ravel(), minlength=len(used))
         grad_w = np.zeros(len(vocabulary))
         for k in range(feature_ids.shape[1]):
             grad_w += np.bincount(feature_ids[:, k], per_word, minlength=len(vocabulary))
         f, e, b = fwd[:, :-1], np.exp(np.clip(u[:, 1:], -30, 30)), bwd[:, 1:]
         a = np.exp(trans)
-        joint = np.stack([np.stack([(1 - f) * a[0, 0] * (1 - b), (1 - f) * a[0, 1] * e * b]), np.stack([f * a[1, 0] * (1 - b), f * a[1, 1] * e * b])])
-        joint = np.where(pair, joint / joint.sum(axis=(0, 1)), 0.0)
-        grads = [grad_w - ridge * len(data) * w * 0.01, miss.sum(), seen - joint.sum(axis=(2, 3))]
+        joint = [(1 - f) * a[0, 0] * (1 - b), (1 - f) * a[0, 1] * e * b, f * a[1, 0] * (1 - b), f * a[1, 1] * e * b]
+        norm = sum(joint)
+        expected = np.array([np.sum(np.where(pair, x / norm, 0.0)) for x in joint]).reshape(2, 2)
+        grads = [grad_w - ridge * len(spans) * w, miss.sum(), seen - expected]
         for s, g in zip(range(3), grads):
             square[s] = square[s] + g**2
         w = w + 1.0 * grads[0] / np.sqrt(square[0])
@@ -178,7 +184,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float = 1e
     names = list(vocabulary)
     model.weights = {names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 0.01)}
     model.bias, model.trans = float(bias), trans
-    mass = np.array([d[0] for d in score_words(model, raw)])
+    emission = model.emissions(words)
+    mass = toxic_mass(marginals(model, emission[codes], offsets), offsets)
     model.calibration = _logistic(mass, toxic.astype(float))
     return model
 
@@ -240,17 +247,6 @@ def lengths_to_offsets_float(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(x)])
 
 
-def score_words(model: Crf, texts: list[list[str]]) -> list[tuple[float, np.ndarray]]:
-    """(toxic mass, marginals) of texts given as word lists."""
-    offsets = lengths_to_offsets(np.array([len(t) for t in texts], np.int64))
-    flat = [w for t in texts for w in t]
-    distinct = list(dict.fromkeys(flat))
-    place = {w: i for i, w in enumerate(distinct)}
-    u = model.emissions(distinct)[[place[w] for w in flat]] if flat else np.zeros(0)
-    p = marginals(model, u, offsets)
-    return [(m, p[a:b]) for m, a, b in zip(toxic_mass(p, offsets).tolist(), offsets[:-1], offsets[1:])]
-
-
 def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
     """At most ``sample_docs`` labelled texts outside the held-out fold."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
