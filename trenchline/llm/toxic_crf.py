@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from trenchline.llm.words import coded_words, joined, lengths_to_offsets, pieces, schema_of, tune
 
 #: most labelled documents that the model is fitted on (least hash of doc_id first)
-SAMPLE_DOCS = 6_000
+SAMPLE_DOCS = 4_000
 #: words of a training segment, and most segments
 SEGMENT, SEGMENTS = 48, 6_000
 #: words of a scoring window and of the overlap on either side
