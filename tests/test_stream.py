@@ -14,16 +14,18 @@ def test_stream_equals_batch_and_logs_batches(spark, permits_small):
     existing, batch = fixtures.upsert_inputs(permits_small)
     # land the initial load, then the re-sent batch, as separate files
     files.write_json_lines(fixtures.raw_feed(existing, "api").coalesce(1), f"{base}/landing/a")
-    raw_batch = fixtures.raw_feed(batch.where(F.col("arrival") == 1), "api").coalesce(1)
-    files.write_json_lines(raw_batch, f"{base}/landing/b")
+    # the whole batch, copies of a ticket in the order they were sent
+    sent = batch.coalesce(1).sortWithinPartitions("arrival")
+    files.write_json_lines(fixtures.raw_feed(sent, "api"), f"{base}/landing/b")
     t = table.PermitTable(spark, f"{base}/table")
     for _ in range(2):  # the second run finds nothing new
         q = start_ingest(spark, f"{base}/landing/*", t, f"{base}/ckpt", f"{base}/log", files_per_batch=1, clock=fixed_clock("2024-02-01 00:00:00"))
         q.awaitTermination()
     streamed = t.read().select(*PERMIT_COLUMNS)
+    copies = [normalize.conform(fixtures.raw_feed(batch.where(F.col("arrival") == a), "api")).withColumn("arrival", F.lit(a)) for a in (1, 2)]
     want = table.upsert(
         table.with_audit(normalize.conform(fixtures.raw_feed(existing, "api")), "2024-02-01 00:00:00"),
-        normalize.conform(raw_batch),
+        copies[0].unionByName(copies[1]),
         now="2024-02-01 00:00:00",
     ).select(*PERMIT_COLUMNS)
     assert streamed.exceptAll(want).count() == 0 and want.exceptAll(streamed).count() == 0

@@ -34,7 +34,7 @@ def test_initial_load_incremental_merge_and_refresh(spark):
     batch = normalize.conform(api_batch(spark, ["TEST003", "TEST004"]))
     rep = table.merge_report(t.read(), batch).first()
     assert (rep.batch_rows, rep.inserts, rep.updates) == (2, 2, 0)
-    v, _ = table.apply_batch(t, batch, now="2024-01-05 00:00:00")
+    v, _ = table.merge_batch(t, batch.withColumn("arrival", F.lit(1)), now="2024-01-05 00:00:00")
     assert v == 2 and t.read().count() == 4
     # A3: full refresh replaces everything, older version stays readable
     table.full_refresh(t, normalize.conform(api_batch(spark, ["TEST005", "TEST006"])), now="2024-01-06 00:00:00")
@@ -46,8 +46,13 @@ def test_upsert_keeps_created_and_last_copy_wins(spark):
     existing = table.with_audit(normalize.conform(api_batch(spark, ["A", "B"])), "2024-01-01 00:00:00")
     b = normalize.conform(api_batch(spark, ["B", "C", "B"])).withColumn("arrival", F.array(F.lit(1), F.lit(2), F.lit(3))[F.monotonically_increasing_id() % 3])
     b = b.withColumn("street_name", F.concat(F.lit("S"), F.col("arrival").cast("string")))
-    for limit in (10, 0):  # broadcast plan and shuffled full-outer plan
-        out = {r.dig_ticket_number: r for r in table.upsert(existing, b, now="2024-02-01 00:00:00", broadcast_max_keys=limit).collect()}
+    twice = existing.unionByName(existing.where("dig_ticket_number = 'B'").withColumn("created_at", F.lit("2024-01-09").cast("timestamp_ntz")))
+    with pytest.raises(ValueError):
+        table.upsert(existing, b.drop("arrival"))
+    for base in (existing, twice):  # a ticket that the table holds twice comes out once
+        rows = table.upsert(base, b, now="2024-02-01 00:00:00").collect()
+        out = {r.dig_ticket_number: r for r in rows}
+        assert len(rows) == 3
         assert set(out) == {"A", "B", "C"}
         assert out["A"].updated_at == dt.datetime(2024, 1, 1)
         assert out["B"].created_at == dt.datetime(2024, 1, 1) and out["B"].updated_at == dt.datetime(2024, 2, 1)
@@ -89,10 +94,77 @@ def test_unchanged_batch_commits_nothing_and_inputs_are_checked(spark):
     t = table.PermitTable(spark, scratch_path(spark, "t2"))
     table.full_refresh(t, normalize.conform(api_batch(spark, ["A"])), now="2024-01-01 00:00:00")
     empty = normalize.conform(api_batch(spark, []))
-    v, rep = table.apply_batch(t, empty)
+    v, rep = table.merge_batch(t, empty.withColumn("arrival", F.lit(1)))
     assert v is None and rep.first().inserts == 0 and t.versions() == [1]
     bad = spark.createDataFrame([("x", 1.0)], "dig_date string, latitude double")
     with pytest.raises(quality.DataValidationError):
         geo.map_points(bad)
     with pytest.raises(quality.DataValidationError):
         daily.daily_series(bad)
+
+
+def month_rows(spark, rows):
+    return spark.createDataFrame(rows, "dig_ticket_ string, digdate string, street string, arrival int").transform(
+        lambda d: normalize.conform(d.withColumnRenamed("street", "stname"), keep_extra=True)
+    )
+
+
+def test_merge_rewrites_touched_months_only(spark):
+    t = table.PermitTable(spark, scratch_path(spark, "months"))
+    first = month_rows(spark, [("A", "2024-01-05", "x", 1), ("A", "2024-01-05", "y", 2), ("B", "2024-02-05", "x", 1), ("C", "2024-03-05", "x", 1), (None, "2024-01-01", "x", 1)])
+    v, rep = table.merge_batch(t, first, now="2024-01-01 00:00:00")  # a first load is deduplicated too
+    assert v == 1 and t.read().count() == 3
+    assert {r.dig_ticket_number: r.street_name for r in t.read().collect()}["A"] == "y"
+    before = t.months()
+    # B moves from February to April: both are written, January and March stay as they are
+    v, rep = table.merge_batch(t, month_rows(spark, [("B", "2024-04-05", "z", 1)]), now="2024-01-02 00:00:00")
+    after = t.months()
+    assert (rep.first().inserts, rep.first().updates) == (0, 1)
+    assert after["2024-01"] == before["2024-01"] and after["2024-03"] == before["2024-03"]
+    assert "2024-02" not in after and "2024-04" in after
+    got = {r.dig_ticket_number: r for r in t.read().collect()}
+    assert len(got) == t.read().count() == 3 and got["B"].created_at == dt.datetime(2024, 1, 1)
+    assert t.expire(keep=1) == [1] and t.read().count() == 3
+
+
+def test_failed_write_does_not_block_the_table(spark):
+    t = table.PermitTable(spark, scratch_path(spark, "failed"))
+    df = month_rows(spark, [("A", "2024-01-05", "x", 1)])
+    broken = df.withColumn("street_name", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception):
+        table.full_refresh(t, broken)
+    assert t.current_version() is None
+    # a manifest whose write broke off counts for nothing
+    fs, p = table._fs(spark, f"{t.root}/manifests/v00000001")
+    fs.create(p, False).close()
+    assert table.full_refresh(t, df) == 2 and t.read().count() == 1
+    with pytest.raises(RuntimeError):
+        t.publish(df.schema, {}, after=None)  # another writer was first
+
+
+def test_feeds_that_cannot_be_read_fail(spark, tmp_path):
+    from trenchline.operators import quality
+    from trenchline.plans import jobs
+    from trenchline.sources import files
+
+    (tmp_path / "array.json").write_text('[\n {"dig_ticket_": "A", "digdate": "2024-01-02"},\n {"dig_ticket_": "B", "digdate": "2024-01-02"}\n]')
+    (tmp_path / "none.json").write_text('[\n {"permit_": "A", "digdate": "2024-01-02"}\n]')
+    (tmp_path / "empty.json").write_text("[]")
+    t = table.PermitTable(spark, scratch_path(spark, "feeds"))
+    with pytest.raises(files.FeedError):
+        jobs.daily_update(spark, t, str(tmp_path / "array.json"), day="2024-01-02", min_rows=1)
+    with pytest.raises(quality.DataValidationError):
+        jobs.daily_update(spark, t, str(tmp_path / "none.json"), day="2024-01-02", min_rows=1, multi_line=True)
+    out = jobs.daily_update(spark, t, str(tmp_path / "array.json"), day="2024-01-02", min_rows=1, multi_line=True)
+    assert out.version == 1 and t.read().count() == 2
+    log = scratch_path(spark, "log")
+    out = jobs.daily_update(spark, t, str(tmp_path / "empty.json"), day="2024-01-02", min_rows=1, multi_line=True, log_path=log)
+    assert out.version is None and spark.read.parquet(log).first().rows == 0
+
+
+def test_rows_without_a_day_belong_to_no_day(spark):
+    from trenchline.operators import daily
+
+    p = month_rows(spark, [("A", "2024-01-05", "x", 1), ("B", "not a date", "x", 1), ("C", "no", "x", 1)]).drop("arrival")
+    assert [r.total_permits for r in daily.daily_stats(p).collect()] == [1]
+    assert {r.record: str(r.day) for r in daily.daily_records(p).collect()}["most_tickets"] == "2024-01-05"

@@ -6,22 +6,6 @@ from trenchline.functions import text as tx
 from trenchline.operators import cards, pages
 
 
-def python_card(address, work, ticket, emergency, location):
-    base = tx.CARD_HEADER + f"{tx.CARD_ADDRESS}{address}\n" + f"{tx.CARD_WORK}{work}\n"
-    permit = f"{tx.CARD_PERMIT}{ticket}" + (tx.CARD_EMERGENCY if emergency else "")
-    available = tx.CARD_LIMIT - len(base) - len(permit)
-    if location:
-        line = f"{tx.CARD_LOCATION}{location}\n"
-        if len(line) > available:
-            m = available - len(f"{tx.CARD_LOCATION}...\n")
-            line = f"{tx.CARD_LOCATION}{location[:m]}...\n" if m > 0 else ""
-        base += line
-    text = base + permit
-    pos = text.find(f"#{ticket}")
-    start = len(text[:pos].encode("utf-8"))
-    return text, start, start + len(f"#{ticket}".encode("utf-8"))
-
-
 def test_card_text_matches_reference_rules(spark):
     cases = [
         ("1 N MAIN ST, Chicago, IL", "PARKWAY,STREET", "123", True, None),
@@ -33,12 +17,20 @@ def test_card_text_matches_reference_rules(spark):
     df = spark.createDataFrame(cases, "address string, work_type string, dig_ticket_number string, is_emergency boolean, location string")
     locs = df.select("dig_ticket_number", "location")
     got = {r.dig_ticket_number: r for r in cards.card_texts(df.drop("location"), locs).collect()}
-    for c in cases:
-        text, start, end = python_card(*c)
-        r = got[c[2]]
-        assert r.text == text
-        assert len(r.text) <= tx.CARD_LIMIT or c[2] == "126"
-        assert (r.byte_start, r.byte_end) == (start, end)
+    # fixed values: the wording of the posts
+    head = "🎲 Hole Roulette!\n\nHere's a permit with a Dig Date yesterday\n\n"
+    want = {
+        "123": head + "📍 1 N MAIN ST, Chicago, IL\n🔧 PARKWAY,STREET\n📝 Permit #123\n🚨 Emergency Work",
+        "124": head + "📍 1 N MAIN ST, Chicago, IL\n🔧 General Construction\n🚧 Location of Dig: short place\n📝 Permit #124",
+        "125": head + "📍 1 N MAIN ST, Chicago, IL\n🔧 General Construction\n🚧 Location of Dig: " + "é" * 136 + "...\n📝 Permit #125\n🚨 Emergency Work",
+        "126": head + "📍 " + "9" * 150 + " N MAIN ST, Chicago, IL\n🔧 " + "X" * 50 + "\n📝 Permit #126\n🚨 Emergency Work",
+        "127": head + "📍 1 N 🚧 ST, Chicago, IL\n🔧 W\n🚧 Location of Dig: 🚧🚧🚧🚧🚧🚧🚧🚧🚧🚧\n📝 Permit #127",
+    }
+    assert len(want["125"]) == 300
+    for ticket, text in want.items():
+        r = got[ticket]
+        start = text.encode().index(f"#{ticket}".encode())
+        assert (r.text, r.byte_start, r.byte_end) == (text, start, start + 4)
 
 
 def test_work_type_and_address(spark):
@@ -48,7 +40,7 @@ def test_work_type_and_address(spark):
     ).withColumn("dig_ticket_number", F.lit("t")).withColumn("is_emergency", F.lit(False))
     got = cards.permit_cards(df).collect()
     assert [r.work_type for r in got] == ["A,B", "General Construction", "General Construction"]
-    assert [r.address for r in got] == ["10 N MAIN, Chicago, IL", "11 S ELM AVE, Chicago, IL", None]
+    assert [r.address for r in got] == ["10 N MAIN, Chicago, IL", "11 S ELM AVE, Chicago, IL", "E OAK ST, Chicago, IL"]
 
 
 def test_leaderboard_text(spark):
@@ -71,3 +63,19 @@ def test_page_label_value(spark):
     assert got[1].location_of_dig == "FRONT & REAR PARKWAY"
     assert got[1].title == "Ticket A & B"
     assert got[2].location_of_dig is None and got[2].title == "x"
+
+
+def test_page_label_stays_in_its_row(spark):
+    def row(label, value, quote='"'):
+        return f"<div class={quote}row{quote}><label>{label}</label><div class={quote}col-sm-8{quote}>{value}</div></div>"
+
+    other = row("Requested by", "JOHN 555-1234")
+    htmls = [
+        '<div class="row"><label>Location of Dig</label></div>' + other,  # no value: not the next row's
+        row("<b>Location of Dig</b>", "A"),
+        row("Location of Dig", "B", "'") + other,
+        row("Location of Dig", "C <div>D</div> E") + other,
+    ]
+    df = spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string").withColumn("url", F.lit("u"))
+    got = {r.page_id: r.location_of_dig for r in pages.page_fields(df).collect()}
+    assert got == {0: None, 1: "A", 2: "B", 3: "C D E"}

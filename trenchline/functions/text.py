@@ -82,11 +82,9 @@ def strip_ws(c: Column) -> Column:
 
 
 def address(number: Column, direction: Column, street: Column, suffix: Column) -> Column:
-    """N14: 'number direction street[ suffix], Chicago, IL' (null if a part is missing)."""
-    return F.concat(
-        number.cast("string"), F.lit(" "), direction, F.lit(" "), street,
-        F.coalesce(F.concat(F.lit(" "), suffix), F.lit("")), F.lit(CITY_SUFFIX),
-    )
+    """N14: 'number direction street suffix, Chicago, IL' of the parts that exist."""
+    line = F.concat_ws(" ", number.cast("string"), direction, street, suffix)
+    return F.when(line == "", F.lit(CITY_SUFFIX.lstrip(", "))).otherwise(F.concat(line, F.lit(CITY_SUFFIX)))
 
 
 def work_type(location: Column) -> Column:

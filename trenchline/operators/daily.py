@@ -20,6 +20,8 @@ ROLLING_WINDOW_DAYS = 730  # fixed value: history window of the comparison
 
 
 def _in_range(permits: DataFrame, start=None, end=None, ts: str = "dig_date") -> DataFrame:
+    """Rows with a day, in the range (rows without a date belong to no day)."""
+    permits = permits.where(F.col(ts).isNotNull())
     cond = day_range_filter(ts, start, end)
     return permits if cond is None else permits.where(cond)
 

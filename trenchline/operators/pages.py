@@ -20,13 +20,25 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 
 
 def label_value_pattern(label: str) -> str:
-    """A row's ``<label>..label..</label>`` followed by its ``col-sm-8`` value div."""
+    """Within one row: its label (markup inside allowed) and the ``col-sm-8`` value div, one level of nested divs included."""
+    inside = r"(?:(?!</label>).)*"
+    flat = r"(?:(?!</?div).)*"
     return (
-        r"(?s)<label[^>]*>[^<]*" + re.escape(label) + r"[^<]*</label>.*?"
-        r'<div[^>]*class="[^"]*col-sm-8[^"]*"[^>]*>(.*?)</div>'
+        r"(?s)^[^>]*>(?:(?!<label).)*<label[^>]*>" + inside + re.escape(label) + inside + r"</label>"
+        r"(?:(?!<label).)*?<div[^>]*class\s*=\s*[\"'][^\"'>]*col-sm-8[^\"'>]*[\"'][^>]*>(" + flat + r"(?:<div[^>]*>" + flat + r"</div>" + flat + r")*)</div>"
     )
 
 
+ROW_OPENING = r"(?i)<div(?=[^>]*class\s*=\s*[\"'](?:[^\"'>]*\s)?row[\s\"'])"
+
+
+def label_value(html: Column, label: str) -> Column:
+    """Value beside ``label`` in the first row block that has it; never from another row."""
+    pattern = label_value_pattern(label)
+    rows = F.filter(F.split(html, ROW_OPENING), lambda r: r.rlike(pattern))
+    return html_text(F.regexp_extract(F.get(rows, 0), pattern, 1))
+
+
 TITLE_PATTERN = r"(?s)<title[^>]*>(.*?)</title>"
 
 
@@ -50,5 +62,5 @@ def page_fields(pages: DataFrame, label: str = LOCATION_LABEL) -> DataFrame:
         "page_id",
         "url",
         extract(F.col("html"), TITLE_PATTERN).alias("title"),
-        extract(F.col("html"), label_value_pattern(label)).alias("location_of_dig"),
+        label_value(F.col("html"), label).alias("location_of_dig"),
     )

@@ -26,7 +26,7 @@ def sample_key(seed: int):
 
 def sample_permits(permits: DataFrame, k: int = 1, seed: int = 42) -> DataFrame:
     """``day, rank, dig_ticket_number`` — k sampled permits per dig day."""
-    p = permits.select(local_day("dig_date").alias("day"), "dig_ticket_number", sample_key(seed).alias("_h"))
+    p = permits.where("dig_date is not null").select(local_day("dig_date").alias("day"), "dig_ticket_number", sample_key(seed).alias("_h"))
     if k == 1:
         return p.groupBy("day").agg(F.min_by("dig_ticket_number", F.col("_h")).alias("dig_ticket_number")).select(
             "day", F.lit(1).cast("bigint").alias("rank"), "dig_ticket_number"

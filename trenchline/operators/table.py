@@ -1,31 +1,32 @@
 """The permit table: versions, full refresh, upsert by ticket, merge report,
 recent rows (K1-K6, J1-J2, P9).
 
-Storage is plain Parquet.  A table is a folder of complete versions
-``v00000001, v00000002, ...``; each is written by one Spark job and counts
-only once Spark's commit protocol has written its ``_SUCCESS`` marker.
-Readers take the newest complete version, so a job never overwrites a path
-that is being read, a failed job leaves the previous version current, and the
-previous version is the backup.  Retrying a job after an executor loss is
-safe: tasks recompute from lineage and the job commits once.
+Storage is plain Parquet, one folder per month of the dig date.  Every write
+goes to a folder of its own (``data/<unique>/month=...``).  A version is a
+manifest ``manifests/v00000001`` that names the schema and, for each month,
+the folder that holds it.  A manifest is created once and never replaced, so
+of two writers one fails, a failed or killed write leaves nothing that a
+reader sees, and the retry takes the next free number.
+
+A merge reads the key columns of the table, rewrites only the months that hold
+a replaced row or receive a new one, and takes over the other months by
+reference.  Old versions stay readable until ``expire`` is called.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trenchline.functions.dates import as_date, ntz_literal
 from trenchline.schema import AUDIT_COLUMNS, KEY, PERMIT_COLUMNS
 from trenchline.sources.files import write_parquet
 
-# Largest batch (distinct tickets) whose key set is broadcast to the table
-# scan.  20 bytes/key -> ~40 MB per executor at the limit.  Above it the
-# merge is one shuffled full outer join instead.
-BROADCAST_MAX_KEYS = 2_000_000
-
 # fixed values: feed window of the incremental fetch (days + overlap)
 DAYS_TO_FETCH = 30
 OVERLAP_DAYS = 2
@@ -41,70 +42,144 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-class PermitTable:
-    """A versioned Parquet permit table at ``root`` (any Hadoop file system)."""
+MONTH = "_month"
+NO_MONTH = "none"
+
+
+def month_of(df: DataFrame) -> F.Column:
+    """Month of the dig date as text; rows without a date (or text dates) share one folder."""
+    kind = df.schema["dig_date"].dataType if "dig_date" in df.columns else None
+    if not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(NO_MONTH)
+    return F.coalesce(F.date_format("dig_date", "yyyy-MM"), F.lit(NO_MONTH))
 
-    PREFIX = "v"
+
+class PermitTable:
+    """A versioned permit table at ``root`` (any Hadoop file system)."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def versions(self) -> list[int]:
-        fs, p = _fs(self.spark, self.root)
+    def _listed(self) -> list[int]:
+        fs, p = _fs(self.spark, f"{self.root}/manifests")
         if not fs.exists(p):
             return []
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith(self.PREFIX) and name[1:].isdigit():
-                ok = fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
-                if ok:
-                    out.append(int(name[1:]))
-        return sorted(out)
-
-    def path_of(self, version: int) -> str:
-        return f"{self.root}/{self.PREFIX}{version:08d}"
+        names = [st.getPath().getName() for st in fs.listStatus(p)]
+        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+
+    def _manifest(self, version: int) -> dict | None:
+        """The version's manifest; None if its write broke off."""
+        fs, p = _fs(self.spark, f"{self.root}/manifests/v{version:08d}")
+        stream = fs.open(p)
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+
+    def versions(self) -> list[int]:
+        return [v for v in self._listed() if self._manifest(v) is not None]
 
     def current_version(self) -> int | None:
-        v = self.versions()
-        return v[-1] if v else None
+        for v in reversed(self._listed()):
+            if self._manifest(v) is not None:
+                return v
+        return None
+
+    def months(self, version: int | None = None) -> dict[str, list[str]]:
+        """Folders of each month of a version, relative to the root."""
+        v = self.current_version() if version is None else version
+        return {} if v is None else self._manifest(v)["months"]
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The newest complete version (or a given one); error if none."""
+    def read(self, version: int | None = None, months: list[str] | None = None) -> DataFrame:
+        """The newest version (or a given one, or some of its months); error if none."""
         v = self.current_version() if version is None else version
         if v is None:
             raise NoDataError(f"no complete version under {self.root}")
-        return self.spark.read.parquet(self.path_of(v))
+        found = self._manifest(v)
+        schema = T.StructType.fromJson(found["schema"])
+        paths = [f"{self.root}/{f}" for m, folders in sorted(found["months"].items()) if months is None or m in months for f in folders]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def write(self, df: DataFrame) -> dict[str, list[str]]:
+        """Write rows to a new folder, by month; no version names it yet."""
+        folder = f"data/{uuid.uuid4().hex}"
+        # few files per month; AQE splits a month that is too large for one task
+        by_month = df.withColumn(MONTH, month_of(df)).hint("rebalance", MONTH)
+        write_parquet(by_month, f"{self.root}/{folder}", [MONTH])
+        fs, p = _fs(self.spark, f"{self.root}/{folder}")
+        names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+        return {n.split("=", 1)[1]: [f"{folder}/{n}"] for n in names if n.startswith(f"{MONTH}=")}
+
+    def publish(self, schema: T.StructType, months: dict[str, list[str]], after: int | None) -> int:
+        """Create the manifest of the next version; fails if another writer was first.
+
+        ``after``: the version that the content was made from."""
+        if self.current_version() != after:
+            raise RuntimeError("another writer has published a version meanwhile")
+        listed = self._listed()
+        version = (listed[-1] if listed else 0) + 1
+        fs, p = _fs(self.spark, f"{self.root}/manifests/v{version:08d}")
+        nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+        stream = fs.create(p, False)  # not over an existing one
+        stream.write(bytearray(json.dumps({"schema": json.loads(nullable.json()), "months": months}).encode()))
+        stream.close()
+        return version
 
     def commit(self, df: DataFrame) -> int:
-        """Write ``df`` as the next version (one job); returns its number."""
-        v = (self.current_version() or 0) + 1
-        write_parquet(df, self.path_of(v))
-        return v
+        """``df`` as the whole content of the next version; returns its number."""
+        after = self.current_version()
+        return self.publish(df.schema, self.write(df), after)
+
+    def expire(self, keep: int = 2) -> list[int]:
+        """Drop all but the newest ``keep`` versions and the folders that only they name."""
+        known = self.versions()
+        old, left = known[:-keep], known[-keep:]
+        used = {f for v in left for folders in self.months(v).values() for f in folders}
+        for v in old:
+            for folders in self.months(v).values():
+                for f in folders:
+                    if f not in used:
+                        fs, p = _fs(self.spark, f"{self.root}/{f}")
+                        fs.delete(p, True)
+            fs, p = _fs(self.spark, f"{self.root}/manifests/v{v:08d}")
+            fs.delete(p, False)
+        return old
 
 
 def with_audit(df: DataFrame, now) -> DataFrame:
     """``created_at = updated_at = now`` (UTC wall clock, NTZ)."""
-    ts = ntz_literal(now) if now is not None else F.convert_timezone(F.lit("UTC"), F.localtimestamp())
+    ts = ntz_literal(now) if now is not None else F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
     return df.select(*PERMIT_COLUMNS, ts.alias("created_at"), ts.alias("updated_at"))
 
 
 def full_refresh(table: PermitTable, permits: DataFrame, now=None) -> int:
     """K2: the whole feed becomes a new version with fresh audit columns.
 
+    Repeated tickets are reduced to one row (by ``arrival`` if there is such a
+    column, else the latest request date); rows without a ticket are kept.
     Unlike a clear-then-load, the old version stays readable until the new
     one is complete."""
-    return table.commit(with_audit(permits, now))
+    order = ("arrival",) if "arrival" in permits.columns else ("request_date",)
+    keyed = dedupe_batch(permits, order=order).select(*PERMIT_COLUMNS)
+    loose = permits.where(F.col(KEY).isNull()).select(*PERMIT_COLUMNS)
+    return table.commit(with_audit(keyed.unionByName(loose), now))
 
 
 def dedupe_batch(batch: DataFrame, key: str = KEY, order: tuple[str, ...] = ("arrival",)) -> DataFrame:
     """One row per ticket: the latest copy by ``order`` wins (exact ties: the
-    larger content hash, so the choice is repeatable).
+    larger content hash, so the choice is repeatable).  Without any column of
+    ``order`` there is no latest copy, and this raises.
 
-    ``max_by`` is an ordinary aggregate, partially evaluated in every task,
-    so a ticket re-sent a million times is reduced before the shuffle."""
+    ``max_by`` is partially evaluated in every task, so a ticket re-sent a
+    million times is reduced before the shuffle."""
     order = tuple(o for o in order if o in batch.columns)
+    if not order:
+        raise ValueError("the batch has no column that orders copies of a ticket")
     content = [c for c in PERMIT_COLUMNS if c in batch.columns and c != key]
     rank = F.struct(*[F.col(o) for o in order], F.xxhash64(*[F.col(c) for c in content]).alias("_h"))
     picked = batch.where(F.col(key).isNotNull()).groupBy(key).agg(
@@ -114,84 +189,76 @@ def dedupe_batch(batch: DataFrame, key: str = KEY, order: tuple[str, ...] = ("ar
     return picked.select(key, "_r.*", "_copies")
 
 
-def _key_count(df: DataFrame) -> int:
-    return df.count()
+def _with_audit_columns(existing: DataFrame) -> DataFrame:
+    for c in AUDIT_COLUMNS:
+        if c not in existing.columns:
+            existing = existing.withColumn(c, F.lit(None).cast("timestamp_ntz"))
+    return existing
 
 
-def upsert(
-    existing: DataFrame,
-    batch: DataFrame,
-    now=None,
-    key: str = KEY,
-    order: tuple[str, ...] = ("arrival",),
-    broadcast_max_keys: int = BROADCAST_MAX_KEYS,
-) -> DataFrame:
+def _fresh(existing: DataFrame, batch: DataFrame, now, key: str) -> DataFrame:
+    """The deduplicated batch with audit columns; first-seen times come from the table."""
+    now_c = ntz_literal(now) if now is not None else F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
+    old = existing.select(key, "created_at").join(batch.select(key), key, "left_semi").groupBy(key).agg(F.min("created_at").alias("_old_created"))
+    return batch.join(old, key, "left").select(*PERMIT_COLUMNS, F.coalesce(F.col("_old_created"), now_c).alias("created_at"), now_c.alias("updated_at"))
+
+
+def upsert(existing: DataFrame, batch: DataFrame, now=None, key: str = KEY, order: tuple[str, ...] = ("arrival",)) -> DataFrame:
     """K3: the merged table (lazy).  New tickets are inserted, existing ones
     replaced; ``created_at`` of a replaced ticket is kept, ``updated_at`` =
     now; the latest copy of a ticket inside the batch wins.
 
-    Plan choice, after counting the (deduplicated) batch keys:
-      * small batch: its key set is broadcast; unchanged rows come from a
-        broadcast anti join and old ``created_at`` from a broadcast semi join.
-        The table itself is streamed, never shuffled.
-      * large batch: one full outer join on the ticket (both sides shuffled
-        once; AQE splits skewed partitions).
-    """
-    now_c = ntz_literal(now) if now is not None else F.convert_timezone(F.lit("UTC"), F.localtimestamp())
-    if "created_at" not in existing.columns:
-        existing = existing.withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
-    if "updated_at" not in existing.columns:
-        existing = existing.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    The joins carry no hint: AQE broadcasts the batch keys if their measured
+    size allows, else both sides are shuffled on the ticket and skewed
+    partitions are split."""
+    existing = _with_audit_columns(existing)
     b = dedupe_batch(batch, key, order).select(*PERMIT_COLUMNS)
-    out_cols = PERMIT_COLUMNS + AUDIT_COLUMNS
-    if _key_count(b) <= broadcast_max_keys:
-        keys = F.broadcast(b.select(key))
-        kept = existing.join(keys, key, "left_anti").select(*out_cols)
-        old = existing.select(key, F.col("created_at").alias("_old_created")).join(keys, key, "left_semi")
-        fresh = b.join(old, key, "left").select(
-            *PERMIT_COLUMNS,
-            F.coalesce(F.col("_old_created"), now_c).alias("created_at"),
-            now_c.alias("updated_at"),
-        )
-        return kept.unionByName(fresh)
-    e = existing.select(*[F.col(c).alias("e_" + c) for c in out_cols])
-    n = b.select(*[F.col(c).alias("n_" + c) for c in PERMIT_COLUMNS])
-    j = e.join(n, F.col("e_" + key) == F.col("n_" + key), "full_outer")
-    is_new = F.col("n_" + key).isNotNull()
-    cols = [F.when(is_new, F.col("n_" + c)).otherwise(F.col("e_" + c)).alias(c) for c in PERMIT_COLUMNS]
-    cols.append(F.when(is_new, F.coalesce(F.col("e_created_at"), now_c)).otherwise(F.col("e_created_at")).alias("created_at"))
-    cols.append(F.when(is_new, now_c).otherwise(F.col("e_updated_at")).alias("updated_at"))
-    return j.select(*cols)
-
-
-def merge_report(existing: DataFrame, batch: DataFrame, key: str = KEY, broadcast_max_keys: int = BROADCAST_MAX_KEYS) -> DataFrame:
-    """K4: one row ``batch_rows, inserts, updates`` (distinct new / existing tickets)."""
-    bk = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
-    probe = bk.select(key)
-    if _key_count(probe) <= broadcast_max_keys:
-        probe = F.broadcast(probe)
-    hits = existing.select(key).join(probe, key, "left_semi").distinct().withColumn("_hit", F.lit(True))
+    kept = existing.join(b.select(key), key, "left_anti").select(*PERMIT_COLUMNS, *AUDIT_COLUMNS)
+    return kept.unionByName(_fresh(existing, b, now, key))
+
+
+def merge_report(existing: DataFrame, batch: DataFrame, key: str = KEY) -> DataFrame:
+    """K4: one row ``batch_rows`` (all rows), ``inserts``, ``updates`` (distinct new / existing tickets)."""
+    bk = batch.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
+    hits = existing.select(key).join(bk.select(key), key, "left_semi").distinct().withColumn("_hit", F.lit(True))
+    ticket = F.col(key).isNotNull()
     return bk.join(hits, key, "left").agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).cast("bigint").alias("batch_rows"),
-        F.count_if(F.col("_hit").isNull()).alias("inserts"),
-        F.count_if(F.col("_hit").isNotNull()).alias("updates"),
+        F.count_if(ticket & F.col("_hit").isNull()).alias("inserts"),
+        F.count_if(ticket & F.col("_hit").isNotNull()).alias("updates"),
     )
 
 
-def apply_batch(
-    table: PermitTable, batch: DataFrame, now=None, order: tuple[str, ...] = ("arrival",)
-) -> tuple[int | None, DataFrame]:
-    """Merge ``batch`` into the current version and commit the result as the
-    next version; returns (version, report).  A batch that neither inserts
-    nor replaces a ticket commits nothing (version None), as the daily job
-    stops when nothing changed."""
-    existing = table.read()
-    report = merge_report(existing, batch).collect()  # one row
-    rep = table.spark.createDataFrame(report, "batch_rows bigint, inserts bigint, updates bigint")
-    if report[0]["inserts"] + report[0]["updates"] == 0:
-        return None, rep
-    v = table.commit(upsert(existing, batch, now, order=order))
-    return v, rep
+def merge_batch(table: PermitTable, batch: DataFrame, now=None, order: tuple[str, ...] = ("arrival",)) -> tuple[int | None, DataFrame]:
+    """Merge ``batch`` into the current version (or start the table with it)
+    and publish the result; returns (version, report).  A batch that neither
+    inserts nor replaces a ticket publishes nothing (version None).
+
+    The deduplicated batch is landed once and everything else reads that; of
+    the table the key columns are read whole, and only touched months in full."""
+    spark = table.spark
+    after = table.current_version()
+    staged = f"{table.root}/staging/{uuid.uuid4().hex}"
+    reduced = dedupe_batch(batch, order=order)
+    write_parquet(reduced, staged)
+    landed = spark.read.schema(reduced.schema).parquet(staged)
+    b = landed.select(*PERMIT_COLUMNS)
+    existing = _with_audit_columns(table.read(after)) if after is not None else spark.createDataFrame([], with_audit(b, _dt.datetime(2000, 1, 1)).schema)
+    hits = existing.select(KEY, month_of(existing).alias(MONTH)).join(b.select(KEY), KEY, "left_semi")
+    touched = {r[MONTH] for r in hits.select(MONTH).distinct().collect()}  # at most one row per month
+    counts = landed.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("keys")).first()
+    updates = hits.select(KEY).distinct().count()
+    report = spark.createDataFrame([(int(counts["n"]), counts["keys"] - updates, updates)], "batch_rows bigint, inserts bigint, updates bigint")
+    if not counts["keys"]:
+        return None, report
+    touched |= {r[MONTH] for r in b.select(month_of(b).alias(MONTH)).distinct().collect()}
+    months = table.months(after)
+    part = _with_audit_columns(table.read(after, sorted(touched & set(months)))) if after is not None else existing
+    kept = part.join(b.select(KEY), KEY, "left_anti").select(*PERMIT_COLUMNS, *AUDIT_COLUMNS)
+    merged = kept.unionByName(_fresh(existing, b, now, KEY))
+    written = table.write(merged)
+    rest = {m: f for m, f in months.items() if m not in touched}
+    return table.publish(merged.schema, rest | written, after), report
 
 
 def recent_permits(permits: DataFrame, as_of=None, days: int = 30) -> DataFrame:

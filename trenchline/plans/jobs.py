@@ -9,6 +9,7 @@ posting are out of scope: jobs start from landed files and end with text.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from trenchline.operators import cards, daily, geo, normalize, pages, quality, rankings, sampling, table
 from trenchline.sources import files
+from trenchline.streaming import ingest
 
 
 @dataclass
@@ -38,19 +40,28 @@ def daily_update(
     now=None,
     family: str = "api",
     min_rows: int = quality.MIN_ROWS_DAILY_UPDATE,
+    multi_line: bool = False,
+    log_path: str | None = None,
 ) -> DailyOutputs:
     """Landed feed -> conform -> gate -> merge by ticket -> reports for ``day``.
 
     Reports are computed on the merged table (the reference computed them on
-    the last batch only).  A batch that changes nothing skips the commit."""
-    raw = files.read_permits_json(spark, batch_path) if family == "api" else files.read_permits_csv(spark, batch_path)
-    batch = normalize.conform(raw)
-    quality.enforce_gate(quality.quality_gate(batch, min_rows=min_rows))
+    the last batch only).  The feed is read once and landed.  An empty fetch
+    is normal: it is logged (if ``log_path`` is given) and changes nothing.
+    A batch that changes nothing skips the commit."""
+    raw = files.read_permits_json(spark, batch_path, multi_line) if family == "api" else files.read_permits_csv(spark, batch_path, multi_line)
+    staged = f"{target.root}/staging/{uuid.uuid4().hex}"
+    ordered = files.with_arrival(raw)
+    files.write_parquet(ordered, staged)
+    landed = files.require_clean(spark.read.schema(ordered.schema).parquet(staged))
+    batch = normalize.conform(landed, keep_extra=True)
+    gate = quality.quality_gate(batch, min_rows=min_rows).first()
+    if log_path is not None:
+        ingest.append_log(spark, log_path, None, now, gate["n_rows"])
     version, report = None, None
-    if target.current_version() is None:
-        version = table.full_refresh(target, batch, now=now)
-    else:
-        version, report = table.apply_batch(target, batch.withColumn("arrival", F.lit(0)), now=now)
+    if gate["n_rows"]:
+        quality.enforce_gate(spark.createDataFrame([gate], quality.GATE_SCHEMA))
+        version, report = table.merge_batch(target, batch, now=now)
     merged = target.read()
     comparison = daily.weekday_comparison(merged, start=day, end=day)
     by_day = rankings.leaderboard_by_day(merged, k=5, start=day, end=day)
@@ -71,10 +82,15 @@ def full_refresh_job(
 ) -> int:
     """Bulk CSV -> conform -> gate -> new table version (old one stays);
     the stored version is counted back and gated again (A9)."""
-    permits = normalize.conform(files.read_permits_csv(spark, csv_path))
+    permits = normalize.conform(files.with_arrival(files.read_permits_csv(spark, csv_path)), keep_extra=True)
     quality.enforce_gate(quality.quality_gate(permits, min_rows=min_rows))
     version = table.full_refresh(target, permits, now=now)
-    quality.enforce_gate(quality.quality_gate(target.read(version), min_rows=min_rows))
+    stored = target.read(version)
+    quality.enforce_gate(quality.quality_gate(stored, min_rows=min_rows))
+    per_ticket = F.count_distinct(table.KEY) + F.count_if(F.col(table.KEY).isNull())
+    read, written = permits.agg(per_ticket).first()[0], stored.count()
+    if read != written:
+        raise quality.DataValidationError(f"{read} rows were read and {written} are stored")
     return version
 
 

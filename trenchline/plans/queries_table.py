@@ -190,3 +190,35 @@ def q_stream_ingest(spark, sf):
     q = start_ingest(spark, f"{base}/landing", t, f"{base}/checkpoint", f"{base}/log", files_per_batch=1, clock=fixed_clock(T1))
     q.awaitTermination()
     return t.read().select(*PERMIT_COLUMNS)
+
+
+@register(
+    "stream_upsert",
+    with_permits(
+        f"""
+select * replace (
+  case when {BAD} then null else street_number_from end as street_number_from,
+  case when {BAD} then null else latitude end as latitude)
+from (
+  select l.*, coalesce(e.created_at, timestamp '{T1}') as created_at, timestamp '{T1}' as updated_at
+  from latest l left join existing e on e.dig_ticket_number = l.dig_ticket_number
+  union all
+  select * from existing where dig_ticket_number not in (select dig_ticket_number from latest)) u""",
+        UPSERT_CTES,
+    ),
+    stamps=AUDIT_STAMPS,
+)
+def q_stream_upsert(spark, sf):
+    """R1-R3 with re-sent copies: the first load and then the whole batch, copies
+    of a ticket in the order they were sent, through the streaming job."""
+    from trenchline.streaming.ingest import fixed_clock, start_ingest
+
+    base = scratch_path(spark, "stream_upsert")
+    existing, batch = fixtures.upsert_inputs(permits(spark, sf))
+    t = table.PermitTable(spark, f"{base}/table")
+    for name, rows, clock in (("a", existing, T0), ("b", batch.where("arrival = 1"), T1), ("c", batch.where("arrival = 2"), T1)):
+        files.write_json_lines(fixtures.raw_feed(rows, "api"), f"{base}/landing/{name}")
+        if name != "b":  # b and c are one micro-batch
+            q = start_ingest(spark, f"{base}/landing/*", t, f"{base}/checkpoint", f"{base}/log", clock=fixed_clock(clock))
+            q.awaitTermination()
+    return t.read()

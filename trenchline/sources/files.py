@@ -7,6 +7,10 @@ column's type between batches), then conformed by ``operators.normalize``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trenchline.schema import API_FIELD_NAMES, CSV_FIELD_NAMES
 
 
 def read_permits_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -23,15 +27,52 @@ def read_permits_csv(spark: SparkSession, path: str, multi_line: bool = False) -
     )
 
 
+CORRUPT = "_corrupt_record"
+
+
+class FeedError(RuntimeError):
+    """A landed feed cannot be read as its family says."""
+
+
+def feed_schema(family: str = "api") -> T.StructType:
+    """All-text schema of a feed family."""
+    names = API_FIELD_NAMES if family == "api" else CSV_FIELD_NAMES
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
 def read_permits_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Landed API responses.  JSON Lines by default (splittable); set
-    ``multi_line`` for files holding one JSON array.  Values arrive as text."""
-    return (
-        spark.read.option("multiLine", multi_line)
-        .option("primitivesAsString", True)
-        .option("mode", "PERMISSIVE")
-        .json(path)
-    )
+    ``multi_line`` for files holding one JSON array.  The schema is fixed (no
+    inference pass), values arrive as text, and text that is no record of the
+    chosen form is kept in ``_corrupt_record`` (see ``require_clean``)."""
+    schema = feed_schema("api").add(CORRUPT, T.StringType())
+    return spark.read.schema(schema).option("multiLine", multi_line).option("primitivesAsString", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def require_clean(landed: DataFrame) -> DataFrame:
+    """Raise if a landed feed holds unreadable records; else drop their column."""
+    if CORRUPT not in landed.columns:
+        return landed
+    bad = landed.where(F.col(CORRUPT).isNotNull()).count()
+    if bad:
+        raise FeedError(f"{bad} records of the feed cannot be read in the chosen form (JSON Lines or one array per file)")
+    return landed.drop(CORRUPT)
+
+
+def with_file(raw: DataFrame) -> DataFrame:
+    """``arrival``: time, name and block of the file that a row is from (also on a stream)."""
+    meta = F.col("_metadata")
+    return raw.withColumn("arrival", F.struct(meta["file_modification_time"].alias("time"), meta["file_name"].alias("file"), meta["file_block_start"].alias("block")))
+
+
+def with_row(batch: DataFrame) -> DataFrame:
+    """Add the row's position in its block to ``arrival``; to be called on the scan itself."""
+    return batch.withColumn("arrival", F.col("arrival").withField("row", F.monotonically_increasing_id()))
+
+
+def with_arrival(raw: DataFrame) -> DataFrame:
+    """Order of the rows of a file feed: file time and name, then position in the file."""
+    return with_row(with_file(raw))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

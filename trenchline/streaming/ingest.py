@@ -18,6 +18,7 @@ overlap window exists for the same reason).
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,22 +26,22 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from trenchline.operators import normalize, table
-from trenchline.schema import API_FIELD_NAMES, CSV_FIELD_NAMES, PERMIT_COLUMNS
+from trenchline.sources import files
 
 LOG_SCHEMA = "batch_id bigint, batch_ts timestamp_ntz, rows bigint"
 
 
-def feed_schema(family: str = "api") -> T.StructType:
-    """All-text schema of a feed family (file streams need a fixed schema)."""
-    names = API_FIELD_NAMES if family == "api" else CSV_FIELD_NAMES
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
 def _read_log(spark: SparkSession, log_path: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(LOG_SCHEMA).parquet(log_path)
-    except Exception:  # no log yet
+    """The log, None if there is none yet; a log that cannot be read is an error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log_path)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return None
+    return spark.read.schema(LOG_SCHEMA).parquet(log_path)
+
+
+def append_log(spark: SparkSession, log_path: str, batch_id: int | None, now, n: int) -> None:
+    now = _dt.datetime.fromisoformat(now) if isinstance(now, str) else now or table.utc_now()
+    spark.createDataFrame([(batch_id, now, n)], LOG_SCHEMA).write.mode("append").parquet(log_path)
 
 
 def make_batch_handler(target: table.PermitTable, log_path: str, clock=None):
@@ -52,16 +53,12 @@ def make_batch_handler(target: table.PermitTable, log_path: str, clock=None):
         if log is not None and log.where(F.col("batch_id") == batch_id).limit(1).count() > 0:
             return  # already applied
         now = (clock or table.utc_now)()
-        rows = normalize.conform(batch).withColumn("arrival", F.lit(batch_id).cast("bigint"))
-        n = rows.count()
-        if n > 0:
-            if target.current_version() is None:
-                target.commit(table.with_audit(rows.select(*PERMIT_COLUMNS), now))
-            else:
-                merged = table.upsert(target.read(), rows, now=now)
-                target.commit(merged)
-        entry = spark.createDataFrame([(batch_id, now, n)], LOG_SCHEMA)
-        entry.write.mode("append").parquet(log_path)
+        staged = f"{target.root}/staging/{uuid.uuid4().hex}"
+        ordered = files.with_row(batch)
+        files.write_parquet(ordered, staged)  # the files of the batch are read once
+        landed = files.require_clean(spark.read.schema(ordered.schema).parquet(staged))
+        table.merge_batch(target, normalize.conform(landed, keep_extra=True), now=now)
+        append_log(spark, log_path, batch_id, now, landed.count())
 
     return handle
 
@@ -80,10 +77,15 @@ def start_ingest(
 ) -> StreamingQuery:
     """Start the ingest stream.  ``available_now`` processes what has landed
     and stops (the daily job); ``processing_time`` keeps it running."""
-    reader = spark.readStream.schema(feed_schema(family))
+    schema = files.feed_schema(family)
+    reader = spark.readStream.schema(schema.add(files.CORRUPT, T.StringType()) if family == "api" else schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    src = reader.json(landing_dir) if family == "api" else reader.option("header", True).csv(landing_dir)
+    if family == "api":
+        src = reader.option("primitivesAsString", True).option("columnNameOfCorruptRecord", files.CORRUPT).json(landing_dir)
+    else:  # a header in another order is an error, not a silent shift of columns
+        src = reader.option("header", True).option("enforceSchema", False).csv(landing_dir)
+    src = files.with_file(src)
     writer = src.writeStream.foreachBatch(make_batch_handler(target, log_path, clock)).option("checkpointLocation", checkpoint_dir)
     if processing_time:
         writer = writer.trigger(processingTime=processing_time)
