@@ -52,6 +52,7 @@ class Vocabulary:
         self.bytes_of: list[bytes] = [b""] * sp.get_piece_size()
         self.byte_id = np.zeros(256, np.int64)
         by_length: dict[int, list[tuple[int, int]]] = {}
+        longer: dict[int, list[int]] = {}  # beginnings of longer pieces, by length
         self.weight = np.full(len(self.bytes_of), -np.inf)
         rank = 0
         for i in range(len(self.bytes_of)):
@@ -65,15 +66,21 @@ class Vocabulary:
                 if SPACE not in piece.lstrip(SPACE):
                     self.weight[i] = -alpha * np.log(rank + 1)
                     code = np.array([ord(c) for c in piece], np.uint64)
-                    by_length.setdefault(len(code), []).append((int(prefix_hashes(code)[-1]), i))
+                    hashes = prefix_hashes(code).tolist()
+                    by_length.setdefault(len(code), []).append((hashes[-1], i))
+                    for length in range(1, len(code)):
+                        longer.setdefault(length, []).append(hashes[length])
         self.byte_weight = -alpha * np.log(len(self.bytes_of) + 1)
         self.tables = {}
-        for length, rows in sorted(by_length.items()):
+        for length in range(1, max(by_length) + 1):
+            rows = by_length.get(length, [])
             keys = np.array([k for k, _ in rows], np.uint64)
             order = np.argsort(keys)
             there = np.zeros(1 << 18, bool)  # a quick look before the search
             there[keys >> np.uint64(46)] = True
-            self.tables[length] = keys[order], np.array([i for _, i in rows])[order], there
+            goes_on = np.zeros(1 << 18, bool)
+            goes_on[np.array(longer.get(length, []), np.uint64) >> np.uint64(46)] = True
+            self.tables[length] = keys[order], np.array([i for _, i in rows], np.int64)[order], there, goes_on
 
 
 @lru_cache(maxsize=2)
@@ -127,13 +134,18 @@ class Lattice:
         inverse = _inverse(1 << max(10, n.bit_length()))[:n]
         starts, lengths, ids = [], [], []
         single = np.zeros(n, bool)
-        for length, (keys, pieces_, there) in vocab.tables.items():
-            at = np.flatnonzero(room >= length)
+        alive = np.arange(n)  # characters at which a piece of this length or more may begin
+        for length, (keys, pieces_, there, goes_on) in vocab.tables.items():
+            at = alive[room[alive] >= length]
             if not len(at):
                 break
             key = (h[at + length] - h[at]) * inverse[at]
-            maybe = there[key >> np.uint64(46)]
+            slot = key >> np.uint64(46)
+            alive = at[goes_on[slot]]
+            maybe = there[slot]
             at, key = at[maybe], key[maybe]
+            if not len(at):
+                continue
             i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             hit = keys[i] == key
             starts.append(at[hit]), ids.append(pieces_[i[hit]]), lengths.append(np.full(int(hit.sum()), length))
