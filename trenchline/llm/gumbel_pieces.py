@@ -35,7 +35,7 @@ from trenchline.llm.words import gather_ranges, lengths_to_offsets, mix, pieces,
 SPACE = "▁"
 BASE = np.uint64(0x100000001B3 | 1 << 61)
 #: bytes of text whose lattices are in memory at once
-TEXT_BYTES = 6 << 20
+TEXT_BYTES = 2 << 20
 
 
 def default_path() -> str:
