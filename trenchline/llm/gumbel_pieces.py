@@ -23,6 +23,7 @@ give equal samples.  Spaces other than U+0020 are ordinary characters.
 from __future__ import annotations
 
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,17 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Table(NamedTuple):
+    """Pieces of one length by the hash of their characters."""
+
+    keys: np.ndarray  # ascending, and a last one above all
+    ids: np.ndarray
+    begin: np.ndarray  # first key by the hash's upper 18 bits
+    there: np.ndarray  # whether there is any
+    goes_on: np.ndarray  # whether a longer piece may begin so
+    most: int  # keys with equal upper bits, at most
+
+
 class Vocabulary:
     def __init__(self, path: str, alpha: float):
         import sentencepiece
@@ -65,22 +77,27 @@ class Vocabulary:
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
                 if SPACE not in piece.lstrip(SPACE):
                     self.weight[i] = -alpha * np.log(rank + 1)
-                    code = np.array([ord(c) for c in piece], np.uint64)
-                    hashes = prefix_hashes(code).tolist()
-                    by_length.setdefault(len(code), []).append((hashes[-1], i))
-                    for length in range(1, len(code)):
-                        longer.setdefault(length, []).append(hashes[length])
+                    key = 0
+                    for length, code in enumerate(mix(np.array([ord(c) for c in piece], np.uint64) + np.uint64(1)).tolist(), 1):
+                        key = (key * int(BASE) + code) % (1 << 64)
+                        if length < len(piece):
+                            longer.setdefault(length, []).append(key)
+                    by_length.setdefault(len(piece), []).append((key, i))
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.bytes_size = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.bytes_at = lengths_to_offsets(self.bytes_size)[:-1]
         self.byte_weight = -alpha * np.log(len(self.bytes_of) + 1)
         self.tables = {}
         for length in range(1, max(by_length) + 1):
             rows = by_length.get(length, [])
             keys = np.array([k for k, _ in rows], np.uint64)
             order = np.argsort(keys)
-            there = np.zeros(1 << 18, bool)  # a quick look before the search
-            there[keys >> np.uint64(46)] = True
             goes_on = np.zeros(1 << 18, bool)
             goes_on[np.array(longer.get(length, []), np.uint64) >> np.uint64(46)] = True
-            self.tables[length] = keys[order], np.array([i for _, i in rows], np.int64)[order], there, goes_on
+            count = np.bincount((keys >> np.uint64(46)).astype(np.int64), minlength=1 << 18)
+            self.tables[length] = Table(
+                np.append(keys[order], ~np.uint64(0)), np.array([i for _, i in rows], np.int64)[order], lengths_to_offsets(count)[:-1], count > 0, goes_on, int(count.max(initial=0))
+            )
 
 
 @lru_cache(maxsize=2)
@@ -88,34 +105,6 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
     return Vocabulary(path, alpha)
 
 
-def prefix_hashes(code: np.ndarray) -> np.ndarray:
-    """Weighted sums of mixed codes; the hash of a slice is a difference scaled to a common power."""
-    out = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(mix(code.astype(np.uint64) + np.uint64(1)) * powers(len(code)), out=out[1:])
-    return out
-
-
-@lru_cache(maxsize=8)
-def _powers(n: int) -> np.ndarray:
-    out = np.empty(n + 1, np.uint64)
-    out[0] = 1
-    out[1:] = BASE
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    return _powers(1 << max(10, int(n).bit_length()))[:n]
-
-
-@lru_cache(maxsize=8)
-def _inverse(n: int) -> np.ndarray:
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    out = np.empty(n + 1, np.uint64)
-    out[0] = 1
-    out[1:] = inverse
-    return np.cumprod(out, dtype=np.uint64)
-
-
 class Lattice:
     """Lattices of distinct chunks, their characters laid out one after the other.
 
@@ -130,40 +119,47 @@ class Lattice:
         self.end = np.repeat(self.first + size, size)  # by character
         n = len(code)
         room = self.end - np.arange(n)
-        h = prefix_hashes(code.astype(np.uint64))
-        inverse = _inverse(1 << max(10, n.bit_length()))[:n]
-        starts, lengths, ids = [], [], []
+        mixed = mix(code.astype(np.uint64) + np.uint64(1))
+        found = []  # (first characters, length, ids), a length at a time
         single = np.zeros(n, bool)
         alive = np.arange(n)  # characters at which a piece of this length or more may begin
-        for length, (keys, pieces_, there, goes_on) in vocab.tables.items():
-            at = alive[room[alive] >= length]
-            if not len(at):
+        key = np.zeros(n, np.uint64)  # hash of the characters from there
+        for length, table in vocab.tables.items():
+            inside = room[alive] >= length
+            alive, key = alive[inside], key[inside]
+            if not len(alive):
                 break
-            key = (h[at + length] - h[at]) * inverse[at]
-            slot = key >> np.uint64(46)
-            alive = at[goes_on[slot]]
-            maybe = there[slot]
-            at, key = at[maybe], key[maybe]
-            if not len(at):
-                continue
-            i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[i] == key
-            starts.append(at[hit]), ids.append(pieces_[i[hit]]), lengths.append(np.full(int(hit.sum()), length))
+            key = key * BASE + mixed[alive + (length - 1)]
+            slot = (key >> np.uint64(46)).astype(np.int64)
+            maybe = table.there[slot]
+            at, wanted, i = alive[maybe], key[maybe], table.begin[slot[maybe]]
+            for _ in range(table.most - 1):
+                i += table.keys[i] < wanted
+            hit = table.keys[i] == wanted
+            found.append((at[hit], length, table.ids[i[hit]]))
             if length == 1:
                 single[at[hit]] = True
+            longer = table.goes_on[slot]
+            alive, key = alive[longer], key[longer]
         bare = np.flatnonzero(~single)
-        starts.append(bare), ids.append(-code[bare]), lengths.append(np.ones(len(bare), np.int64))
-        start, length, piece = np.concatenate(starts), np.concatenate(lengths), np.concatenate(ids)
-        order = np.argsort(start * 64 + (63 - length))  # long pieces, the likely ones, first
-        start, length, self.piece = start[order], length[order], piece[order]
+        found.append((bare, 1, -code[bare]))
+        count = np.zeros(n, np.int64)
+        for at, _, _ in found:
+            count[at] += 1
+        self.begin = lengths_to_offsets(count)  # edges of each character
+        start = np.repeat(np.arange(n), count)
+        length, self.piece = np.empty_like(start), np.empty_like(start)
+        place = self.begin[:-1].copy()
+        for at, size_, ids in sorted(found, key=lambda x: -x[1]):  # long pieces, the likely ones, first
+            length[place[at]], self.piece[place[at]] = size_, ids
+            place[at] += 1
         n_bytes = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
         weight = np.where(self.piece >= 0, vocab.weight[np.maximum(self.piece, 0)], vocab.byte_weight * n_bytes[start] if n else 0.0)
-        self.begin = np.searchsorted(start, np.arange(n + 1))  # edges of each character
         self.to = start + length
         # backward sums, from the end of the chunks to their beginning
         beta = np.zeros(n + 1)
-        by_room = np.argsort(room, kind="stable")
-        cuts = np.searchsorted(room[by_room], np.arange(1, int(room.max(initial=0)) + 2))
+        by_room = np.argsort(room.astype(np.min_scalar_type(int(room.max(initial=0)))), kind="stable")
+        cuts = lengths_to_offsets(np.bincount(room))[1:]
         done = self.to == self.end[start] if n else np.zeros(0, bool)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             chars = by_room[a:b]
@@ -179,13 +175,16 @@ class Lattice:
         self.start = start
         self.key = start + np.minimum(total[1:] - total[self.begin[start]], 1.0)
         self.alone = (self.begin[start + 1] - self.begin[start]) == 1
+        self.last = np.append(start[1:] != start[:-1], True) if len(start) else np.zeros(0, bool)
 
     def sample(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each character, by its probability."""
-        e, last, want = self.begin[node], self.begin[node + 1] - 1, node + u
-        open_ = np.arange(len(node))
+        e, want = self.begin[node], node + u
+        open_ = np.flatnonzero(self.key[e] <= want)
         while len(open_):
-            open_ = open_[(self.key[e[open_]] <= want[open_]) & (e[open_] < last[open_])]
+            at = e[open_]
+            goes_on = ~self.last[at] & (self.key[at] <= want[open_])
+            open_ = open_[goes_on]
             e[open_] += 1
         return e
 
@@ -209,20 +208,30 @@ def walk(lattice: Lattice, owner: np.ndarray, nodes: np.ndarray, seeds: np.ndarr
     ``owner`` ascending; ``seeds`` by owner value."""
     place = np.arange(len(nodes))
     nth = place - np.searchsorted(owner, owner)
-    who, edges, where, steps = [], [], [], []
+    edges, where = [], []
+    size = np.zeros(len(nodes), np.int64)  # edges of each node's chain
     step, here, node = 0, place, nodes
     while len(here):
         u = uniform(seeds[owner[here]], (nth[here] << 16) + step)
         e = lattice.sample(node, u)
-        who.append(owner[here]), edges.append(e), where.append(here), steps.append(np.full(len(here), step))
+        edges.append(e), where.append(here)
+        size[here] += 1
         more = ~lattice.done[e]
-        here, node, step = here[more], lattice.to[e][more], step + 1
-    if not who:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty
-    who, edges, where, steps = map(np.concatenate, (who, edges, where, steps))
-    order = np.lexsort((steps, where))
-    return who[order], edges[order], where[order]
+        here, node, step = here[more], lattice.to[e[more]], step + 1
+    begin = lengths_to_offsets(size)
+    in_order = np.empty(int(begin[-1]), np.int64)
+    for step, (e, here) in enumerate(zip(edges, where)):
+        in_order[begin[here] + step] = e
+    where = np.repeat(place, size)
+    return owner[where], in_order, where
+
+
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 class Path:
@@ -237,12 +246,12 @@ class Path:
 
 def sample_texts(texts: list[str], keys: np.ndarray, k: int, vocab: Vocabulary) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k (edges' pieces, log p, perturbed value, inclusion score), best first."""
-    chunk_of: dict[str, int] = {}
-    lists = [[chunk_of.setdefault(c, len(chunk_of)) for c in chunks(t)] for t in texts]
+    chunk_of = Numbers()
+    lists = [np.fromiter(map(chunk_of.__getitem__, chunks(t)), np.int64) for t in texts]
     lattice = Lattice(list(chunk_of), vocab)
     n = len(texts)
     sizes = np.array([len(x) for x in lists], np.int64)
-    flat = np.array([c for x in lists for c in x], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *lists])
     chunk_start = lengths_to_offsets(sizes)
     root = -np.log(-np.log(uniform(keys, np.full(n, (1 << 48) + 1))))
     found: list[list[Path]] = [[] for _ in range(n)]
@@ -318,6 +327,8 @@ def chunks(text: str) -> list[str]:
     """Chunks of the coded text: each begins with its spaces; empty text has none."""
     if not text:
         return []
+    if "  " not in text and text[0] != " " and text[-1] != " ":
+        return (SPACE + text.replace(" ", " " + SPACE)).split(" ")
     parts = (" " + text).split(" ")[1:]
     out, spaces = [], 0
     for part in parts:
@@ -347,8 +358,8 @@ def piece_ids(piece: np.ndarray, vocab: Vocabulary) -> np.ndarray:
 
 def decode(ids: np.ndarray, vocab: Vocabulary) -> str:
     """The text that ids stand for (the space in front taken off)."""
-    table = vocab.bytes_of
-    return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
+    at = gather_ranges(vocab.bytes_at[ids], vocab.bytes_size[ids])
+    return vocab.all_bytes[at].tobytes().decode("utf-8", "replace")[1:]
 
 
 SAMPLES = T.StructType(
