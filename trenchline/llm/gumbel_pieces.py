@@ -148,6 +148,7 @@ class Lattice:
             count[at] += 1
         self.begin = lengths_to_offsets(count)  # edges of each character
         start = np.repeat(np.arange(n), count)
+        self.alone = np.repeat(count == 1, count)
         length, self.piece = np.empty_like(start), np.empty_like(start)
         place = self.begin[:-1].copy()
         for at, size_, ids in sorted(found, key=lambda x: -x[1]):  # long pieces, the likely ones, first
@@ -174,9 +175,16 @@ class Lattice:
         total = np.concatenate([[0.0], np.cumsum(p)])
         self.start = start
         self.key = start + np.minimum(total[1:] - total[self.begin[start]], 1.0)
-        self.alone = (self.begin[start + 1] - self.begin[start]) == 1
         self.last = np.append(start[1:] != start[:-1], True) if len(start) else np.zeros(0, bool)
 
+    def rest(self, edges: np.ndarray) -> np.ndarray:
+        """Log probability of all other edges of the same character together."""
+        out = np.full(len(edges), -np.inf)
+        some = np.flatnonzero(~self.alone[edges])
+        with np.errstate(divide="ignore"):
+            out[some] = np.log(np.maximum(-np.expm1(self.log_p[edges[some]]), 0.0))
+        return out
+
     def sample(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each character, by its probability."""
         e, want = self.begin[node], node + u
@@ -195,11 +203,17 @@ def uniform(seed: np.ndarray, n: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
 
 
-def truncated(place: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel values of location ``place`` given that they are at most ``most``."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = -np.logaddexp(-most, np.log(-np.log(u)) - place)
-    return np.where(np.isneginf(place), -np.inf, out)
+def noise(u: np.ndarray) -> np.ndarray:
+    """Minus a standard Gumbel value from a number in (0, 1)."""
+    return np.log(-np.log(u))
+
+
+def truncated(place: np.ndarray, most: float, lost: np.ndarray) -> np.ndarray:
+    """Gumbel values of location ``place``, given that they are at most ``most``, from ``noise``."""
+    out = np.full(len(place), -np.inf)
+    there = np.flatnonzero(place > -np.inf)  # most edges have no other beside them
+    out[there] = -np.logaddexp(-most, lost[there] - place[there])
+    return out
 
 
 def walk(lattice: Lattice, owner: np.ndarray, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,24 +276,28 @@ def sample_texts(texts: list[str], keys: np.ndarray, k: int, vocab: Vocabulary)
         who, edges, where = walk(lattice, owner, np.concatenate(nodes) if len(nodes) else np.zeros(0, np.int64), seeds)
         cut = np.searchsorted(who, np.arange(len(docs) + 1))
         base = np.searchsorted(owner, np.arange(len(docs)))
+        place = np.arange(len(who)) - cut[who]
+        place += np.array([f[1] is not None for f in firsts], np.int64)[who]  # a given first edge counts as well
+        all_steps, all_rest = lattice.log_p[edges], lattice.rest(edges)
+        all_noise = noise(uniform(seeds[who], place + (1 << 50)))
         for i, d in enumerate(docs.tolist()):
             g, edge, before, excluded, prefix, chunk = firsts[i]
             own = edges[cut[i] : cut[i + 1]]
             at = where[cut[i] : cut[i + 1]] - base[i] + chunk
+            steps, rest, lost = all_steps[cut[i] : cut[i + 1]], all_rest[cut[i] : cut[i + 1]], all_noise[cut[i] : cut[i + 1]]
             if edge is not None:
                 own = np.concatenate([[edge], own])
                 at = np.concatenate([[chunk], at])
-            steps = lattice.log_p[own]
+                steps = np.concatenate([[lattice.log_p[edge]], steps])
+                rest = np.concatenate([lattice.rest(np.array([edge])), rest])
+                lost = np.concatenate([noise(uniform(seeds[i : i + 1], np.array([1 << 50]))), lost])
             ahead = before + np.concatenate([[0.0], np.cumsum(steps)])
-            with np.errstate(divide="ignore"):
-                rest = np.where(lattice.alone[own], -np.inf, np.log(np.maximum(-np.expm1(steps), 0.0)))
             if excluded is not None and len(own):
                 node = lattice.start[own[0]]
                 out = set(excluded) | {int(own[0])}
                 left = [e for e in range(int(lattice.begin[node]), int(lattice.begin[node + 1])) if e not in out]
                 rest[0] = np.logaddexp.reduce(lattice.log_p[left]) if left else -np.inf
-            u = uniform(np.full(len(own), seeds[i]), (np.arange(len(own)) + (1 << 50)))
-            bound = truncated(ahead[:-1] + rest, np.full(len(own), g), u)
+            bound = truncated(ahead[:-1] + rest, g, lost)
             found[d].append(Path(own, at, bound, ahead, g, float(ahead[-1]), excluded, prefix))
 
     everyone = np.arange(n)
