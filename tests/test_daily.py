@@ -3,6 +3,7 @@
 import datetime as dt
 
 from trenchline.operators import daily
+from trenchline.operators.cards import report_texts
 
 
 def permits_on(spark, days):
@@ -32,7 +33,9 @@ def test_window_bounds_and_options(spark):
     r = out["2022-01-11"]
     assert r.num_days == 1 and r.avg_total == 2.0  # 2020-01-07 is 735 days back: outside [d-730, d)
     short = daily.weekday_comparison(p, start="2022-01-11", end="2022-01-11", min_history_days=2).first()
-    assert short.avg_total is None
+    assert short.avg_total is None and short.total_diff_percent is None
+    text = report_texts(daily.weekday_comparison(p, start="2022-01-11", end="2022-01-11", min_history_days=2)).first().text
+    assert "Total Permits Starting to Dig: 4\n\n" in text and "avg" not in text
     hol = spark.createDataFrame([(dt.date(2022, 1, 4),)], "day date")
     h = daily.weekday_comparison(p, start="2022-01-11", end="2022-01-11", holidays=hol).first()
     assert h.num_days == 0 and h.avg_total == 0.0

@@ -54,14 +54,19 @@ def change_line(pct_raw: Column, day_name: Column) -> Column:
     return F.concat(F.lit(REPORT_INDENT), arrow(pct), F.lit(" "), py_format0(F.abs(pct)), F.lit(VS_AVG), day_name, F.lit(AVG_SUFFIX))
 
 
+def _line_if(line: Column) -> Column:
+    """The line on a row of its own; nothing where it is null (too little history)."""
+    return F.coalesce(F.concat(F.lit("\n"), line), F.lit(""))
+
+
 def report_text(day_name: Column, total: Column, emergency: Column, regular: Column,
                 total_pct: Column, emergency_pct: Column, regular_pct: Column) -> Column:
     """The daily report post."""
     return F.concat(
         F.lit(REPORT_TITLE), day_name, F.lit("\n\n"),
-        F.lit(REPORT_TOTAL), _s(total), F.lit("\n"), change_line(total_pct, day_name), F.lit("\n\n"),
-        F.lit(REPORT_EMERGENCY), _s(emergency), F.lit("\n"), change_line(emergency_pct, day_name), F.lit("\n\n"),
-        F.lit(REPORT_REGULAR), _s(regular), F.lit("\n"), change_line(regular_pct, day_name),
+        F.lit(REPORT_TOTAL), _s(total), _line_if(change_line(total_pct, day_name)), F.lit("\n\n"),
+        F.lit(REPORT_EMERGENCY), _s(emergency), _line_if(change_line(emergency_pct, day_name)), F.lit("\n\n"),
+        F.lit(REPORT_REGULAR), _s(regular), _line_if(change_line(regular_pct, day_name)),
     )
 
 

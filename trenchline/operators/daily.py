@@ -143,7 +143,7 @@ def permit_summary(permits: DataFrame, start=None, end=None) -> DataFrame:
 
 
 def _pct(actual, avg):
-    return F.when(avg > 0, (actual - avg) / avg * F.lit(100.0)).otherwise(F.lit(0.0))
+    return F.when(avg > 0, (actual - avg) / avg * F.lit(100.0)).when(avg.isNotNull(), F.lit(0.0))
 
 
 def weekday_comparison(
@@ -159,8 +159,8 @@ def weekday_comparison(
     History averages count only days that had permits (empty days are null in
     the spine, so AVG skips them).  A day without permits still gets a row:
     actual 0, the usual average, -100 %.  With no history the averages and
-    the changes are 0.  ``min_history_days``: averages become null when fewer
-    history days exist.  ``holidays`` (a frame with a ``day`` column) are left
+    the changes are 0.  ``min_history_days``: averages and changes become null
+    when fewer history days exist.  ``holidays`` (a frame with a ``day`` column) are left
     out of the history.
 
     Plan: the permit scan feeds one hash aggregate by day; the window then runs
