@@ -35,7 +35,7 @@ def _prefix_counts(log: DataFrame, ts: str) -> DataFrame:
     inner = Window.partitionBy("_bucket").orderBy(F.col(ts))
     inner_before = inner.rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("_gi", F.row_number().over(inner) - 1).withColumn("_nei", F.coalesce(F.sum("_ne").over(inner_before), F.lit(0)))
-    return b.join(F.broadcast(offsets), "_bucket").select(
+    return b.join(offsets, "_bucket").select(
         *log.columns,
         (F.col("_g0") + F.col("_gi")).alias("g"),
         (F.col("_ne0") + F.col("_nei")).alias("ne_before"),
