@@ -1,19 +1,24 @@
 """Language-model scores from Elias-Fano n-gram tries.
 
-Training.  Words get dense ids and counts by sharded unigram counting.  For
-each order above one, an n-gram is a context (the words before) and a
-successor.  A shard owns contexts by hash; a context of very frequent words is
-split over all shards by successor.  A shard's trie holds its contexts, its
-pointers and its successors (written relative to their context's base, so the
-level is monotone) as Elias-Fano levels, and beside them the discounted
-probabilities, (count - D) / context count, quantised to one byte on a
-logarithmic scale.  The levels are laid out in a file that is memory-mapped
-and queried by successor search within the context's range.
+Training.  Words get dense ids and counts by sharded unigram counting.  Every
+document is padded with begin symbols of its own for each place; from each
+word starts one window of ``order`` words.  A block sends its distinct windows
+once, as a trie of its own: a window's beginnings are the shorter n-grams, and
+their counts are sums over the windows below them.  A shard owns windows by
+their first word's hash.  A context all of whose words are very frequent is
+split over all shards by the next word; the totals and numbers of successors
+of the split contexts are summed over all shards into one small table that
+every block gets.  A shard's trie holds each level as an Elias-Fano sequence
+(first words; then successors, written relative to their context's base, so
+the level is monotone), chained to the next level by Elias-Fano pointers, and
+beside each level the discounted probabilities, (count - D) / context count,
+quantised to one byte on a logarithmic scale.  The levels are laid out in a
+file that is memory-mapped; an n-gram is found by walking from level to level.
 
 Scoring.  log10 p(w | context) by interpolated absolute discounting, down to
-the add-one unigram model.  Each block of documents asks the shards for its
-distinct n-grams once, in the same shuffle that carries its training counts,
-so the model is never gathered in one place and its size is no limit.
+the add-one unigram model.  The answers to a block come back in the order of
+its windows, so the model is never gathered in one place and its size is no
+limit.
 
 Null text: no words, the end token alone.  Repeated rows are scored alike and
 count each time in training.  A null doc_id counts as the empty string in the
@@ -37,7 +42,8 @@ from trenchline.llm.elias_fano import EliasFano
 from trenchline.llm.words import joined, lengths_to_offsets, mix, word_hashes
 
 DISCOUNT = 0.75
-END, BEGIN, FIRST_WORD = 0, 1, 2
+#: ids of the end of a document and of no word at all; begin symbols follow, then words
+END, NONE, BEGIN = 0, 1, 2
 #: log10 range of the probability codes 1 to 255
 SPAN = 10.0
 
@@ -55,62 +61,103 @@ def expand(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** ((code.astype(float) - 255) * (SPAN / 254)), 0.0)
 
 
+def is_hot(ids: np.ndarray) -> np.ndarray:
+    """Ids of very frequent words are odd."""
+    return (ids & np.uint64(1)).astype(bool)
+
+
+def _starts(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """For each level, whether a row differs from the row before in the columns up to it."""
+    out, new = [], np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new = new.copy()
+        new[1:] |= c[1:] != c[:-1]
+        out.append(new)
+    return out
+
+
 class Trie:
-    """Levels of one shard in a memory-mapped file."""
-
-    LEVELS = ("contexts", "pointers", "successors")
-
-    def __init__(self, contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, counts: np.ndarray):
-        """``contexts`` ascending; successors of context i, ascending, at starts[i]:starts[i + 1]."""
-        per = np.diff(starts)
-        owner = np.repeat(np.arange(len(contexts)), per)
-        self.base = np.uint64(int(successors.max()) + 1 if len(successors) else 1)
-        self.total = np.bincount(owner, counts, minlength=len(contexts)).astype(np.int64)
-        self.kinds = per.astype(np.int64)
-        codes = quantise((counts - DISCOUNT) / self.total[owner]) if len(counts) else np.zeros(0, np.uint8)
-        parts, self.places, at = [], {}, 0
-        for name, values in zip(self.LEVELS, (contexts, starts, owner.astype(np.uint64) * self.base + successors.astype(np.uint64))):
+    """Levels of one shard in a memory-mapped file, each chained to the next by pointers."""
+
+    def __init__(self, columns: list[np.ndarray], counts: np.ndarray):
+        """``columns``: the words of distinct windows in ascending order; ``counts``: of each window."""
+        self.order = len(columns)
+        starts = [np.flatnonzero(x) for x in _starts(columns)]
+        levels, self.total, self.kinds, self.split, self.heads = [], [], [], [], []
+        codes: list[np.ndarray] = []
+        all_hot = np.ones(len(counts), bool)
+        self.bases = []
+        for k, at in enumerate(starts):
+            word = columns[k][at].astype(np.uint64)
+            all_hot &= is_hot(columns[k])
+            split = all_hot[at] & (k < self.order - 1)
+            total = np.add.reduceat(counts, at) if len(at) else np.zeros(0, np.int64)
+            base = np.uint64(int(word.max()) + 1 if len(word) else 1)
+            if k:
+                owner = np.searchsorted(starts[k - 1], at, "right") - 1
+                codes.append(quantise((total - DISCOUNT) / self.total[-1][owner]) if len(at) else np.zeros(0, np.uint8))
+                # a split successor counts once for all shards: see hot_table
+                self.kinds.append(np.bincount(owner, ~(split & self.split[-1][owner]), minlength=len(starts[k - 1])).astype(np.int64))
+                levels.append((f"pointers{k - 1}", np.searchsorted(at, np.append(starts[k - 1], len(counts)))))
+                word = owner.astype(np.uint64) * base + word
+            levels.append((f"words{k}", word))
+            self.bases.append(base)
+            self.total.append(total)
+            self.split.append(split)
+            self.heads.append([c[at[split]] for c in columns[: k + 1]])
+        parts, places, at = [], {}, 0
+        for name, values in levels:
             n, width, low, high = EliasFano.encode(values)
-            self.places[name] = (n, width, at, len(low), len(high))
+            places[name] = (n, width, at, len(low), len(high))
             parts += [low.tobytes(), high.tobytes()]
             at += len(low) + len(high)
-        self.places["codes"] = (len(codes), 8, at, len(codes), 0)
-        parts.append(codes.tobytes() + b"\0")
+        for k, c in enumerate(codes):
+            places[f"codes{k + 1}"] = (len(c), 8, at, len(c), 0)
+            parts.append(c.tobytes())
+            at += len(c)
         self.file = tempfile.TemporaryFile()  # has no name: gone with the task
-        self.file.write(b"".join(parts))
+        self.file.write(b"".join(parts) + b"\0")
         self.file.flush()
         self.map = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
         data = np.frombuffer(self.map, np.uint8)
         self.level = {}
-        for name in self.LEVELS:
-            n, width, a, x, y = self.places[name]
+        for name, _ in levels:
+            n, width, a, x, y = places[name]
             self.level[name] = EliasFano(n, width, data[a : a + x], data[a + x : a + x + y])
-        a = self.places["codes"][2]
-        self.codes = data[a : a + len(codes)]
+        self.codes = {k: data[places[f"codes{k}"][2] :][: places[f"codes{k}"][0]] for k in range(1, self.order)}
 
-    def find_contexts(self, keys: np.ndarray) -> np.ndarray:
-        """Position of each context, -1 if it has none here."""
-        level = self.level["contexts"]
+    def find_first(self, words: np.ndarray) -> np.ndarray:
+        """Node of each first word, -1 if it has none here."""
+        level = self.level["words0"]
         if not level.n:
-            return np.full(len(keys), -1)
-        i = level.search(keys)
+            return np.full(len(words), -1)
+        i = level.search(words)
         j = np.minimum(i, level.n - 1)
-        return np.where((i < level.n) & (level.get(j) == keys), j, -1)
+        return np.where((i < level.n) & (level.get(j) == words), j, -1)
 
-    def find_successors(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Probability code of each successor of its (found or -1) context."""
-        out = np.zeros(len(word), np.uint8)
-        ok = np.flatnonzero((context >= 0) & (word < self.base))
+    def find_next(self, k: int, node: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Node on level ``k`` of each word below its (found or -1) node of the level above, -1 if it has none."""
+        out = np.full(len(words), -1)
+        ok = np.flatnonzero((node >= 0) & (words < self.bases[k]))
         if len(ok):
-            key = context[ok].astype(np.uint64) * self.base + word[ok].astype(np.uint64)
-            level = self.level["successors"]
+            key = node[ok].astype(np.uint64) * self.bases[k] + words[ok].astype(np.uint64)
+            level = self.level[f"words{k}"]
             i = level.search(key)
             j = np.minimum(i, level.n - 1)
-            last = self.level["pointers"].get(context[ok] + 1).astype(np.int64)
+            last = self.level[f"pointers{k - 1}"].get(node[ok] + 1).astype(np.int64)
             hit = (i < last) & (level.get(j) == key)
-            out[ok[hit]] = self.codes[j[hit]]
+            out[ok[hit]] = j[hit]
         return out
 
+    def hot_rows(self):
+        """(words, share of the total, share of the successors) of each split context."""
+        for k in range(self.order - 1):
+            at = np.flatnonzero(self.split[k])
+            words = np.stack(self.heads[k], axis=1).astype("<u8")
+            for context, total, kinds in zip(words, self.total[k][at].tolist(), self.kinds[k][at].tolist()):
+                yield context.tobytes(), total, kinds
+
 
 # --- words: ids and counts -------------------------------------------------
 
@@ -179,58 +226,77 @@ def _known_words(block: B.Block, answers: list, shards: int, offsets: dict[int,
 
 
 class Model:
-    """What scoring needs beside the shards: a few totals and one id offset per shard."""
+    """What scoring needs beside the shards: a few totals, one id offset per shard, and the split contexts' sums."""
 
     def __init__(self, order: int, shards: int, offsets: dict[int, int], n_docs: int, tokens: int, known: int):
         self.order, self.shards, self.offsets = order, shards, offsets
         self.n_docs, self.tokens, self.kinds = n_docs, tokens + n_docs, known + (n_docs > 0)
-
-
-def _grams(block: B.Block, words: list, model: Model):
-    """Per order the n-grams of all tokens, and the tokens' ids, counts and document offsets.
-
-    Each order: (context keys, context counted as hot)."""
-    ids, counts = _known_words(block, words, model.shards, model.offsets)
-    docs = len(block.ends) - 1
-    token = np.insert(ids[block.codes] if len(ids) else np.zeros(0, np.uint64), block.ends[1:], np.uint64(END))
-    count = np.insert(counts[block.codes] if len(ids) else np.zeros(0, np.int64), block.ends[1:], model.n_docs)
-    ends = block.ends + np.arange(docs + 1)
-    first = np.zeros(len(token), bool)
-    first[ends[:-1]] = True
-    hot_from = max(1, model.tokens // model.shards)
-    contexts, past, past_count = [], token, count
-    for k in range(2, model.order + 1):
-        before, before_count = np.empty_like(token), np.empty_like(count)
-        before[1:], before_count[1:] = past[:-1], past_count[:-1]
-        before[:1], before_count[:1] = BEGIN, model.n_docs
-        before[first], before_count[first] = BEGIN, model.n_docs
-        past, past_count = before, before_count
-        if k == 2:
-            key, least = before, before_count
-        else:
-            key, least = joined(key, before) | np.uint64(1 << 63), np.minimum(least, before_count)
-        contexts.append((key, least > hot_from))
-    return token, count, ends, contexts
-
-
-def _distinct(key: np.ndarray, hot: np.ndarray, token: np.ndarray, shards: int):
-    """Distinct (context, word) in shard order: (contexts, words, inverse, cuts between shards)."""
-    shard_key = np.where(hot, joined(mix(key), token), mix(mix(key) + np.uint64(1)))
-    shard = ((shard_key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-    order = np.lexsort((token, key, shard))
-    s, c, w = shard[order], key[order], token[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-    inverse = np.empty(len(s), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return c[new], w[new], inverse, np.searchsorted(s[new], np.arange(shards + 1, dtype=np.uint64))
-
-
-def _runs(contexts: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal contexts."""
-    new = np.ones(len(contexts), bool)
-    new[1:] = contexts[1:] != contexts[:-1]
-    return np.flatnonzero(new)
+        self.hot: dict[bytes, tuple[int, int]] = {}
+
+
+class Windows:
+    """The distinct windows of a block in shard order, as a trie.
+
+    ``columns``: their words; ``starts``: whether a window starts a node, by level; ``nodes``: number of
+    nodes up to each window, by level; ``cuts``: first window of each shard; ``at``: the window that starts
+    at each place of the padded documents (-1 at their ends); ``token``: places of the tokens."""
+
+    def __init__(self, block: B.Block, words: list, model: Model):
+        order, docs = model.order, len(block.ends) - 1
+        ids, counts = _known_words(block, words, model.shards, model.offsets)
+        # block-wide codes: the specials, then the block's words
+        ids = np.concatenate([np.arange(BEGIN + order - 1, dtype=np.uint64), ids])
+        counts = np.concatenate([np.full(BEGIN + order - 1, model.n_docs), counts])
+        counts[NONE] = 0
+        ids = ids * np.uint64(2) + (counts > max(1, model.tokens // model.shards)).astype(np.uint64)
+        lengths = np.diff(block.ends) + order  # begin symbols and the end
+        self.ends = lengths_to_offsets(lengths)
+        padded = np.full(int(self.ends[-1]) + order - 1, NONE, np.int64)
+        place = self.ends[:-1]
+        is_word = np.ones(int(self.ends[-1]), bool)
+        for k in range(order - 1):
+            padded[place + k] = BEGIN + order - 2 - k
+            is_word[place + k] = False
+        padded[self.ends[1:] - 1] = END
+        self.token = np.flatnonzero(is_word)
+        is_word[self.ends[1:] - 1] = False
+        padded[: len(is_word)][is_word] = block.codes + BEGIN + order - 1
+        self.count = counts[padded[self.token]]
+        begins = np.ones(len(is_word), bool)
+        begins[self.ends[1:] - 1] = False
+        begins = np.flatnonzero(begins)
+        self.doc = np.repeat(np.arange(docs), lengths)[begins]
+        columns, over = [padded[begins]], np.zeros(len(begins), bool)
+        for k in range(1, order):  # nothing follows the end, not the next document either
+            over |= columns[-1] == END
+            columns.append(np.where(over, NONE, padded[begins + k]))
+        size = len(ids)
+        key, top = columns[0], size
+        for c in columns[1:]:
+            if top * size >= 1 << 63:
+                names, key = np.unique(key, return_inverse=True)
+                top = len(names)
+            key, top = key * size + c, top * size
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        columns = [ids[c[first]] for c in columns]
+        h = mix(mix(columns[0]) + np.uint64(1))
+        hot = np.ones(len(first), bool)
+        self.hot = []  # whether all words up to a level are hot
+        for k in range(order - 1):
+            hot = hot & is_hot(columns[k])
+            self.hot.append(hot)
+            h = np.where(hot, joined(h, columns[k + 1]), h)
+        shard = (((h >> np.uint64(32)) * np.uint64(model.shards)) >> np.uint64(32)).astype(np.int64)
+        by = np.argsort(shard, kind="stable")
+        self.columns, self.hot, shard = [c[by] for c in columns], [x[by] for x in self.hot], shard[by]
+        self.cuts = np.searchsorted(shard, np.arange(model.shards + 1))
+        self.starts = _starts([shard, *self.columns])[1:]
+        self.nodes = [lengths_to_offsets(x) for x in self.starts]
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        self.window = back[inverse]  # of each place where one begins
+        self.at = np.full(int(self.ends[-1]), -1)
+        self.at[begins] = self.window
 
 
 def _planes(values: np.ndarray, kind: str) -> bytes:
@@ -246,72 +312,109 @@ def _unplanes(data: bytes, kind: str) -> np.ndarray:
 def _ask_grams(model: Model):
     def fn(row):
         block = B.Block(row)
-        token, _, ends, contexts = _grams(block, row["words_known"], model)
-        weight = np.repeat(_training(block), np.diff(ends)).astype(float)
-        parts: dict[int, list[bytes]] = {}
-        for key, hot in contexts:
-            c, w, inverse, cuts = _distinct(key, hot, token, model.shards)
-            counts = np.bincount(inverse, weight, minlength=len(c)).astype(np.int64)
-            for s in range(model.shards):
-                a, b = int(cuts[s]), int(cuts[s + 1])
-                runs = _runs(c[a:b])
-                head = np.array([b - a, len(runs)], "<u8").tobytes()
-                body = [_planes(c[a:b][runs], "<u8"), _planes(np.diff(np.append(runs, b - a)), "<u4"), _planes(w[a:b], "<u8"), _planes(counts[a:b], "<u4")]
-                parts.setdefault(s, []).append(head + b"".join(body))
-        yield B.messages([(s, block.id, b"".join(sections)) for s, sections in parts.items()])
+        w = Windows(block, row["words_known"], model)
+        counts = np.bincount(w.window, _training(block)[w.doc].astype(float), minlength=len(w.columns[0])).astype(np.int64)
+        levels = []  # (words, successors of each node of the level above)
+        for k, new in enumerate(w.starts):
+            places = np.flatnonzero(new)
+            per = np.diff(w.nodes[k][np.append(np.flatnonzero(w.starts[k - 1]), len(new))]) if k else None
+            levels.append((w.columns[k][places], per))
+        parts = []
+        for s in range(model.shards):
+            a, b = int(w.cuts[s]), int(w.cuts[s + 1])
+            if a == b:
+                continue
+            edges = [(int(n[a]), int(n[b])) for n in w.nodes]
+            body = [np.array([y - x for x, y in edges], "<u8").tobytes()]
+            for k, (words, per) in enumerate(levels):
+                if k:
+                    body.append(_planes(per[slice(*edges[k - 1])], "<u4"))
+                body.append(_planes(words[slice(*edges[k])], "<u8"))
+            parts.append((s, block.id, b"".join(body) + _planes(counts[a:b], "<u4")))
+        yield B.messages(parts)
 
     return fn
 
 
-def _sections(data: bytes, order: int):
-    """(contexts, run lengths, words, counts) for each order of a message."""
-    at = 0
-    for _ in range(order - 1):
-        n, runs = np.frombuffer(data[at : at + 16], "<u8").astype(int).tolist()
-        at += 16
-        out = []
-        for count, kind in ((runs, "<u8"), (runs, "<u4"), (n, "<u8"), (n, "<u4")):
-            size = count * np.dtype(kind).itemsize
-            out.append(_unplanes(data[at : at + size], kind))
-            at += size
-        yield out
+def _asked(data: bytes, order: int) -> tuple[list, list, np.ndarray]:
+    """(words of each level, successors of each node of the level above, counts) of a message."""
+    sizes = np.frombuffer(data[: 8 * order], "<u8").astype(int).tolist()
+    at = 8 * order
+
+    def take(n, kind):
+        nonlocal at
+        size = n * np.dtype(kind).itemsize
+        at += size
+        return _unplanes(data[at - size : at], kind)
+
+    words, per = [], []
+    for k in range(order):
+        per.append(take(sizes[k - 1], "<u4").astype(np.int64) if k else None)
+        words.append(take(sizes[k], "<u8"))
+    return words, per, take(sizes[-1], "<u4").astype(np.int64)
+
+
+#: a message to a block, or (block -1) a shard's share of a split context
+ANSWERS = T.StructType([*B.MESSAGES.fields, T.StructField("context", T.BinaryType()), T.StructField("total", T.LongType()), T.StructField("kinds", T.LongType())])
 
 
 def _serve(order: int):
     """Build the shard's trie from all blocks' counts and answer each block from it."""
 
-    def build(asked) -> Trie:
-        c = np.concatenate([np.repeat(x[0], x[1].astype(np.int64)) for x in asked])
-        w = np.concatenate([x[2] for x in asked])
-        n = np.concatenate([x[3] for x in asked]).astype(np.int64)
-        seen = n > 0
-        c, w, n = c[seen], w[seen], n[seen]
-        at = np.lexsort((w, c))
-        c, w, n = c[at], w[at], n[at]
-        new = np.ones(len(c), bool)
-        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        place = np.flatnonzero(new)
-        n = np.add.reduceat(n, place) if len(place) else n
-        c, w = c[place], w[place]
-        starts = _runs(c)
-        return Trie(c[starts], np.append(starts, len(c)), w, n)
+    def build(payloads) -> Trie:
+        columns, counts = [[] for _ in range(order)], []
+        for p in payloads:
+            words, per, n = _asked(p, order)
+            leaf = n > 0
+            rows = [words[0]]
+            for k in range(1, order):
+                rows = [np.repeat(r, per[k]) for r in rows] + [words[k]]
+            for c, r in zip(columns, rows):
+                c.append(r[leaf])
+            counts.append(n[leaf])
+        columns, n = [np.concatenate(c) for c in columns], np.concatenate(counts)
+        at = np.lexsort(columns[::-1])
+        columns, n = [c[at] for c in columns], n[at]
+        place = np.flatnonzero(_starts(columns)[-1])
+        return Trie([c[place] for c in columns], np.add.reduceat(n, place) if len(place) else n)
 
     def fn(shard, block_ids, payloads):
-        out = [[] for _ in block_ids]
-        for k in range(order - 1):  # one order after the other
-            asked = [list(_sections(p, order))[k] for p in payloads]
-            trie = build(asked)
-            for (contexts, runs, words, _), mine in zip(asked, out):
-                at = trie.find_contexts(contexts)
-                code = trie.find_successors(np.repeat(at, runs.astype(np.int64)), words)
-                total = np.where(at >= 0, trie.total[at], 0) if len(trie.total) else np.zeros(len(at), np.int64)
-                kinds = np.where(at >= 0, trie.kinds[at], 0) if len(trie.kinds) else np.zeros(len(at), np.int64)
-                mine.append(_planes(total, "<u8") + _planes(kinds, "<u4") + code.tobytes())
-        return B.messages([(shard, b, b"".join(sections)) for b, sections in zip(block_ids, out)])
+        trie = build(payloads)
+        rows = []
+        for b, p in zip(block_ids, payloads):
+            words, per, _ = _asked(p, order)
+            out, node = [], trie.find_first(words[0])
+            for k in range(order):
+                if k:
+                    node = trie.find_next(k, np.repeat(node, per[k]), words[k])
+                    code = np.zeros(len(node), np.uint8)
+                    code[node >= 0] = trie.codes[k][node[node >= 0]]
+                    out.append(code.tobytes())
+                if k < order - 1:
+                    for values, kind in ((trie.total[k], "<u8"), (trie.kinds[k], "<u4")):
+                        known = np.zeros(len(node), np.int64)
+                        known[node >= 0] = values[node[node >= 0]]
+                        out.append(_planes(known, kind))
+            rows.append((shard, b, b"".join(out), None, None, None))
+        rows += [(shard, -1, None, *row) for row in trie.hot_rows()]
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=ANSWERS.names)
 
     return fn
 
 
+def hot_table(answers: DataFrame) -> dict[bytes, tuple[int, int]]:
+    """(total, number of successors) of each split context over all shards.
+
+    Bounded: contexts of words that each are more than one of ``shards`` parts of all tokens."""
+    rows = answers.where("block_id = -1").groupBy("context").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).collect()
+    out = {bytes(r["context"]): [r["total"], r["kinds"]] for r in rows}
+    for context in out:  # a split context is one successor of the context before it
+        if len(context) > 8:
+            out[context[:-8]][1] += 1
+    return {k: tuple(v) for k, v in out.items()}
+
+
 SCORES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -328,33 +431,43 @@ SCORES = T.StructType(
 def _score(model: Model):
     def fn(row):
         block = B.Block(row)
-        token, count, ends, contexts = _grams(block, row["words_known"], model)
+        w = Windows(block, row["words_known"], model)
+        order, count = model.order, w.count
         unigram = (count + 1) / (model.tokens + model.kinds + 1)
+        n_nodes = [int(n[-1]) for n in w.nodes]
+        total, kinds = [np.zeros(n) for n in n_nodes], [np.zeros(n) for n in n_nodes]
+        code = [np.zeros(n, np.uint8) for n in n_nodes]
+        for answer in row["grams_known"] or []:
+            s, data, at = answer["shard"], answer["payload"], 0
+            for k, n in enumerate(w.nodes):
+                a, b = int(n[w.cuts[s]]), int(n[w.cuts[s + 1]])
+                if k:
+                    code[k][a:b] = np.frombuffer(data[at : at + b - a], np.uint8)
+                    at += b - a
+                if k < order - 1:
+                    total[k][a:b] = _unplanes(data[at : at + 8 * (b - a)], "<u8")
+                    at += 8 * (b - a)
+                    kinds[k][a:b] = _unplanes(data[at : at + 4 * (b - a)], "<u4")
+                    at += 4 * (b - a)
         p = unigram
-        answers = {a["shard"]: a["payload"] for a in row["grams_known"] or []}
-        at = dict.fromkeys(answers, 0)
-        for key, hot in contexts:
-            c, _, inverse, cuts = _distinct(key, hot, token, model.shards)
-            # contexts of this block by key; a hot one gets a share from every shard
-            names, which = np.unique(c, return_inverse=True)
-            totals, kinds = np.zeros(len(names)), np.zeros(len(names))
-            code, share = np.zeros(len(c), np.uint8), np.zeros(len(c))
-            for s, data in answers.items():
-                a, b = int(cuts[s]), int(cuts[s + 1])
-                runs = _runs(c[a:b])
-                sizes = 8 * len(runs), 4 * len(runs), b - a
-                x = at[s]
-                total = _unplanes(data[x : x + sizes[0]], "<u8").astype(float)
-                kind = _unplanes(data[x + sizes[0] : x + sizes[0] + sizes[1]], "<u4").astype(float)
-                code[a:b] = np.frombuffer(data[x + sizes[0] + sizes[1] : x + sum(sizes)], np.uint8)
-                at[s] = x + sum(sizes)
-                share[a:b] = np.repeat(total, np.diff(np.append(runs, b - a)))
-                np.add.at(totals, which[a:b][runs], total)
-                np.add.at(kinds, which[a:b][runs], kind)
-            whole = totals[which]
-            alpha = np.where(whole > 0, expand(code) * share / np.maximum(whole, 1), 0.0)
-            back = np.where(whole > 0, DISCOUNT * kinds[which] / np.maximum(whole, 1), 1.0)
-            p = alpha[inverse] + back[inverse] * p
+        whole = [x.copy() for x in total]
+        for k in range(order - 1):  # split contexts: the sums over all shards
+            places = np.flatnonzero(w.starts[k])
+            for i in np.flatnonzero(w.hot[k][places]).tolist():
+                context = np.array([c[places[i]] for c in w.columns[: k + 1]], "<u8").tobytes()
+                whole[k][i], kinds[k][i] = model.hot.get(context, (0, 0))
+        for k in range(1, order):
+            places = np.flatnonzero(w.starts[k])
+            above = w.nodes[k - 1][places + 1] - 1
+            all_ = np.maximum(whole[k - 1][above], 1)
+            alpha = expand(code[k]) * total[k - 1][above] / all_
+            if k < order - 1:
+                split = w.hot[k][places]
+                alpha[split] = np.maximum(whole[k][split] - DISCOUNT, 0) / all_[split]
+            back = np.where(whole[k - 1][above] > 0, DISCOUNT * kinds[k - 1][above] / all_, 1.0)
+            node = w.nodes[k][w.at[w.token - k] + 1] - 1
+            p = alpha[node] + back[node] * p
+        ends = block.ends + np.arange(len(block.ends))  # of the documents' tokens
         rest = block.rest()
 
         def per_doc(x):
@@ -384,12 +497,13 @@ def score_documents(docs: DataFrame, order: int = 2, block_bytes: int = B.BLOCK_
     shards = B.shard_count(spark)
     counted = landed(B.by_shard(B.per_block(blocks, _ask_words(shards), B.MESSAGES), _count_words, COUNTED), "lm_words")
     totals = {r["shard"]: r for r in counted.where("block_id = -1").collect()}  # one row per shard
-    offsets, at = {}, FIRST_WORD
+    offsets, at = {}, BEGIN + order - 1
     for s in sorted(totals):
         offsets[s], at = at, at + totals[s]["n_all"]
     n_docs = source.where("not held_out").count()
     model = Model(order, shards, offsets, n_docs, sum(r["n_tokens"] for r in totals.values()), sum(r["n_known"] for r in totals.values()))
     known = B.with_answers(blocks, counted.where("block_id >= 0").select("shard", "block_id", "payload"), "words_known")
     asked = B.per_block(known, _ask_grams(model), B.MESSAGES)
-    grams = B.by_shard(asked, _serve(order))
-    return B.per_block(B.with_answers(known, grams, "grams_known"), _score(model), SCORES)
+    grams = landed(B.by_shard(asked, _serve(order), ANSWERS), "lm_grams")
+    model.hot = hot_table(grams)
+    return B.per_block(B.with_answers(known, grams.where("block_id >= 0").select("shard", "block_id", "payload"), "grams_known"), _score(model), SCORES)
