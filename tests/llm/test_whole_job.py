@@ -55,3 +55,16 @@ def test_language_model_hot_contexts_over_many_shards(spark, order):
     want = _ngram_scores(rows, order)
     assert set(got) == set(want)
     assert max(abs(got[d] - want[d]) for d in want) < 0.02
+
+
+def test_registered_language_model_uses_two_words_of_context(spark):
+    from trenchline.llm.queries import QUERIES
+    from trenchline.session import scratch_path
+
+    # the word after "x" is told by the word before it
+    rows = [(i, " ".join(f"{a} x {a}{a}" for a in random.Random(i).choices("pqrstuv", k=20))) for i in range(40)]
+    path = scratch_path(spark, "lm_order")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    got = {r.doc_id: r.score / r.n_tokens for r in QUERIES["op2_elias_fano_lm"](spark, path).collect()}
+    two, three = _ngram_scores(rows, 2), _ngram_scores(rows, 3)
+    assert all(abs(got[d] - three[d]) < 0.02 < 0.1 < abs(got[d] - two[d]) for d in got) and len(got) == 40

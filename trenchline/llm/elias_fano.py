@@ -11,8 +11,11 @@ def pack_low(values: np.ndarray, width: int) -> np.ndarray:
     """``width`` low bits of each value, one after the other, least bit first."""
     if not width or not len(values):
         return np.zeros(8, np.uint8)
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    return np.concatenate([np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"), np.zeros(16, np.uint8)])
+    parts = []
+    for a in range(0, len(values), 1 << 16):  # whole bytes, as 8 divides the step
+        octets = values[a : a + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        parts.append(np.packbits(np.unpackbits(octets, axis=1, count=width, bitorder="little").ravel(), bitorder="little"))
+    return np.concatenate([*parts, np.zeros(16, np.uint8)])
 
 
 class EliasFano:
@@ -20,6 +23,7 @@ class EliasFano:
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray):
         self.n, self.width, self.low, self.high = n, width, low, high
+        self.words = np.ndarray(max(0, len(low) - 7), "<u8", low, strides=(1,))  # the 8 bytes from each byte
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
         self.zeros = np.arange(len(high) + 1) * 8 - self.before
 
@@ -40,9 +44,7 @@ class EliasFano:
             return np.zeros(len(i), np.uint64)
         bit = i * self.width
         at = bit >> 3
-        word = np.zeros(len(i), np.uint64)
-        for k in range(8):
-            word |= self.low[at + k].astype(np.uint64) << np.uint64(8 * k)
+        word = self.words[at]
         shift = (bit & 7).astype(np.uint64)
         word >>= shift
         if self.width > 57:

@@ -136,17 +136,19 @@ class Trie:
         j = np.minimum(i, level.n - 1)
         return np.where((i < level.n) & (level.get(j) == words), j, -1)
 
-    def find_next(self, k: int, node: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Node on level ``k`` of each word below its (found or -1) node of the level above, -1 if it has none."""
+    def find_next(self, k: int, node: np.ndarray, per: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Node on level ``k`` of each word below its (found or -1) node of the level above (``per`` words each), -1 if it has none."""
         out = np.full(len(words), -1)
+        last = np.zeros(len(node), np.int64)
+        last[node >= 0] = self.level[f"pointers{k - 1}"].get(node[node >= 0] + 1).astype(np.int64)
+        node, last = np.repeat(node, per), np.repeat(last, per)
         ok = np.flatnonzero((node >= 0) & (words < self.bases[k]))
         if len(ok):
             key = node[ok].astype(np.uint64) * self.bases[k] + words[ok].astype(np.uint64)
             level = self.level[f"words{k}"]
             i = level.search(key)
             j = np.minimum(i, level.n - 1)
-            last = self.level[f"pointers{k - 1}"].get(node[ok] + 1).astype(np.int64)
-            hit = (i < last) & (level.get(j) == key)
+            hit = (i < last[ok]) & (level.get(j) == key)
             out[ok[hit]] = j[hit]
         return out
 
@@ -299,14 +301,27 @@ class Windows:
         self.at[begins] = self.window
 
 
-def _planes(values: np.ndarray, kind: str) -> bytes:
-    wide = values.astype(kind)
-    return np.ascontiguousarray(wide.view(np.uint8).reshape(-1, wide.itemsize).T).tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    """Byte planes of integers, as many as the greatest needs, after their number."""
+    keep = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    return bytes([keep]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :keep].T).tobytes()
 
 
-def _unplanes(data: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+class Reader:
+    """Reads a message part by part."""
+
+    def __init__(self, data: bytes, at: int = 0):
+        self.data, self.at = data, at
+
+    def octets(self, n: int) -> np.ndarray:
+        self.at += n
+        return np.frombuffer(self.data[self.at - n : self.at], np.uint8)
+
+    def values(self, n: int) -> np.ndarray:
+        keep = int(self.octets(1)[0])
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :keep] = self.octets(n * keep).reshape(keep, n).T
+        return wide.view("<u8").ravel()
 
 
 def _ask_grams(model: Model):
@@ -328,9 +343,9 @@ def _ask_grams(model: Model):
             body = [np.array([y - x for x, y in edges], "<u8").tobytes()]
             for k, (words, per) in enumerate(levels):
                 if k:
-                    body.append(_planes(per[slice(*edges[k - 1])], "<u4"))
-                body.append(_planes(words[slice(*edges[k])], "<u8"))
-            parts.append((s, block.id, b"".join(body) + _planes(counts[a:b], "<u4")))
+                    body.append(_planes(per[slice(*edges[k - 1])]))
+                body.append(_planes(words[slice(*edges[k])]))
+            parts.append((s, block.id, b"".join(body) + _planes(counts[a:b])))
         yield B.messages(parts)
 
     return fn
@@ -339,25 +354,30 @@ def _ask_grams(model: Model):
 def _asked(data: bytes, order: int) -> tuple[list, list, np.ndarray]:
     """(words of each level, successors of each node of the level above, counts) of a message."""
     sizes = np.frombuffer(data[: 8 * order], "<u8").astype(int).tolist()
-    at = 8 * order
-
-    def take(n, kind):
-        nonlocal at
-        size = n * np.dtype(kind).itemsize
-        at += size
-        return _unplanes(data[at - size : at], kind)
-
+    data = Reader(data, 8 * order)
     words, per = [], []
     for k in range(order):
-        per.append(take(sizes[k - 1], "<u4").astype(np.int64) if k else None)
-        words.append(take(sizes[k], "<u8"))
-    return words, per, take(sizes[-1], "<u4").astype(np.int64)
+        per.append(data.values(sizes[k - 1]).astype(np.int64) if k else None)
+        words.append(data.values(sizes[k]))
+    return words, per, data.values(sizes[-1]).astype(np.int64)
 
 
 #: a message to a block, or (block -1) a shard's share of a split context
 ANSWERS = T.StructType([*B.MESSAGES.fields, T.StructField("context", T.BinaryType()), T.StructField("total", T.LongType()), T.StructField("kinds", T.LongType())])
 
 
+def _ascending(columns: list[np.ndarray]) -> np.ndarray:
+    """Order of rows by their columns, packed into one key (ranks of it where it would not fit)."""
+    key, top = np.zeros(len(columns[0]), np.uint64), 1
+    for c in columns:
+        size = int(c.max()) + 1 if len(c) else 1
+        if top * size >= 1 << 63:
+            names, key = np.unique(key, return_inverse=True)
+            key, top = key.astype(np.uint64), len(names)
+        key, top = key * np.uint64(size) + c, top * size
+    return np.argsort(key)
+
+
 def _serve(order: int):
     """Build the shard's trie from all blocks' counts and answer each block from it."""
 
@@ -373,7 +393,7 @@ def _serve(order: int):
                 c.append(r[leaf])
             counts.append(n[leaf])
         columns, n = [np.concatenate(c) for c in columns], np.concatenate(counts)
-        at = np.lexsort(columns[::-1])
+        at = _ascending(columns)
         columns, n = [c[at] for c in columns], n[at]
         place = np.flatnonzero(_starts(columns)[-1])
         return Trie([c[place] for c in columns], np.add.reduceat(n, place) if len(place) else n)
@@ -386,15 +406,15 @@ def _serve(order: int):
             out, node = [], trie.find_first(words[0])
             for k in range(order):
                 if k:
-                    node = trie.find_next(k, np.repeat(node, per[k]), words[k])
+                    node = trie.find_next(k, node, per[k], words[k])
                     code = np.zeros(len(node), np.uint8)
                     code[node >= 0] = trie.codes[k][node[node >= 0]]
                     out.append(code.tobytes())
                 if k < order - 1:
-                    for values, kind in ((trie.total[k], "<u8"), (trie.kinds[k], "<u4")):
+                    for values in (trie.total[k], trie.kinds[k]):
                         known = np.zeros(len(node), np.int64)
                         known[node >= 0] = values[node[node >= 0]]
-                        out.append(_planes(known, kind))
+                        out.append(_planes(known))
             rows.append((shard, b, b"".join(out), None, None, None))
         rows += [(shard, -1, None, *row) for row in trie.hot_rows()]
         kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
@@ -438,17 +458,14 @@ def _score(model: Model):
         total, kinds = [np.zeros(n) for n in n_nodes], [np.zeros(n) for n in n_nodes]
         code = [np.zeros(n, np.uint8) for n in n_nodes]
         for answer in row["grams_known"] or []:
-            s, data, at = answer["shard"], answer["payload"], 0
+            s, data = answer["shard"], Reader(answer["payload"])
             for k, n in enumerate(w.nodes):
                 a, b = int(n[w.cuts[s]]), int(n[w.cuts[s + 1]])
                 if k:
-                    code[k][a:b] = np.frombuffer(data[at : at + b - a], np.uint8)
-                    at += b - a
+                    code[k][a:b] = data.octets(b - a)
                 if k < order - 1:
-                    total[k][a:b] = _unplanes(data[at : at + 8 * (b - a)], "<u8")
-                    at += 8 * (b - a)
-                    kinds[k][a:b] = _unplanes(data[at : at + 4 * (b - a)], "<u4")
-                    at += 4 * (b - a)
+                    total[k][a:b] = data.values(b - a)
+                    kinds[k][a:b] = data.values(b - a)
         p = unigram
         whole = [x.copy() for x in total]
         for k in range(order - 1):  # split contexts: the sums over all shards
@@ -489,7 +506,7 @@ def _score(model: Model):
     return fn
 
 
-def score_documents(docs: DataFrame, order: int = 2, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Scores of all rows; rows with ``held_out`` (see the fold rule) are not learned from."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out("doc_id").alias("held_out"))

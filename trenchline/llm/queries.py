@@ -82,7 +82,7 @@ def op7_toxic_crf(spark, sf_dir):
 
 @register
 def op2_elias_fano_lm(spark, sf_dir):
-    """Language-model scores of all documents from sharded Elias-Fano bigram tries."""
+    """Language-model scores of all documents from sharded Elias-Fano trigram tries."""
     from trenchline.llm.ngram_trie import score_documents
 
     return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
