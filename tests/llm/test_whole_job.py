@@ -68,3 +68,14 @@ def test_registered_language_model_uses_two_words_of_context(spark):
     got = {r.doc_id: r.score / r.n_tokens for r in QUERIES["op2_elias_fano_lm"](spark, path).collect()}
     two, three = _ngram_scores(rows, 2), _ngram_scores(rows, 3)
     assert all(abs(got[d] - three[d]) < 0.02 < 0.1 < abs(got[d] - two[d]) for d in got) and len(got) == 40
+
+
+def test_short_block_beside_repeats(spark):
+    """A block of fewer words than a level's step, beside blocks with repeated passages."""
+    from trenchline.llm.doubling_dedup import remove_repeats
+
+    rows = [(n, " ".join(f"s{n}x{i}" for i in range(n))) for n in (1, 4, 5, 8, 9, 16, 17, 34)]
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows += [(100, passage + " a b"), (101, "c d " + passage)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), block_bytes=4).collect()}
+    assert got == {n: (n, 0) for n in (1, 4, 5, 8, 9, 16, 17, 34)} | {100: (42, 40), 101: (42, 40)}

@@ -73,7 +73,8 @@ def _candidates(block: B.Block, lengths: list[int], level: int, mask: bytes | No
         before = np.unpackbits(np.frombuffer(mask, np.uint8), count=n).astype(bool) if mask else np.zeros(n, bool)
         step = width - lengths[level - 1]
         later = np.zeros(n, bool)
-        later[: n - step] = before[step:]
+        if n > step:  # else no window of this level has room in the block
+            later[: n - step] = before[step:]
         here &= before & later
     return np.flatnonzero(here)
 
