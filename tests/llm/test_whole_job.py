@@ -79,3 +79,19 @@ def test_short_block_beside_repeats(spark):
     rows += [(100, passage + " a b"), (101, "c d " + passage)]
     got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), block_bytes=4).collect()}
     assert got == {n: (n, 0) for n in (1, 4, 5, 8, 9, 16, 17, 34)} | {100: (42, 40), 101: (42, 40)}
+
+
+def test_silent_elements_end_without_end_tags():
+    from trenchline.llm.html_extract import block_text, parse, walk
+
+    def text(html):
+        return " ".join(filter(None, (block_text(n) for n in walk(parse(html)) if n.tag == "#text")))
+
+    assert text("<head><title>T</title><article><p>One two.</article>") == "One two."
+    assert text("<!doctype html><html><head><meta charset=utf-8><title>T</title><style>p{}</style><p>One <b>two</b>.") == "One two."
+    assert text("<head><title>T</title>One two.") == "One two."
+    assert text("<head><noscript><img src=x></noscript><title>T</title><body><p>One.") == "One."
+    for tag in ("noscript", "object", "video", "canvas"):
+        assert text(f"<body><div><{tag}>gone<p>gone</div><p>One.</p>") == "One."
+        assert text(f"<body><div><{tag}><div>gone</div><p>gone</p></{tag}>Two.</div><p>One.</p>") == "Two. One."
+    assert text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then.</p></article>") == "If x=2 then."

@@ -11,7 +11,9 @@ number, a documented parameter): articles among menus, headers, footers,
 sidebars, notices, adverts, forms and comments, with many namings and
 nestings, and labels by construction.
 
-Scripts, styles, templates and the head hold no text.  Character references
+Scripts, styles, templates and the head hold no text.  A head without its end
+tag ends at the first tag or text that may not stand in it, another silent
+element without one with the block around it.  Character references
 are decoded, white space inside a block becomes one space, blocks are joined
 by one space.  Null or empty html: empty text.  Text without any markup is
 one block and is kept if the model says so.  Repeated rows get equal texts.
@@ -39,7 +41,8 @@ TRAINING_PAGES = 800
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style head template noscript iframe svg math object canvas audio video select textarea title datalist".split())
+SILENT = set("script style head template noscript iframe svg object canvas audio video select textarea title datalist".split())
+HEAD = set("html head title style script noscript template base basefont bgsound link meta noframes".split())  # start tags that may stand in a head
 BLOCK = set(
     "html body div p ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main nav aside header footer form fieldset legend "
     "h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary dialog hr menu center hgroup search".split()
@@ -98,8 +101,10 @@ class Dom(HTMLParser):
         return None
 
     def handle_starttag(self, tag, attrs):
+        if self.silent and (tag == "body" and "head" in self.silent or self.silent == ["head"] and tag not in HEAD):
+            self.silent.clear()  # the head's end tag is omitted
         if self.silent:
-            if tag in SILENT:
+            if tag not in VOID and tag not in ("html", "head", "body"):
                 self.silent.append(tag)
             return
         node = self._node()
@@ -148,9 +153,14 @@ class Dom(HTMLParser):
         if self.silent:
             if tag in self.silent:
                 del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
-            elif "head" in self.silent and tag == "html":
-                self.silent.clear()
-            return
+                return
+            if "head" in self.silent:
+                if tag == "html":
+                    self.silent.clear()
+                return
+            if tag not in BLOCK or tag not in (name for name, _ in self.stack[1:]):
+                return
+            self.silent.clear()  # never closed: ends with the block around it
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
                 return self._close_to(i)
@@ -170,6 +180,8 @@ class Dom(HTMLParser):
             self.open_text.links += len(data)
 
     def handle_data(self, data):
+        if self.silent == ["head"] and data.strip():
+            self.silent.clear()  # text may not stand in a head
         if not self.silent:
             self._text(data)
 
