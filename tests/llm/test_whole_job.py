@@ -95,3 +95,37 @@ def test_silent_elements_end_without_end_tags():
         assert text(f"<body><div><{tag}>gone<p>gone</div><p>One.</p>") == "One."
         assert text(f"<body><div><{tag}><div>gone</div><p>gone</p></{tag}>Two.</div><p>One.</p>") == "Two. One."
     assert text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then.</p></article>") == "If x=2 then."
+
+
+def test_spot_pairs_null_and_repeated_ids(spark):
+    from trenchline.llm.spotsigs import jaccard, spot_members, spot_pairs, spot_sets
+
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(6):
+        edit = list(base)
+        edit[rng.randrange(60)] = f"e{i}"
+        texts.append(" ".join(edit))
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[4]), (7, texts[4]), (8, texts[5]), (9, None), (10, "far from all others")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys, at = spot_sets(pa.array([t or "" for _, t in rows]))
+    sets = [keys[a:b] & np.uint64(0xFFFFFFFF) for a, b in zip(at[:-1], at[1:])]
+    ids = collections.defaultdict(list)  # of each distinct set
+    for (d, _), s in zip(rows, sets):
+        ids[tuple(s.tolist())].append(d)
+    ids.pop(())
+    want = collections.Counter()
+    names = list(ids)
+    for i, x in enumerate(names):
+        for y in names[i + 1 :]:
+            if jaccard(np.array(x), np.array(y)) >= 0.8:
+                want[tuple(sorted((str(sorted(ids[x], key=str)), str(sorted(ids[y], key=str)))))] += 1
+    members = collections.defaultdict(list)
+    for r in spot_members(docs).collect():
+        members[r.class_id].append(r.doc_id)
+    got = collections.Counter(tuple(sorted((str(sorted(members[r.class_a], key=str)), str(sorted(members[r.class_b], key=str))))) for r in spot_pairs(docs).collect())
+    assert members[None] == [9] and sum(map(len, members.values())) == len(rows)
+    assert got == want and sum(want.values()) == 15

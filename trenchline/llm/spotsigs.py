@@ -205,13 +205,8 @@ def fingerprint_with_edits(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
 SIGS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_spots", T.IntegerType()), T.StructField("spots", T.ArrayType(T.LongType()))])
 
 
-def spot_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> DataFrame:
-    """(fingerprint_a, fingerprint_b, likeness) of distinct fingerprints that reach the threshold, and ``members``.
-
-    Returns pairs between classes of equal fingerprints (class id: least
-    doc_id).  A set's prefix is its rarest signatures, as many as two sets at
-    the threshold cannot both miss; prefixes meet by (length class, signature).
-    Empty fingerprints are paired with nothing."""
+def _signed(docs: DataFrame, chain: int) -> DataFrame:
+    """(doc_id, n_spots, spots, class_id) of every row; rows of equal signature sets share a class_id, a hash of the set."""
     tune(docs.sparkSession)
 
     def sign(batches):
@@ -222,19 +217,38 @@ def spot_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at).astype(np.int32)), lists], names=SIGS.names)
 
     signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sign, SIGS)
-    classes = landed(signed.where("n_spots > 0").groupBy("spots").agg(F.min("doc_id").alias("id"), F.first("n_spots").alias("n")), "spot_classes")
+    return signed.withColumn("class_id", F.md5(F.array_join(F.col("spots").cast("array<string>"), ",")))
+
+
+def spot_members(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
+    """(doc_id, class_id) of every row; null for an empty fingerprint."""
+    return _signed(docs, chain).select("doc_id", F.when(F.col("n_spots") > 0, F.col("class_id")).alias("class_id"))
+
+
+def spot_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> DataFrame:
+    """(a, b, likeness, class_a, class_b) of pairs of classes that reach the threshold.
+
+    A class is all rows of one fingerprint (its rows: ``spot_members``); a and b are
+    the least doc_ids of the classes, which may be null or, where ids repeat, equal.
+    The smaller set comes first, then the lesser id.  A set's prefix is its rarest
+    signatures, as many as two sets at the threshold cannot both miss; prefixes meet
+    by (length class, signature).  Empty fingerprints are paired with nothing."""
+    signed = _signed(docs, chain).where("n_spots > 0")
+    classes = landed(signed.groupBy(F.col("class_id").alias("key")).agg(F.min("doc_id").alias("id"), F.first("n_spots").alias("n"), F.first("spots").alias("spots")), "spot_classes")
     df = classes.select(F.explode("spots").alias("spot")).groupBy("spot").agg(F.count(F.lit(1)).alias("df"))
-    ranked = classes.select("id", "n", F.explode("spots").alias("spot")).join(df, "spot")
-    rare = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("order"))
-    prefix = rare.select("id", "n", F.explode(F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int"))).alias("o"))
+    ranked = classes.select("key", "n", F.explode("spots").alias("spot")).join(df, "spot")
+    rare = ranked.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("order"))
+    prefix = rare.select("key", "n", F.explode(F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int"))).alias("o"))
     step = math.log(1 / threshold)
-    probe = prefix.select("id", "n", F.col("o.spot").alias("spot"), F.floor(F.log("n") / F.lit(step) + 1e-9).cast("int").alias("class"))
-    left = probe.select(F.col("id").alias("a"), F.col("n").alias("na"), "spot", F.explode(F.array("class", F.col("class") + 1)).alias("class"))
-    right = probe.select(F.col("id").alias("b"), F.col("n").alias("nb"), "spot", "class")
-    fits = (F.col("na") <= F.col("nb")) & (F.col("na") >= threshold * F.col("nb")) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
-    pairs = left.join(right, ["spot", "class"]).where(fits).select("a", "b").distinct()
-    sets = classes.select("id", "spots")
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("spots").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("spots").alias("sb")), "b")
+    probe = prefix.select("key", "n", F.col("o.spot").alias("spot"), F.floor(F.log("n") / F.lit(step) + 1e-9).cast("int").alias("class"))
+    left = probe.select(F.col("key").alias("class_a"), F.col("n").alias("na"), "spot", F.explode(F.array("class", F.col("class") + 1)).alias("class"))
+    right = probe.select(F.col("key").alias("class_b"), F.col("n").alias("nb"), "spot", "class")
+    fits = (F.col("na") <= F.col("nb")) & (F.col("na") >= threshold * F.col("nb")) & ((F.col("na") < F.col("nb")) | (F.col("class_a") < F.col("class_b")))
+    pairs = left.join(right, ["spot", "class"]).where(fits).select("class_a", "class_b").distinct()
+    one, two = (classes.select(F.col("key").alias(f"class_{x}"), F.struct("n", F.col("id").isNotNull().alias("known"), "id", "key").alias(x), F.col("spots").alias(f"s{x}")) for x in "ab")
+    full = pairs.join(one, "class_a").join(two, "class_b")
     common = F.size(F.array_intersect("sa", "sb"))
-    full = full.withColumn("likeness", common / (F.size("sa") + F.size("sb") - common))
-    return full.where(F.col("likeness") >= threshold - 1e-12).select("a", "b", "likeness")
+    full = full.withColumn("likeness", common / (F.size("sa") + F.size("sb") - common)).where(F.col("likeness") >= threshold - 1e-12)
+    full = full.select("likeness", F.sort_array(F.array("a", "b")).alias("ab"))
+    a, b = F.col("ab")[0], F.col("ab")[1]
+    return full.select(a["id"].alias("a"), b["id"].alias("b"), "likeness", a["key"].alias("class_a"), b["key"].alias("class_b"))
