@@ -129,3 +129,14 @@ def test_spot_pairs_null_and_repeated_ids(spark):
     got = collections.Counter(tuple(sorted((str(sorted(members[r.class_a], key=str)), str(sorted(members[r.class_b], key=str))))) for r in spot_pairs(docs).collect())
     assert members[None] == [9] and sum(map(len, members.values())) == len(rows)
     assert got == want and sum(want.values()) == 15
+
+
+def test_copies_of_one_id_do_not_crowd_out_the_sample(spark):
+    from trenchline.llm.toxic_crf import held_out, training_sample
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    ids = [r.doc_id for r in labels.where(~held_out("doc_id")).collect()]
+    rows = [(ids[0], f"copy {i}") for i in range(500)] + [(d, f"text {d}") for d in ids[1:]]
+    texts, toxic = training_sample(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), labels, sample_docs=len(ids))
+    assert len(texts) == len(toxic) == len(ids) and sum(t.startswith("copy") for t in texts) == 1
+    assert {t for t in texts if not t.startswith("copy")} == {f"text {d}" for d in ids[1:]}

@@ -192,12 +192,13 @@ def rules_column(rules: list[Rule]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules from at most ``sample_rows`` labelled documents; those that fail the base are not used."""
+    """Rules from at most ``sample_rows`` labelled documents, one row for each doc_id (the least text hash); those that fail the base are not used."""
     marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # broadcast: at most sample_rows pairs of numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = features(with_statistics(rows)).where(~base_failed()).select("doc_id", "quality", "n_words", *RATIOS).limit(2 * sample_rows).toPandas()
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("tie"), "text")).alias("one")).select("doc_id", "quality", "one.text")
+    rows = features(with_statistics(rows)).where(~base_failed()).select("doc_id", "quality", "n_words", *RATIOS).toPandas()
     if not len(rows):
         return []
     rows = rows.sort_values(list(rows.columns), kind="stable")

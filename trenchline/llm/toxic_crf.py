@@ -248,12 +248,14 @@ def lengths_to_offsets_float(x: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """At most ``sample_docs`` labelled texts outside the held-out fold."""
+    """At most ``sample_docs`` labelled texts outside the held-out fold, one for each doc_id (the least text hash)."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     marked = marked.where(~held_out("doc_id"))
     # the rows of least hash are known from the labels alone; texts are read for those
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").limit(2 * sample_docs).collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("tie"), "text")).alias("one")
+    rows = rows.groupBy("doc_id", "toxic").agg(one).select("doc_id", "toxic", "one.text").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
     return [r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows], np.int64)
 
