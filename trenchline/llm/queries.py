@@ -103,3 +103,17 @@ def op3_boosted_html(spark, sf_dir):
     from trenchline.llm.html_extract import extract_pages
 
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@register
+def op11_bitmap_merkle(spark, sf_dir):
+    """Merkle proofs of all documents, and the root folded again from tampered ones."""
+    from trenchline.llm.merkle import LEAF_COLUMNS, fold, leaf_digest, merkle_manifest, proof
+
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = leaf_digest([lowered if c == "text" else F.col(c) for c in LEAF_COLUMNS])
+    touched = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs = table(spark, sf_dir, "documents").select(*LEAF_COLUMNS)
+    out = merkle_manifest(docs, carry={"changed": F.when(touched, tampered)})
+    folded = out.withColumn("folded_root", fold(F.coalesce("changed", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
