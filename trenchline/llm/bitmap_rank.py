@@ -70,3 +70,39 @@ def ranked(rows: DataFrame, index: DataFrame, group: str, key: str) -> DataFrame
     below = F.expr(f"bit_count(bits & ~shiftleft(-1L, cast({key} & 63 as int)))").cast("long")
     extra = F.aggregate("more", F.lit(0).cast("long"), lambda a, x: a + F.when(x["bit"] < _bit(key), x["rows"]).otherwise(F.lit(0)))
     return found.select(*rows.columns, (F.col("before") + below + extra).alias("rank"), "total")
+
+
+def _tied(rows: DataFrame, group: str, key: str, digest: str, copies: str) -> DataFrame:
+    """Rows with ``_tie``: how many rows of equal group and key come before.
+
+    The digests of equal keys are ranked like keys, by their first 60 bits
+    below a bit that puts null keys first; only equal prefixes are sorted."""
+    rows = rows.withColumn("_same", F.concat_ws("/", group, F.col("_slot_key").cast("string")))
+    prefix = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    rows = rows.withColumn("_prefix", F.when(F.col(key).isNull(), prefix).otherwise(prefix.bitwiseOR(1 << 60)))
+    keys = rows.groupBy("_same", "_prefix").agg(F.sum(copies).alias("_weight"))
+    out = ranked(rows, bitmap_index(keys, "_same", "_prefix", "_weight"), "_same", "_prefix")
+    w = Window.partitionBy("_same", "_prefix").orderBy(digest).rowsBetween(Window.unboundedPreceding, -1)
+    tie = F.col("rank") + F.coalesce(F.sum(copies).over(w), F.lit(0))
+    return out.withColumn("_tie", tie).drop("_same", "_prefix", "rank", "total")
+
+
+def placed(rows: DataFrame, group: str, key: str, digest: str, copies: str) -> DataFrame:
+    """Distinct rows with ``place`` (0-based, of the first copy) and ``total`` in their group.
+
+    Order: null keys, then keys, equal keys by ``digest`` (hex text, one for
+    each distinct row of a group and key).  ``copies``: how often a row occurs."""
+    rows = rows.withColumn("_slot_key", F.coalesce(key, F.lit(-(1 << 63))))
+    keys = rows.groupBy(group, "_slot_key").agg(F.sum(copies).alias("_weight"), F.count(F.lit(1)).alias("_kinds"))
+    keys = landed(keys, "rank_keys")
+    index = landed(bitmap_index(keys, group, "_slot_key", "_weight"), "bitmaps")
+    out = ranked(rows, index, group, "_slot_key")
+    tied = keys.where("_kinds > 1").select(group, "_slot_key")
+    if tied.isEmpty():
+        return out.withColumnRenamed("rank", "place").drop("_slot_key")
+    shared = out.join(tied, [group, "_slot_key"], "left_semi")
+    alone = out.join(tied, [group, "_slot_key"], "left_anti").withColumnRenamed("rank", "place")
+    ties = _tied(shared.drop("rank", "total"), group, key, digest, copies).select(group, "_slot_key", digest, F.col(key).alias("_tied_key"), "_tie")
+    again = shared.join(ties, [group, "_slot_key", digest]).where(F.col(key).eqNullSafe(F.col("_tied_key")))
+    again = again.withColumn("place", F.col("rank") + F.col("_tie"))
+    return alone.unionByName(again.select(*alone.columns)).drop("_slot_key")

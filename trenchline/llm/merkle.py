@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trenchline.llm.bitmap_rank import bitmap_index, ranked
+from trenchline.llm.bitmap_rank import placed
 from trenchline.llm.common import landed
 
 FANOUT = 16
@@ -42,39 +42,6 @@ def leaf_digest(values: list[Column]) -> Column:
     return F.sha2(F.concat(*[coded(v) for v in values]), 256)
 
 
-def _tied(rows: DataFrame) -> DataFrame:
-    """Rows with ``tie``: how many rows of equal group and key come before.
-
-    The digests of equal keys are ranked like keys, by their first 60 bits
-    below a bit that puts null keys first; only equal prefixes are sorted."""
-    rows = rows.withColumn("_same", F.concat_ws("/", "_group", F.col("_slot_key").cast("string")))
-    prefix = F.conv(F.substring("leaf", 1, 15), 16, 10).cast("long")
-    rows = rows.withColumn("_prefix", F.when(F.col("_key").isNull(), prefix).otherwise(prefix.bitwiseOR(1 << 60)))
-    keys = rows.groupBy("_same", "_prefix").agg(F.sum("copies").alias("weight"))
-    out = ranked(rows, bitmap_index(keys, "_same", "_prefix", "weight"), "_same", "_prefix")
-    w = Window.partitionBy("_same", "_prefix").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
-    tie = F.col("rank") + F.coalesce(F.sum("copies").over(w), F.lit(0))
-    return out.withColumn("tie", tie).drop("_same", "_prefix", "rank", "total")
-
-
-def _placed(rows: DataFrame) -> DataFrame:
-    """Distinct rows with ``place`` (of the first copy) and ``total`` in their group."""
-    rows = rows.withColumn("_slot_key", F.coalesce("_key", F.lit(-(1 << 63))))
-    keys = rows.groupBy("_group", "_slot_key").agg(F.sum("copies").alias("weight"), F.count(F.lit(1)).alias("kinds"))
-    keys = landed(keys, "merkle_keys")
-    index = landed(bitmap_index(keys, "_group", "_slot_key", "weight"), "merkle_bitmaps")
-    out = ranked(rows, index, "_group", "_slot_key")
-    tied = keys.where("kinds > 1").select("_group", "_slot_key")
-    if tied.isEmpty():
-        return out.withColumnRenamed("rank", "place").drop("_slot_key")
-    shared = out.join(tied, ["_group", "_slot_key"], "left_semi")
-    alone = out.join(tied, ["_group", "_slot_key"], "left_anti").withColumnRenamed("rank", "place")
-    ties = _tied(shared.drop("rank", "total")).select("_group", "_slot_key", "leaf", "_key", "tie")
-    again = shared.join(ties.withColumnRenamed("_key", "_tied_key"), ["_group", "_slot_key", "leaf"])
-    again = again.where(F.col("_key").eqNullSafe(F.col("_tied_key"))).withColumn("place", F.col("rank") + F.col("tie"))
-    return alone.unionByName(again.select(*alone.columns)).drop("_slot_key")
-
-
 def _runs(nodes: DataFrame, fanout: int) -> DataFrame:
     """(group, n, run, slots): the nodes of each run in an array, by slot; ``n``: nodes of the group."""
     carried = [c for c in nodes.columns if c not in ("_group", "n", "place")]
@@ -169,9 +136,9 @@ def merkle_manifest(docs: DataFrame, columns=LEAF_COLUMNS, group: str = "source"
     rows = docs.select(coded.alias("_group"), F.col(key).cast("long").alias("_key"), leaf_digest([F.col(c) for c in columns]).alias("leaf"), *[v.alias(f"_c_{c}") for c, v in carry.items()])
     # equal rows become one; full rows are the key, so a hot group or a hot key is spread
     rows = landed(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")), "merkle_rows")
-    placed = _placed(rows)
-    largest = placed.agg(F.max("total")).first()[0] or 0
-    copies = placed.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    places = placed(rows, "_group", "_key", "leaf", "copies")
+    largest = places.agg(F.max("total")).first()[0] or 0
+    copies = places.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     kept = ["_key", *[f"_c_{c}" for c in carry]]
     leaves = copies.select("_group", (F.col("place") + F.col("_copy")).alias("place"), F.col("total").alias("n"), F.col("leaf").alias("digest"), *kept)
     tree = _Tree(leaves, largest, fanout, "merkle_level")

@@ -117,3 +117,30 @@ def op11_bitmap_merkle(spark, sf_dir):
     out = merkle_manifest(docs, carry={"changed": F.when(touched, tampered)})
     folded = out.withColumn("folded_root", fold(F.coalesce("changed", "leaf"), F.col("path")))
     return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@register
+def op12_reply_trees(spark, sf_dir):
+    """All conversations and one that is full of control strings, formatted and read back."""
+    from trenchline.llm.common import landed
+    from trenchline.llm.reply_trees import format_paths, read_digests, reply_paths, turn_chain
+
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    nodes, messages = turn_chain(rows.unionByName(more))
+    steps = reply_paths(nodes.select("tree", "id", "parent", "score"), branches=1)
+    steps = steps.join(nodes.select("tree", "id", "turn", "digest"), ["tree", "id"]).drop("id")
+    formatted = landed(format_paths(messages, steps, ["tree", "turn", "digest"]), "formatted")
+    conv = F.when(F.col("tree") != "", F.substring("tree", 2, 1 << 30)).cast("long")
+    return read_digests(formatted).select(conv.alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+@register
+def op13_l2ap_negatives(spark, sf_dir):
+    """The first hard negatives below every positive of every 50th vector."""
+    from trenchline.llm.hard_negatives import hard_negatives
+
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label=label, anchors=vec_id % 50 == 0)
