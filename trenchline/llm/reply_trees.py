@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -89,19 +90,20 @@ def _hops(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     there = nodes.select("tree", F.col("id").alias("parent"), F.col("id").alias("up"))
     known = nodes.select("tree", "id", "parent", "score").join(there, ["tree", "parent"], "left")
     known = known.select("tree", "id", "up", F.lit(1).cast("long").alias("steps"), F.col("score").cast("double").alias("sum"))
-    tables, n = [landed(known, "hops")], None
+    # rounds[k]: the nodes that had an ancestor 2^k - 1 replies up, and the one after it, if any
+    rounds = [landed(known, "hops")]
+    n = rounds[0].count()
     while True:
-        last = tables[-1]
-        if n is None:
-            n = last.count()
-        if len(tables) > n.bit_length() or last.where("up is not null").isEmpty():
+        still = rounds[-1].where("up is not null")
+        if len(rounds) > n.bit_length() or still.isEmpty():  # a ring would go on for ever
             break
-        far = last.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("sum").alias("sum2"))
-        both = last.join(far, ["tree", "up"], "left")
-        more = lambda c: F.col(c) + F.coalesce(f"{c}2", F.lit(0))
-        tables.append(landed(both.select("tree", "id", F.col("up2").alias("up"), more("steps").alias("steps"), more("sum").alias("sum")), "hops"))
-    rooted = tables[-1].where("up is null").select("tree", "id", F.col("steps").alias("length"), "sum")
-    return tables[:-1], rooted
+        ends = [r.where("up is null") for r in rounds[:-1]]
+        every = reduce(DataFrame.unionByName, ends, rounds[-1])
+        far = every.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("sum").alias("sum2"))
+        both = still.join(far, ["tree", "up"])
+        rounds.append(landed(both.select("tree", "id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("sum") + F.col("sum2")).alias("sum")), "hops"))
+    rooted = reduce(DataFrame.unionByName, [r.where("up is null") for r in rounds])
+    return rounds[:-1], rooted.select("tree", "id", F.col("steps").alias("length"), "sum")
 
 
 def reply_paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
