@@ -4,6 +4,7 @@ import pytest
 
 from trenchline.functions.names import with_clean_name
 
+# --- fixed values: names and the cleaned forms that must come out ---
 GOLDEN = {
     "DWM": "Department of Water Management",
     "CITY OF CHICAGO DEPT OF WATER": "Department of Water Management",
@@ -36,6 +37,7 @@ GOLDEN = {
     "PLUMBING PROFESSIONALS*": "Plumbing Professionals",
     "CABO CONSTRUCTION CORP*": "Cabo Construction Corp",
 }
+# ---------------------------------------------------------------------
 
 # Behaviour of the rules as written (kept for parity), derived by reading them.
 EDGES = {
@@ -80,3 +82,12 @@ def test_plan_has_no_python_udf(spark):
     df = with_clean_name(spark.createDataFrame([("A",)], "raw string"), "raw")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_strict_suffix(spark):
+    rows = [("CASA MEXICO",), ("ACME CO",), ("ACME,CO.",), ("ACME, INC",), ("ZINC",), ("CO",), ("ÉCO",)]
+    df = spark.createDataFrame(rows, "raw string")
+    strict = {r.raw: r.clean_name for r in with_clean_name(df, "raw", strict_suffix=True).collect()}
+    assert strict == {"CASA MEXICO": "Casa Mexico", "ACME CO": "Acme Co", "ACME,CO.": "Acme, Co", "ACME, INC": "Acme Inc", "ZINC": "Zinc", "CO": "Co", "ÉCO": "ÉCO"}
+    loose = {r.raw: r.clean_name for r in with_clean_name(df, "raw").collect()}
+    assert loose["CASA MEXICO"] == "Casa Mexi Co" and loose["ZINC"] == "Z Inc" and loose["ACME, INC"] == "Acme Inc"

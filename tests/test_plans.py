@@ -1,6 +1,8 @@
 """Plan checks: pushdown, pruning, no Python in the hot path, bounded top-k."""
 
 from trenchline.operators import daily, geo, rankings
+from trenchline.session import scratch_path
+from trenchline.sources import files
 
 
 def plan_of(df):
@@ -8,8 +10,11 @@ def plan_of(df):
 
 
 def test_day_filter_pushed_to_scan(spark, permits_small):
-    p = plan_of(daily.daily_stats(permits_small, start="1996-01-01", end="1996-12-31"))
-    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in p
+    path = scratch_path(spark, "stored")
+    files.write_parquet(permits_small, path)
+    stored = files.read_parquet(spark, path)
+    p = plan_of(daily.daily_stats(stored, start="1996-01-01", end="1996-12-31"))
+    assert "PushedFilters: [IsNotNull(dig_date), GreaterThanOrEqual(dig_date" in p
 
 
 def test_column_pruning(spark, permits_small):

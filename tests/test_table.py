@@ -134,12 +134,100 @@ def test_failed_write_does_not_block_the_table(spark):
     with pytest.raises(Exception):
         table.full_refresh(t, broken)
     assert t.current_version() is None
-    # a manifest whose write broke off counts for nothing
-    fs, p = table._fs(spark, f"{t.root}/manifests/v00000001")
+    # a writer that was killed leaves a temporary file, which counts for nothing
+    fs, p = table._fs(spark, f"{t.root}/manifests/tmp-killed")
     fs.create(p, False).close()
-    assert table.full_refresh(t, df) == 2 and t.read().count() == 1
+    assert table.full_refresh(t, df) == 1 and t.read().count() == 1
+
+
+def test_no_update_is_lost(spark):
+    t = table.PermitTable(spark, scratch_path(spark, "race"))
+    rows = lambda *keys: month_rows(spark, [(k, "2024-01-05", "x", 1) for k in keys])
+    table.full_refresh(t, rows("A"))
+    months = t.write(table.with_audit(rows("A", "B"), "2024-01-01 00:00:00").select(*t.read().columns))
+    # another writer, also from version 1, is half through publishing version 2
+    fs, p = table._fs(spark, f"{t.root}/manifests/v00000002")
+    stream = fs.create(p, False)
+    stream.write(bytearray(b'{"schema": '))
+    stream.close()
     with pytest.raises(RuntimeError):
-        t.publish(df.schema, {}, after=None)  # another writer was first
+        t.publish(t.read(1).schema, months, after=1)
+    assert not fs.exists(table._fs(spark, f"{t.root}/manifests/v00000003")[1])
+    # the other way round: the version is there, the second one from the same base fails
+    t2 = table.PermitTable(spark, scratch_path(spark, "race"))
+    table.full_refresh(t2, rows("A"))
+    schema = t2.read().schema
+    one, two = (t2.write(table.with_audit(rows(*k), "2024-01-01 00:00:00")) for k in (("A", "B"), ("A", "C")))
+    assert t2.publish(schema, one, after=1) == 2
+    with pytest.raises(RuntimeError):
+        t2.publish(schema, two, after=1)
+    assert sorted(r.dig_ticket_number for r in t2.read().collect()) == ["A", "B"]
+
+
+def test_expire_drops_orphans_and_staging(spark):
+    t = table.PermitTable(spark, scratch_path(spark, "expire"))
+    for i in range(3):
+        v, _ = table.merge_batch(t, month_rows(spark, [("A", f"2024-0{i + 1}-05", "x", 1), (f"K{i}", "2024-05-01", "x", 1)]), now="2024-01-01 00:00:00")
+    kept = t.read().count()
+    orphan = t.write(month_rows(spark, [("Z", "2024-01-05", "x", 1)]))
+    table._fs(spark, f"{t.root}/staging/left")[0].mkdirs(table._fs(spark, f"{t.root}/staging/left")[1])
+    table._fs(spark, f"{t.root}/manifests/tmp-left")[0].create(table._fs(spark, f"{t.root}/manifests/tmp-left")[1], False).close()
+    there = lambda p: (lambda fp: fp[0].exists(fp[1]))(table._fs(spark, f"{t.root}/{p}"))
+    assert t.expire(keep=1) == [1, 2]  # writes that may be under way stay
+    assert there("staging/left") and there(list(orphan.values())[0][0])
+    assert t.expire(keep=1, orphans_after_hours=-1) == []
+    assert not there("staging/left") and not there("manifests/tmp-left") and not there(list(orphan.values())[0][0])
+    assert t.read().count() == kept and t.versions() == [3]
+
+
+def test_rows_sent_again_rewrite_nothing(spark):
+    t = table.PermitTable(spark, scratch_path(spark, "again"))
+    rows = [("A", "2024-01-05", "x", 1), ("B", "2024-02-05", "x", 1), ("C", None, None, 1)]
+    table.merge_batch(t, month_rows(spark, rows), now="2024-01-01 00:00:00")
+    before = t.months()
+    v, rep = table.merge_batch(t, month_rows(spark, rows + rows), now="2024-01-02 00:00:00", skip_unchanged=True)
+    assert v is None and t.months() == before
+    assert tuple(rep.first()) == (6, 0, 3, 3)
+    # a change in one month leaves the others; going back to an earlier content counts as a change
+    for i, street in enumerate(["y", "x"]):
+        v, rep = table.merge_batch(t, month_rows(spark, [("A", "2024-01-05", street, 1)] + rows[1:]), now=f"2024-01-0{3 + i} 00:00:00", skip_unchanged=True)
+        assert v == 2 + i and rep.first().unchanged == 2
+        assert {r.dig_ticket_number: r.street_name for r in t.read().collect()}["A"] == street
+    assert t.months()["2024-02"] == before["2024-02"] and t.months()["none"] == before["none"]
+    assert {r.dig_ticket_number: r.created_at.day for r in t.read().collect()} == {"A": 1, "B": 1, "C": 1}
+
+
+def test_one_day_reads_one_month_in_day_order(spark):
+    t = table.PermitTable(spark, scratch_path(spark, "layout"))
+    rows = [(f"T{i}", f"2024-{i % 3 + 1:02d}-{i * 7 % 28 + 1:02d}", "x" * 20, 1) for i in range(3000)]
+    table.full_refresh(t, month_rows(spark, rows), now="2024-01-01 00:00:00")
+    day = t.read(start="2024-02-10", end="2024-02-10")
+    assert day.count() == sum(r[1] == "2024-02-10" for r in rows)
+    assert all("_month=2024-02" in f for f in day.inputFiles())
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(dig_date), GreaterThanOrEqual(dig_date" in plan
+    for f in spark.read.parquet(f"{t.root}/{t.months()['2024-02'][0]}").inputFiles():
+        got = [r.dig_date for r in spark.read.parquet(f).select("dig_date").coalesce(1).collect()]
+        assert got == sorted(got)
+    assert {f.split("_month=")[1][:7] for f in t.recent(days=10).inputFiles()} == {"2024-03"}
+    assert t.recent(as_of="2024-02-05", days=10).count() == sum(r[1] >= "2024-01-26" for r in rows)
+
+
+def test_day_counts_follow_the_touched_months(spark):
+    from trenchline.operators import daily, day_counts
+
+    t = table.PermitTable(spark, scratch_path(spark, "counts"))
+    table.merge_batch(t, month_rows(spark, [("A", "2024-01-05", "x", 1), ("B", "2024-02-05", "x", 1), ("N", None, "x", 1)]), now="2024-01-01 00:00:00")
+    assert day_counts.refresh(t) == ["2024-01", "2024-02", "none"] and day_counts.refresh(t) == []
+    table.merge_batch(t, month_rows(spark, [("B", "2024-03-05", "x", 1), ("C", "2024-03-06", "x", 1)]), now="2024-01-02 00:00:00")
+    table.merge_batch(t, month_rows(spark, [("D", "2024-03-06", "x", 1)]), now="2024-01-03 00:00:00")
+    assert day_counts.refresh(t) == ["2024-03"]  # two versions on, only what differs
+    want = sorted(map(tuple, daily.daily_counts(t.read()).collect()))
+    assert sorted(map(tuple, day_counts.read(t).collect())) == want
+    files = daily.weekday_comparison(None, counts=day_counts.read(t)).inputFiles()
+    assert files and all("/day_counts/" in f for f in files)
+    t.expire(keep=1)
+    assert sorted(map(tuple, day_counts.read(t).collect())) == want
 
 
 def test_feeds_that_cannot_be_read_fail(spark, tmp_path):

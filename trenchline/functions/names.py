@@ -165,8 +165,12 @@ def _case_word(v: Column, i: Column) -> Column:
     )
 
 
-def with_clean_name(df: DataFrame, src: str, dst: str = "clean_name") -> DataFrame:
-    """Add ``dst`` = cleaned ``src`` (see module doc)."""
+def with_clean_name(df: DataFrame, src: str, dst: str = "clean_name", strict_suffix: bool = False) -> DataFrame:
+    """Add ``dst`` = cleaned ``src`` (see module doc).
+
+    ``strict_suffix``: a business suffix counts only as a word of its own, so
+    "MEXICO" does not end in "CO"; by default it may end any word."""
+    begins = r"(?:,\s+|(?<![\p{L}\p{N}]))" if strict_suffix else r"(?:,\s+)?"
     raw = F.col(src)
     t = "__nm_"
     # 1. case, asterisks, whitespace
@@ -193,6 +197,7 @@ def with_clean_name(df: DataFrame, src: str, dst: str = "clean_name") -> DataFra
     bs = None
     n5 = None
     for p, short in BUSINESS_SUFFIXES:
+        p = begins + p.removeprefix(r"(?:,\s+)?")
         hit = F.col(t + "n3").rlike("(?iU)" + p)
         bs = F.when(hit, F.lit(" " + short)) if bs is None else bs.when(hit, F.lit(" " + short))
         rm = F.trim(F.regexp_replace(F.col(t + "n3"), "(?iU)" + p, ""))

@@ -8,6 +8,8 @@ Everything is built from ``concat`` / ``when`` / ``substring`` /
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,6 +72,47 @@ def report_text(day_name: Column, total: Column, emergency: Column, regular: Col
     )
 
 
+# --- fixed values: other wordings of the daily posts ---
+SUMMARY_TEMPLATE = (
+    "📊 Chicago Dig Report - {day_name}\n\n"
+    "Total Permits: {actual_total} ({total_symbol}{total_diff_percent}% vs avg)\n"
+    "Emergency Permits: {actual_emergency} ({emergency_symbol}{emergency_diff_percent}% vs avg)\n\n"
+    "#ChicagoDigs #Infrastructure"
+)
+PERMITS_TEMPLATE = (
+    "📍 Total Permits: {actual_total}\n\n"
+    "Emergency Permits: {actual_emergency} {emergency_symbol}{emergency_diff_percent}% vs {day_name} avg\n\n"
+    "Regular Permits: {actual_regular} {regular_symbol}{regular_diff_percent}% vs {day_name} avg"
+)
+# -------------------------------------------------------
+
+
+def fill_template(template: str, fields: dict[str, Column]) -> Column:
+    """``template`` with each {name} replaced by the text of a column; null if one is null."""
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name is not None:
+            if name not in fields:
+                raise ValueError(f"no field {name!r}; there are {sorted(fields)}")
+            parts.append(fields[name])
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def report_fields() -> dict[str, Column]:
+    """What a template can say of a row of the weekday comparison: counts, the
+    rounded change in percent without its sign, and an arrow for the sign."""
+    fields = {"day": F.date_format("day", "yyyy-MM-dd"), "day_name": F.col("day_name"), "num_days": _s(F.col("num_days"))}
+    for what in ("total", "emergency", "regular"):
+        change = py_round1(F.col(f"{what}_diff_percent"))
+        fields[f"actual_{what}"] = _s(F.col(f"actual_{what}"))
+        fields[f"avg_{what}"] = F.format_string("%.1f", py_round1(F.col(f"avg_{what}")))
+        fields[f"{what}_diff_percent"] = F.format_string("%.1f", F.abs(change))
+        fields[f"{what}_symbol"] = arrow(change)
+    return fields
+
+
 def leaderboard_line(rank: Column, name: Column, count: Column) -> Column:
     """T3: '<mark> <name>: <count>\\n' (medals for ranks 1-3)."""
     mark = (

@@ -61,8 +61,11 @@ def card_texts(cards: DataFrame, locations: DataFrame | None = None) -> DataFram
     return c.select("dig_ticket_number", "text", "link_text", start.alias("byte_start"), end.alias("byte_end"))
 
 
-def report_texts(comparison: DataFrame) -> DataFrame:
-    """One report text per day of a weekday comparison."""
+def report_texts(comparison: DataFrame, template: str | None = None) -> DataFrame:
+    """One report text per day of a weekday comparison, in the standard
+    wording or in that of a ``template`` (see ``text.report_fields``)."""
+    if template is not None:
+        return comparison.select("day", tx.fill_template(template, tx.report_fields()).alias("text"))
     return comparison.select(
         "day",
         tx.report_text(

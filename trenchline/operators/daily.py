@@ -89,17 +89,34 @@ def dense_days(counts: DataFrame, value_cols: list[str]) -> DataFrame:
     return filled.select(F.col("_d").alias(DAY), *[F.when(first, F.col(c)).alias(c) for c in value_cols])
 
 
-def daily_series(permits: DataFrame, start=None, end=None) -> DataFrame:
+def daily_series(permits: DataFrame, start=None, end=None, last_days: int | None = None, as_of=None) -> DataFrame:
     """``date, regular_tickets, emergency_tickets`` for every day of the range,
-    zero on days without permits (the chart input)."""
+    zero on days without permits (the chart input).
+
+    ``last_days``: the days after ``as_of`` minus so many, up to ``as_of``
+    (default: the latest dig day of the table)."""
     from trenchline.operators.quality import TIMESTAMPS, require_columns
 
     require_columns(permits, {"dig_date": TIMESTAMPS, "is_emergency": ("boolean",)})
+    if last_days is not None:
+        if start is not None or end is not None:
+            raise ValueError("a series takes a range of days or a number of last days")
+        counts = daily_counts(permits)
+        latest = as_date(as_of) if as_of is not None else F.max(DAY)
+        # one row with the range, joined with one row a day
+        span = counts.agg(latest.alias("hi")).where("hi is not null")
+        days = span.select(F.explode(F.sequence(F.date_sub("hi", last_days - 1), F.col("hi"), F.expr("INTERVAL 1 DAY"))).alias(DAY))
+        days = days.join(counts, DAY, "left")
+        return _series(days)
     counts = daily_counts(permits, start, end)
     if start is None and end is None:
         days = dense_days(counts, ["total_permits", "emergency_permits"])
     else:
         days = day_spine(counts, start, end).join(counts, DAY, "left")
+    return _series(days)
+
+
+def _series(days: DataFrame) -> DataFrame:
     return days.select(
         F.col(DAY).alias("date"),
         (F.coalesce("total_permits", F.lit(0)) - F.coalesce("emergency_permits", F.lit(0))).alias("regular_tickets"),
@@ -129,10 +146,14 @@ def daily_records(permits: DataFrame, start=None, end=None) -> DataFrame:
     return agg.selectExpr("stack(2, 'most_tickets', d1, n1, 'most_emergency', d2, n2) as (record, day, count)")
 
 
-def permit_summary(permits: DataFrame, start=None, end=None) -> DataFrame:
+def permit_summary(permits: DataFrame | None, start=None, end=None, counts: DataFrame | None = None) -> DataFrame:
     """A10: per day, total / emergency / regular counts and the emergency share
-    in percent (unrounded; null when there are no permits)."""
-    c = daily_counts(permits, start, end)
+    in percent (unrounded; null when there are no permits).  ``counts``: day
+    counts that are there already."""
+    if counts is None:
+        c = daily_counts(permits, start, end)
+    else:
+        c = counts.where(F.col(DAY).between(as_date(start or "0001-01-01"), as_date(end or "9999-12-31")))
     return c.select(
         DAY,
         F.col("total_permits").alias("total_count"),
@@ -147,12 +168,13 @@ def _pct(actual, avg):
 
 
 def weekday_comparison(
-    permits: DataFrame,
+    permits: DataFrame | None,
     start=None,
     end=None,
     window_days: int = ROLLING_WINDOW_DAYS,
     min_history_days: int | None = None,
     holidays: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Each day against the average of the same weekday in [day - window, day).
 
@@ -161,13 +183,14 @@ def weekday_comparison(
     actual 0, the usual average, -100 %.  With no history the averages and
     the changes are 0.  ``min_history_days``: averages and changes become null
     when fewer history days exist.  ``holidays`` (a frame with a ``day`` column) are left
-    out of the history.
+    out of the history.  ``counts``: day counts that are there already (see
+    ``day_counts``), used instead of counting ``permits``.
 
     Plan: the permit scan feeds one hash aggregate by day; the window then runs
     on one row per calendar day (7 weekday partitions), which is small at any
     data size.
     """
-    counts = daily_counts(permits)
+    counts = daily_counts(permits) if counts is None else counts
     if start is not None or end is not None:
         # the history of `start` reaches window_days back; keep that range only
         lo = F.date_sub(as_date(start), window_days) if start is not None else None

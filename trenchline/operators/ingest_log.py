@@ -3,11 +3,11 @@ UTC event times (P1 for instants).
 
 The fetch log has one row per fetch (``batch_ts, rows``).  A run of empty
 fetches is a gaps-and-islands problem, usually solved with a window over the
-whole log in one task.  Here every ordered quantity is a *two-level prefix
-count*: a window inside each day of the log (bounded by the fetch cadence)
-plus a running total over per-day totals (one row per day of log).  No step
-puts the whole log into one task, and runs that cross midnight come out
-whole because the run key is global.
+whole log in one task.  Here islands are found inside each day of the log (a
+window bounded by the fetch cadence) and reduced to one row each; islands
+that touch midnight are then joined up through a window over one row per day.
+No step puts the whole log into one task, and runs over several days come out
+whole.
 """
 
 from __future__ import annotations
@@ -20,25 +20,25 @@ from trenchline.functions.dates import utc_instant_local_day
 CONSECUTIVE_EMPTY_THRESHOLD = 3  # fixed value: warn after this many empty fetches in a row
 
 
-def _prefix_counts(log: DataFrame, ts: str) -> DataFrame:
-    """Adds ``g`` (0-based position of the fetch in time order) and
-    ``ne_before`` (number of non-empty fetches before it)."""
-    b = log.withColumn("_bucket", F.to_date(F.col(ts))).withColumn("_ne", (F.col("rows") > 0).cast("bigint"))
-    per_bucket = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum("_ne").alias("_nne"))
-    # one row per day of log: a running total over it is small by construction
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        "_bucket",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_g0"),
-        F.coalesce(F.sum("_nne").over(before), F.lit(0)).alias("_ne0"),
-    )
-    inner = Window.partitionBy("_bucket").orderBy(F.col(ts))
-    inner_before = inner.rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumn("_gi", F.row_number().over(inner) - 1).withColumn("_nei", F.coalesce(F.sum("_ne").over(inner_before), F.lit(0)))
-    return b.join(offsets, "_bucket").select(
-        *log.columns,
-        (F.col("_g0") + F.col("_gi")).alias("g"),
-        (F.col("_ne0") + F.col("_nei")).alias("ne_before"),
+def _islands(log: DataFrame, threshold: int, ts: str) -> DataFrame:
+    """One row for each stretch of empty fetches inside a day of the log.
+
+    Fetches of equal time are ordered by their rows (empty ones first) and
+    then by the other columns, so the answer does not depend on partitioning."""
+    others = [c for c in log.columns if c not in (ts, "rows")]
+    day = F.to_date(F.col(ts))
+    order = Window.partitionBy("_day").orderBy(ts, "rows", *others)
+    b = log.where(F.col(ts).isNotNull()).withColumn("_day", day).withColumn("_ne", (F.coalesce("rows", F.lit(0)) > 0).cast("bigint"))
+    b = b.withColumn("_pos", F.row_number().over(order)).withColumn("_island", F.sum("_ne").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # every island starts behind a fetch with rows, but for the first of a day
+    nth = F.col("_pos") - F.max(F.when(F.col("_ne") == 1, F.col("_pos")).otherwise(F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    b = b.withColumn("_nth", nth)
+    return b.groupBy("_day", "_island").agg(
+        F.min(F.when(F.col("_ne") == 0, F.col(ts))).alias("run_start"),
+        F.max(F.when(F.col("_ne") == 0, F.col(ts))).alias("run_end"),
+        F.count_if(F.col("_ne") == 0).alias("n"),
+        # the first few times, as the alert may fall on any of them when the run began on an earlier day
+        F.array_sort(F.collect_list(F.when((F.col("_ne") == 0) & (F.col("_nth") <= threshold), F.struct("_nth", F.col(ts).alias("at"))))).alias("first"),
     )
 
 
@@ -46,28 +46,35 @@ def empty_batch_runs(log: DataFrame, threshold: int = CONSECUTIVE_EMPTY_THRESHOL
     """M1: every run of consecutive empty fetches -> ``run_start, run_end,
     empty_batches, alert, first_alert_at`` (the fetch at which the counter
     reached ``threshold``; null when it never did)."""
-    b = _prefix_counts(log, ts)
-    runs = (
-        b.where(F.col("rows") == 0)
-        .groupBy(F.col("ne_before").alias("run_key"))
-        .agg(
-            F.min(ts).alias("run_start"),
-            F.max(ts).alias("run_end"),
-            F.count(F.lit(1)).alias("empty_batches"),
-            F.min("g").alias("g0"),
-        )
+    islands = _islands(log, threshold, ts)
+    # one row per day: does it end in an empty stretch, how long is that, and is the whole day empty?
+    days = islands.groupBy("_day").agg(F.max("_island").alias("_last"), F.max_by("n", "_island").alias("_tail"))
+    whole = F.col("_last") == 0
+    in_order = Window.orderBy("_day")
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_fed", F.lag("_tail").over(in_order) > 0)
+    # the day (and island) in which the stretch at the end of this day began
+    start = F.when(whole & F.coalesce("_fed", F.lit(False)), F.lit(None)).otherwise(F.struct(F.col("_day").alias("d"), F.col("_last").alias("i")))
+    days = days.withColumn("_start", start).withColumn("_sum", F.sum("_tail").over(in_order))
+    # stretches of whole empty days add up: the sum of tails before this day, less that before the day of their start
+    anchor = F.when(F.col("_start").isNotNull(), F.col("_sum") - F.col("_tail"))
+    days = days.withColumn("_anchor", anchor)
+    days = days.select(
+        "_day",
+        F.when(F.col("_fed"), F.last("_start", ignorenulls=True).over(before)).alias("_from"),
+        F.when(F.col("_fed"), F.col("_sum") - F.col("_tail") - F.last("_anchor", ignorenulls=True).over(before)).alias("_carried"),
     )
-    # the alerting fetch sits at global position g0 + threshold - 1: an equi
-    # join on that (unique) position, not a search inside the run
-    alert_at = runs.where(F.col("empty_batches") >= threshold).select("run_key", (F.col("g0") + threshold - 1).alias("g"))
-    alert_at = alert_at.join(b.select("g", F.col(ts).alias("first_alert_at")), "g").select("run_key", "first_alert_at")
-    return runs.join(alert_at, "run_key", "left").select(
-        "run_start",
-        "run_end",
-        "empty_batches",
-        (F.col("empty_batches") >= threshold).alias("alert"),
-        "first_alert_at",
+    parts = islands.where("n > 0").join(days, "_day")
+    goes_on = (F.col("_island") == 0) & F.col("_from").isNotNull()
+    carried = F.when(goes_on, F.col("_carried")).otherwise(F.lit(0))
+    own = F.struct(F.col("_day").alias("d"), F.col("_island").alias("i"))
+    left = F.lit(threshold) - F.col("carried")
+    parts = parts.withColumn("run", F.when(goes_on, F.col("_from")).otherwise(own)).withColumn("carried", carried)
+    hit = F.when((left >= 1) & (F.col("n") >= left), F.element_at("first", F.greatest(left, F.lit(1)).cast("int"))["at"])
+    runs = parts.withColumn("hit", hit).groupBy("run").agg(
+        F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.sum("n").alias("empty_batches"), F.min("hit").alias("first_alert_at")
     )
+    return runs.select("run_start", "run_end", "empty_batches", (F.col("empty_batches") >= threshold).alias("alert"), "first_alert_at")
 
 
 def events_by_local_day(events: DataFrame, flag_type: str = "error") -> DataFrame:

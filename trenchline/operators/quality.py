@@ -1,7 +1,6 @@
 """Data checks and column profiles.
 
-Each check is one aggregate pass (plus, for value profiles, one grouped count
-over the few low-cardinality columns); results are small DataFrames.
+Each check is one aggregate pass; results are small DataFrames.
 Raising on a failed gate is a separate, explicit action (``enforce_gate``).
 """
 
@@ -77,14 +76,31 @@ NUMERIC = ("double", "float", "long", "integer", "short", "decimal")
 TIMESTAMPS = ("timestamp_ntz", "timestamp", "date")
 
 
-def enforce_gate(gate: DataFrame) -> dict:
-    """Run the gate (one small action) and raise when it fails."""
-    row = gate.first().asDict()
+def gate_row(metrics: dict, min_rows: int) -> dict:
+    """The gate of ``quality_gate`` from counts that were observed in another pass."""
+    n, null_keys = metrics["n_rows"], metrics["null_keys"]
+    return {"n_rows": n, "null_keys": null_keys, "has_key_column": True, "min_rows": min_rows, "passed": n > null_keys and n >= min_rows}
+
+
+def check_gate(row: dict) -> dict:
+    """Raise when a gate has failed."""
     if not row["passed"]:
         raise DataValidationError(f"data gate failed: {row}")
     return row
 
 
+def enforce_gate(gate: DataFrame) -> dict:
+    """Run the gate (one small action) and raise when it fails."""
+    return check_gate(gate.first().asDict())
+
+
+def require_rows(df: DataFrame) -> DataFrame:
+    """Raise when an input is empty (one action, which stops at the first row)."""
+    if df.isEmpty():
+        raise DataValidationError("the input has no rows")
+    return df
+
+
 def profile(df: DataFrame) -> DataFrame:
     """``column_name, data_type, n_rows, n_null, null_pct`` for every column."""
     cols = df.columns
@@ -110,38 +126,33 @@ def profile_values(df: DataFrame, max_distinct: int = PROFILE_MAX_DISTINCT, top:
     ``max_distinct`` distinct non-null values -> ``column_name, value,
     frequency, rank`` (values as text).
 
-    Exact, without an exact distinct count of every column: a first pass of
-    ``approx_count_distinct`` (HyperLogLog, one row back to the driver) picks
-    candidate columns.  With at most ``max_distinct`` values HLL is in its
-    linear-counting range (rsd 0.05: 512 registers, estimate m*ln(m/V) with
-    V >= m - max_distinct empty registers) and cannot report more than
-    ~max_distinct, so a cut at 2x max_distinct never drops a qualifying
-    column; the candidates are then counted exactly, one grouped count per
-    column.  High-cardinality columns (ticket numbers, coordinates) are never
-    grouped by value.
+    Exact, in one scan: grouping sets with one set for each column.  Every
+    task counts the values it sees before the shuffle, so a column of few
+    values sends a handful of rows; the values of other columns are counted
+    to the end too, but no column is gathered in one task: of each column
+    only the ``max_distinct`` + 1 commonest values leave a task, and one row
+    too many tells that the column has more.
     """
     cols = df.columns
-    approx = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"a{i}") for i, c in enumerate(cols)]).first()
-    cand = [c for i, c in enumerate(cols) if approx[f"a{i}"] <= 2 * max_distinct]
-    if not cand:
+    if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, value string, frequency bigint, rank bigint")
-    # one grouped count per candidate column, unioned: each reads one column
-    # and shrinks to a handful of rows before its shuffle (no row explosion)
-    parts = [
-        df.where(F.col(f"`{c}`").isNotNull())
-        .groupBy(F.col(f"`{c}`").cast("string").alias("value"))
-        .agg(F.count(F.lit(1)).alias("frequency"))
-        .select(F.lit(c).alias("column_name"), "value", "frequency")
-        for c in cand
-    ]
-    counts = parts[0]
-    for part in parts[1:]:
-        counts = counts.unionByName(part)
+    # names of its own for every column, so that no name clashes with those made here
+    named = df.select([F.col(f"`{c}`").alias(f"_v{i}") for i, c in enumerate(cols)])
+    # grouping_id has a bit for each column, 0 where it is grouped by; the first column is the highest bit
+    grouped = named.groupingSets([[F.col(f"_v{i}")] for i in range(len(cols))], *[F.col(f"_v{i}") for i in range(len(cols))])
+    counts = grouped.agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("frequency"))
+    full = (1 << len(cols)) - 1
+    name, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, c in enumerate(cols):
+        this = F.col("_set") == full - (1 << (len(cols) - 1 - i))
+        name = F.when(this, F.lit(c)).otherwise(name)
+        value = F.when(this, F.col(f"_v{i}").cast("string")).otherwise(value)
+    values = counts.select(name.alias("column_name"), value.alias("value"), "frequency").where(F.col("value").isNotNull())
+    order = Window.partitionBy("column_name").orderBy(F.col("frequency").desc(), F.col("value").asc())
+    most = values.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= max_distinct + 1)
     per_col = Window.partitionBy("column_name")
-    ranked = counts.withColumn("n_distinct", F.count(F.lit(1)).over(per_col)).where(F.col("n_distinct") <= max_distinct)
-    w = Window.partitionBy("column_name").orderBy(F.col("frequency").desc(), F.col("value").asc())
     return (
-        ranked.withColumn("rank", F.row_number().over(w).cast("bigint"))
-        .where(F.col("rank") <= top)
+        most.withColumn("_n", F.count(F.lit(1)).over(per_col))
+        .where((F.col("_n") <= max_distinct) & (F.col("rank") <= top))
         .select("column_name", "value", "frequency", "rank")
     )

@@ -40,7 +40,7 @@ def _scope(permits: DataFrame, start=None, end=None, emergency_only: bool = Fals
     return p.where(F.col("is_emergency")) if emergency_only else p
 
 
-def clean_distinct(df: DataFrame, raw: str, dst: str = "name", carry: dict | None = None) -> DataFrame:
+def clean_distinct(df: DataFrame, raw: str, dst: str = "name", carry: dict | None = None, strict_suffix: bool = False) -> DataFrame:
     """Clean ``raw`` once per distinct value: ``raw, dst`` (+ carried aggregates).
 
     ``df`` must already hold one row per ``raw`` value.  The cleaned name
@@ -56,7 +56,7 @@ def clean_distinct(df: DataFrame, raw: str, dst: str = "name", carry: dict | Non
     into one task.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    cleaned = with_clean_name(df.repartition(n, raw), raw, dst)
+    cleaned = with_clean_name(df.repartition(n, raw), raw, dst, strict_suffix)
     aggs = [F.max(dst).alias(dst)] + [F.max(c).alias(a) for a, c in (carry or {}).items()]
     return cleaned.groupBy(raw).agg(*aggs)
 
@@ -99,8 +99,9 @@ def leaderboard(
 def leaderboard_by_day(
     permits: DataFrame, k: int = 5, start=None, end=None, emergency_only: bool = False, merge_names: bool = False
 ) -> DataFrame:
-    """Top-k contractors of every day -> ``day, rank, name, count``."""
-    p = _scope(permits, start, end, emergency_only).where(_has_last_name())
+    """Top-k contractors of every day -> ``day, rank, name, count``
+    (permits without a dig date belong to no day)."""
+    p = _scope(permits, start, end, emergency_only).where(_has_last_name() & F.col("dig_date").isNotNull())
     counts = p.groupBy(local_day("dig_date").alias(DAY), contractor_name().alias("contractor_name")).agg(
         F.count(F.lit(1)).alias("count")
     )
@@ -172,7 +173,7 @@ def name_case_variants(permits: DataFrame, k: int = 20) -> DataFrame:
     groups = (
         spellings.groupBy(F.upper("original_name").alias("upper_name"))
         .agg(
-            F.array_join(F.array_sort(F.collect_list("original_name")), " | ").alias("variations"),
+            F.expr("listagg(original_name, ' | ') within group (order by original_name)").alias("variations"),
             F.sum("frequency").cast("bigint").alias("total_frequency"),
             F.count(F.lit(1)).alias("n_spellings"),
         )
@@ -181,12 +182,12 @@ def name_case_variants(permits: DataFrame, k: int = 20) -> DataFrame:
     return _top(groups, k, "total_frequency", "upper_name").select("rank", "variations", "total_frequency", "upper_name")
 
 
-def normalize_names(permits: DataFrame, column: str = "contact_last_name") -> DataFrame:
+def normalize_names(permits: DataFrame, column: str = "contact_last_name", strict_suffix: bool = False) -> DataFrame:
     """T1 over a table: every distinct non-empty name, its cleaned form, and
     how many permits carry it.  Cleaning runs once per distinct name."""
     names = permits.where(F.col(column).isNotNull() & (F.col(column) != F.lit(""))).groupBy(
         F.col(column).alias("raw_name")
     ).agg(F.count(F.lit(1)).alias("frequency"))
-    return clean_distinct(names, "raw_name", "clean_name", carry={"frequency": "frequency"}).select(
+    return clean_distinct(names, "raw_name", "clean_name", carry={"frequency": "frequency"}, strict_suffix=strict_suffix).select(
         "raw_name", "clean_name", "frequency"
     )

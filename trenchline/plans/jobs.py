@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trenchline.operators import cards, daily, geo, normalize, pages, quality, rankings, sampling, table
+from trenchline.operators import cards, daily, day_counts, geo, normalize, pages, quality, rankings, sampling, table
 from trenchline.sources import files
 from trenchline.streaming import ingest
 
@@ -46,51 +46,63 @@ def daily_update(
     """Landed feed -> conform -> gate -> merge by ticket -> reports for ``day``.
 
     Reports are computed on the merged table (the reference computed them on
-    the last batch only).  The feed is read once and landed.  An empty fetch
-    is normal: it is logged (if ``log_path`` is given) and changes nothing.
-    A batch that changes nothing skips the commit."""
-    raw = files.read_permits_json(spark, batch_path, multi_line) if family == "api" else files.read_permits_csv(spark, batch_path, multi_line)
-    staged = f"{target.root}/staging/{uuid.uuid4().hex}"
-    ordered = files.with_arrival(raw)
-    files.write_parquet(ordered, staged)
-    landed = files.require_clean(spark.read.schema(ordered.schema).parquet(staged))
-    batch = normalize.conform(landed, keep_extra=True)
-    gate = quality.quality_gate(batch, min_rows=min_rows).first()
-    if log_path is not None:
-        ingest.append_log(spark, log_path, None, now, gate["n_rows"])
-    version, report = None, None
-    if gate["n_rows"]:
-        quality.enforce_gate(spark.createDataFrame([gate], quality.GATE_SCHEMA))
-        version, report = table.merge_batch(target, batch, now=now)
-    merged = target.read()
-    comparison = daily.weekday_comparison(merged, start=day, end=day)
-    by_day = rankings.leaderboard_by_day(merged, k=5, start=day, end=day)
+    the last batch only): the day's rows from its month, the comparison from
+    the kept day counts.  The feed is read once; the gate uses counts observed
+    while it is landed.  An empty fetch is normal: it is logged (if
+    ``log_path`` is given) and changes nothing.  Rows sent again without a
+    change stay as they are, and a batch without any change skips the commit."""
+    feed = f"staging/{uuid.uuid4().hex}"
+    seen: dict = {}
+
+    def check(metrics: dict) -> None:
+        seen.update(metrics)
+        if log_path is not None:
+            ingest.append_log(spark, log_path, None, now, metrics["n_rows"], family)
+        if metrics["n_rows"]:
+            quality.check_gate(quality.gate_row(metrics, min_rows))
+
+    try:
+        if family == "api":
+            raw = files.with_arrival(files.read_permits_json(spark, batch_path, multi_line))
+        else:
+            raw = files.land_csv(spark, batch_path, f"{target.root}/{feed}", multi_line)
+        batch = normalize.conform(raw, keep_extra=True)
+        version, report = table.merge_batch(target, batch, now=now, check=check, skip_unchanged=True)
+    finally:
+        target.drop_folder(feed)
+    if not seen["n_rows"]:
+        report = None
+    merged = target.read(start=day, end=day)  # one day of one month
+    counts = day_counts.read(target)
+    comparison = daily.weekday_comparison(None, start=day, end=day, counts=counts)
+    by_day = rankings.leaderboard_by_day(merged, k=5)
     return DailyOutputs(
         version=version,
         merge_report=report,
         comparison=comparison,
-        summary=daily.permit_summary(merged, start=day, end=day),
-        leaderboard=rankings.leaderboard(merged, k=5, start=day, end=day),
+        summary=daily.permit_summary(None, start=day, end=day, counts=counts),
+        leaderboard=rankings.leaderboard(merged, k=5),
         report_text=cards.report_texts(comparison),
         leaderboard_text=cards.leaderboard_texts(by_day),
-        points=geo.map_points(merged, start=day, end=day),
+        points=geo.map_points(merged),
     )
 
 
 def full_refresh_job(
     spark: SparkSession, target: table.PermitTable, csv_path: str, now=None, min_rows: int = quality.MIN_ROWS_FULL_REFRESH
 ) -> int:
-    """Bulk CSV -> conform -> gate -> new table version (old one stays);
-    the stored version is counted back and gated again (A9)."""
-    permits = normalize.conform(files.with_arrival(files.read_permits_csv(spark, csv_path)), keep_extra=True)
-    quality.enforce_gate(quality.quality_gate(permits, min_rows=min_rows))
-    version = table.full_refresh(target, permits, now=now)
-    stored = target.read(version)
-    quality.enforce_gate(quality.quality_gate(stored, min_rows=min_rows))
-    per_ticket = F.count_distinct(table.KEY) + F.count_if(F.col(table.KEY).isNull())
-    read, written = permits.agg(per_ticket).first()[0], stored.count()
-    if read != written:
-        raise quality.DataValidationError(f"{read} rows were read and {written} are stored")
+    """Bulk CSV -> conform -> gate -> new table version (old one stays).
+
+    The feed is parsed once.  The gate and the count of the stored rows (A9)
+    come from counts observed in the writing pass and decide before the
+    version is published."""
+    feed = f"staging/{uuid.uuid4().hex}"
+    try:
+        permits = normalize.conform(files.land_csv(spark, csv_path, f"{target.root}/{feed}"), keep_extra=True)
+        version = table.full_refresh(target, permits, now=now, check=lambda m: quality.check_gate(quality.gate_row(m, min_rows)))
+    finally:
+        target.drop_folder(feed)
+    day_counts.refresh(target, version)
     return version
 
 

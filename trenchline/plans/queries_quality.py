@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from trenchline.operators import ingest_log, quality
+from pyspark.sql import functions as F
+
+from trenchline.operators import ingest_log, normalize, quality
 from trenchline.plans.catalog import permits, register, with_permits
 from trenchline.schema import PERMIT_SCHEMA, REQUIRED_COLUMNS
-from trenchline.sources.fixtures import ingest_log_from_events, table
+from trenchline.session import scratch_path
+from trenchline.sources.fixtures import ingest_log_from_events, raw_feed, table
+from trenchline.streaming import no_data
 
 
 def _union(parts: list[str]) -> str:
@@ -29,6 +33,28 @@ def q_schema_check(spark, sf):
     return quality.schema_check(permits(spark, sf))
 
 
+ABSENT = ["dig_location", "longitude"]
+
+
+@register(
+    "missing_columns",
+    with_permits(
+        _union(
+            [
+                f"select '{c}' as column_name, {str(c not in ABSENT).lower()} as present, cast(count(*) as bigint) as n_rows, "
+                + ("cast(0 as bigint)" if c in ABSENT else f"cast(count({c}) as bigint)")
+                + " as n_non_null from permits"
+                for c in REQUIRED_COLUMNS
+            ]
+        )
+    ),
+)
+def q_missing_columns(spark, sf):
+    """The required columns of a feed that lacks two of them."""
+    feed = normalize.rename_source_fields(raw_feed(permits(spark, sf), "api"))
+    return quality.schema_check(feed.drop(*ABSENT))
+
+
 @register(
     "quality_gate",
     with_permits(
@@ -113,6 +139,33 @@ def q_empty_batch_runs(spark, sf):
     return ingest_log.empty_batch_runs(ingest_log_from_events(table(spark, sf, "events")))
 
 
+@register(
+    "stream_empty_runs",
+    f"""
+with {INGEST_LOG_SQL.strip()},
+b as (select batch_ts, rows, row_number() over (order by batch_ts) - 1 as g,
+             coalesce(sum(case when rows > 0 then 1 else 0 end)
+                      over (order by batch_ts rows between unbounded preceding and 1 preceding), 0) as ne_before
+      from log)
+select 'events' as feed, min(batch_ts) as run_start, max(batch_ts) as run_end, cast(count(*) as bigint) as empty_batches,
+       count(*) >= {ingest_log.CONSECUTIVE_EMPTY_THRESHOLD} as alert,
+       case when count(*) >= {ingest_log.CONSECUTIVE_EMPTY_THRESHOLD}
+            then list_sort(list(batch_ts))[{ingest_log.CONSECUTIVE_EMPTY_THRESHOLD}] end as first_alert_at
+from b where rows = 0 group by ne_before""",
+    stamps=["run_start", "run_end", "first_alert_at"],
+)
+def q_stream_empty_runs(spark, sf):
+    """The no-data counter as stream state, over a fetch log that lands
+    in two parts; the stream is started anew for the second one."""
+    base = scratch_path(spark, "no-data")
+    log = ingest_log_from_events(table(spark, sf, "events")).withColumns({"feed": F.lit("events"), "batch_id": F.lit(None).cast("bigint")})
+    half = F.lit("2024-01-16 12:00:00").cast("timestamp_ntz")
+    for part in (log.where(F.col("batch_ts") < half), log.where(F.col("batch_ts") >= half)):
+        part.write.mode("append").parquet(f"{base}/log")
+        no_data.start_counter(spark, f"{base}/log", f"{base}/runs", f"{base}/checkpoint").awaitTermination()
+    return no_data.latest_runs(spark, f"{base}/runs")
+
+
 @register(
     "utc_to_local_day",
     """

@@ -14,7 +14,7 @@ CNAME = (
 HAS_LAST = "contact_last_name is not null and contact_last_name != ''"
 
 
-def clean_case(x: str) -> str:
+def clean_case(x: str, strict: bool = False) -> str:
     """Cleaned form of every raw spelling the permit fixture produces
     (customer names 'Customer#...' are unchanged by the rules)."""
     pairs = [
@@ -22,13 +22,21 @@ def clean_case(x: str) -> str:
         ("People Gas", "Peoples Gas"),
         ("ACME CONST. CO.", "Acme Construction Co"),
         ("Acme Construction Company", "Acme Construction Co"),
+        ("PEOPLE GAS", "Peoples Gas"),
         ("M & J ASPHALT *", "M&J Asphalt"),
+        ("M & J Asphalt *", "M&J Asphalt"),
+        ("m & j Asphalt *", "M&J Asphalt"),
+        ("CASA MEXICO", strict and "Casa Mexico" or "Casa Mexi Co"),
         ("SMITH CONSTR. (SL-1234)", "Smith Construction (SL-1234)"),
         ("PAT PEOPLES GAS", "PAT Peoples GAS"),
         ("PAT People Gas", "PAT People GAS"),
         ("PAT ACME CONST. CO.", "PAT Acme Construction Co"),
         ("PAT Acme Construction Company", "PAT Acme Construction Co"),
+        ("PAT PEOPLE GAS", "PAT People GAS"),
         ("PAT M & J ASPHALT *", "PAT M & J Asphalt"),
+        ("PAT M & J Asphalt *", "PAT M & J Asphalt"),
+        ("PAT m & j Asphalt *", "PAT M & J Asphalt"),
+        ("PAT CASA MEXICO", strict and "PAT Casa Mexico" or "PAT Casa Mexi Co"),
         ("PAT SMITH CONSTR. (SL-1234)", "PAT Smith Construction (SL-1234)"),
     ]
     whens = " ".join(f"when '{a}' then '{b}'" for a, b in pairs)
@@ -93,12 +101,29 @@ select day, cast(row_number() over (partition by day order by cnt desc, contract
        name, cnt as count
 from t where name != ''""",
     f"""c as (select cast(dig_date as date) as day, {CNAME} as contractor_name, cast(count(*) as bigint) as cnt
-          from permits where {HAS_LAST} group by 1, 2),
+          from permits where {HAS_LAST} and dig_date is not null group by 1, 2),
 r as (select *, row_number() over (partition by day order by cnt desc, contractor_name) as r0 from c),
 t as (select day, contractor_name, cnt, {clean_case('contractor_name')} as name from r where r0 <= 5)""",
 )
 
 
+LEADERBOARD_BY_DAY_MERGED_SQL = with_permits(
+    """
+select day, rank, name, cnt as count from (
+  select day, name, cnt, cast(row_number() over (partition by day order by cnt desc, name) as bigint) as rank
+  from m where name != '') r
+where rank <= 5""",
+    f"""c as (select cast(dig_date as date) as day, {CNAME} as contractor_name, count(*) as cnt
+          from permits where {HAS_LAST} and dig_date is not null group by 1, 2),
+m as (select day, {clean_case('contractor_name')} as name, cast(sum(cnt) as bigint) as cnt from c group by 1, 2)""",
+)
+
+
+@register("leaderboard_by_day_merged", LEADERBOARD_BY_DAY_MERGED_SQL, dates=["day"])
+def q_leaderboard_by_day_merged(spark, sf):
+    return _bigint_rank(rankings.leaderboard_by_day(permits(spark, sf), k=5, merge_names=True))
+
+
 @register("leaderboard_by_day", LEADERBOARD_BY_DAY_SQL, dates=["day"])
 def q_leaderboard_by_day(spark, sf):
     return _bigint_rank(rankings.leaderboard_by_day(permits(spark, sf), k=5))
@@ -194,3 +219,17 @@ from (select contact_last_name as raw_name, cast(count(*) as bigint) as frequenc
 )
 def q_normalize_names(spark, sf):
     return rankings.normalize_names(permits(spark, sf))
+
+
+@register(
+    "normalize_names_strict",
+    with_permits(
+        f"""
+select raw_name, {clean_case('raw_name', strict=True)} as clean_name, frequency
+from (select contact_last_name as raw_name, cast(count(*) as bigint) as frequency from permits
+      where {HAS_LAST} group by 1) n"""
+    ),
+)
+def q_normalize_names_strict(spark, sf):
+    """T1 with business suffixes as words of their own only."""
+    return rankings.normalize_names(permits(spark, sf), strict_suffix=True)

@@ -7,6 +7,8 @@ scratch area), then read it back through the source under test.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from trenchline.operators import normalize, table
 from trenchline.plans.catalog import permits, register, with_permits
 from trenchline.session import scratch_path
@@ -42,10 +44,31 @@ from permits"""
 
 @register("scan_csv", CSV_SQL, stamps=PERMIT_STAMPS)
 def q_scan_csv(spark, sf):
-    """S1 + N1-N5: CSV export (upper-case header, US dates, Y/N) read back as text and conformed."""
+    """S1 + N1-N5: CSV export (upper-case header, US dates, Y/N) read back as text
+    and conformed.  Half of the files have their columns in another order and
+    carry one more; each is read by its own header."""
     path = scratch_path(spark, "csv")
-    files.write_csv(fixtures.raw_feed(permits(spark, sf), "csv"), path)
-    return normalize.conform(files.read_permits_csv(spark, path))
+    raw = fixtures.raw_feed(permits(spark, sf), "csv")
+    even = F.col("DIG_TICKET#").cast("bigint") % 2 == 0
+    files.write_csv(raw.where(even), f"{path}/a")
+    files.write_csv(raw.where(~even).select(F.lit("x").alias("WARD"), *raw.columns[::-1]), f"{path}/b")
+    return normalize.conform(files.read_permits_csv(spark, f"{path}/*"))
+
+
+@register(
+    "recent_stored",
+    with_permits(
+        f"""
+select *, timestamp '{T0}' as created_at, timestamp '{T0}' as updated_at from permits
+where dig_date >= cast((select max(cast(dig_date as date)) from permits) - 30 as timestamp)"""
+    ),
+    stamps=AUDIT_STAMPS,
+)
+def q_recent_stored(spark, sf):
+    """K5 on the stored table: only the months that can hold such rows are read."""
+    t = table.PermitTable(spark, scratch_path(spark, "table"))
+    table.full_refresh(t, permits(spark, sf), now=T0)
+    return t.recent(days=30)
 
 
 @register("scan_json", WITH_BAD_VALUES_SQL, stamps=PERMIT_STAMPS)

@@ -3,11 +3,14 @@
 
 from __future__ import annotations
 
+import math
+from string import Formatter
+
 from pyspark.sql import functions as F
 
 from trenchline.functions import text as tx
 from trenchline.functions.rounding import py_round1_sql
-from trenchline.operators import cards, daily, geo, pages, rankings, sampling
+from trenchline.operators import cards, daily, geo, pages, quality, rankings, sampling
 from trenchline.plans.catalog import permits, register, with_permits
 from trenchline.plans.queries_daily import WEEKDAY_SQL
 from trenchline.plans.queries_rankings import LEADERBOARD_BY_DAY_SQL
@@ -27,13 +30,56 @@ select cast(dig_date as date) as day,
        dig_ticket_number, latitude, longitude
 from permits
 where latitude between {LAT0}e0 and {LAT1}e0 and longitude between {LON0}e0 and {LON1}e0
-  and latitude != 0 and longitude != 0"""
+  and latitude != 0 and longitude != 0 and dig_date is not null"""
 
 
 @register("map_points", with_permits(MAP_POINTS_BODY), dates=["day"])
 def q_map_points(spark, sf):
-    """G1: valid permit locations per day, split into emergency / regular layers."""
-    return geo.map_points(permits(spark, sf))
+    """Valid permit locations per day, split into emergency / regular
+    layers; the input must have rows."""
+    return geo.map_points(quality.require_rows(permits(spark, sf)))
+
+
+@register(
+    "map_points_day",
+    with_permits(f"select * from ({MAP_POINTS_BODY}) p where day = (select max(cast(dig_date as date)) from permits)"),
+    dates=["day"],
+)
+def q_map_points_day(spark, sf):
+    """The points of one day, the latest one (a pushed range on the dig date)."""
+    p = permits(spark, sf)
+    latest = p.select(F.max(F.to_date("dig_date"))).scalar()
+    return geo.map_points(p, start=latest, end=latest)
+
+
+HEAT_ZOOMS = (9, 11)
+
+
+@register(
+    "heat_layer",
+    with_permits(
+        f"""
+select zoom, layer, x_cell, y_cell, weight, weight / {float(geo.WEIGHT_UNIT)}e0 / pow(2e0, {geo.HEAT_MAX_ZOOM} - zoom) as intensity,
+       greatest({geo.HEAT_MIN_OPACITY}e0, least(1e0, weight / {float(geo.WEIGHT_UNIT)}e0 / pow(2e0, {geo.HEAT_MAX_ZOOM} - zoom))) as opacity
+from (
+  select zoom, layer, cx + dx as x_cell, cy + dy as y_cell, cast(sum(n * w) as bigint) as weight
+  from binned, (
+    select dx, dy, cast(round(1000 * least(1e0, ({geo.HEAT_RADIUS + geo.HEAT_BLUR} - {geo.HEAT_CELL_PIXELS} * sqrt(dx * dx + dy * dy)) / {geo.HEAT_BLUR}e0)) as bigint) as w
+    from range(-20, 21) a(dx), range(-20, 21) b(dy)) s
+  where w > 0 group by 1, 2, 3, 4) h""",
+        f"""pixels as (
+  select zoom, layer, (longitude + 180e0) / 360e0 * size as x,
+         (0.5e0 - ln((1e0 + sine) / (1e0 - sine)) / {4 * math.pi!r}e0) * size as y
+  from (select z.zoom, layer, longitude, {geo.TILE_PIXELS}e0 * pow(2e0, z.zoom) as size, sin(latitude * {math.pi!r}e0 / 180e0) as sine
+        from ({MAP_POINTS_BODY}) p, (select cast(unnest([{', '.join(map(str, HEAT_ZOOMS))}]) as int) as zoom) z) q),
+binned as (
+  select zoom, layer, cast(floor(x / {geo.HEAT_CELL_PIXELS}e0) as bigint) as cx, cast(floor(y / {geo.HEAT_CELL_PIXELS}e0) as bigint) as cy, count(*) as n
+  from pixels group by 1, 2, 3, 4)""",
+    ),
+)
+def q_heat_layer(spark, sf):
+    """Both layers as the heat map draws them, at two zoom levels."""
+    return geo.heat_layer(geo.map_points(permits(spark, sf)), zooms=HEAT_ZOOMS)
 
 
 @register(
@@ -51,17 +97,15 @@ def q_density_grid(spark, sf):
     return geo.density_grid(geo.map_points(permits(spark, sf)))
 
 
+SAMPLE_SQL = """
+select *, row_number() over (partition by cast(dig_date as date) order by priority, dig_ticket_number) as rn
+from (select *, cast('0x' || substr(md5(dig_ticket_number || ':42'), 1, 15) as bigint) as priority
+      from permits where dig_date is not null) d"""
+
+
 @register(
     "sample_permits",
-    with_permits(
-        """
-select day, cast(1 as bigint) as rank, dig_ticket_number from (
-  select cast(dig_date as date) as day, dig_ticket_number,
-         row_number() over (partition by cast(dig_date as date)
-                            order by md5(dig_ticket_number || ':42'), dig_ticket_number) as rn
-  from permits) s
-where rn = 1"""
-    ),
+    with_permits(f"select cast(dig_date as date) as day, cast(1 as bigint) as rank, dig_ticket_number from ({SAMPLE_SQL}) s where rn = 1"),
     dates=["day"],
 )
 def q_sample_permits(spark, sf):
@@ -69,6 +113,16 @@ def q_sample_permits(spark, sf):
     return sampling.sample_permits(permits(spark, sf), k=1, seed=42)
 
 
+@register(
+    "sampled_permits",
+    with_permits(f"select * exclude (priority, rn) from ({SAMPLE_SQL}) s where rn <= 2"),
+    stamps=["request_date", "dig_date", "expiration_date"],
+)
+def q_sampled_permits(spark, sf):
+    """L4: two sampled permits of every dig day, as whole rows, in one read."""
+    return sampling.sampled_permits(permits(spark, sf), k=2, seed=42)
+
+
 @register(
     "permit_listing",
     with_permits(
@@ -223,3 +277,31 @@ group by day""",
 def q_leaderboard_text(spark, sf):
     """The per-day top-5 contractor text."""
     return cards.leaderboard_texts(rankings.leaderboard_by_day(permits(spark, sf), k=5))
+
+
+def _template_sql(template: str) -> str:
+    fields = {"day": "strftime(day, '%Y-%m-%d')", "day_name": "day_name"}
+    for what in ("total", "emergency", "regular"):
+        change = py_round1_sql(f"{what}_diff_percent")
+        fields |= {
+            f"actual_{what}": f"cast(actual_{what} as varchar)",
+            f"{what}_diff_percent": f"printf('%.1f', abs({change}))",
+            f"{what}_symbol": f"case when {change} < 0 then {sql_str(tx.ARROW_DOWN)} else {sql_str(tx.ARROW_UP)} end",
+        }
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        parts += [sql_str(literal)] if literal else []
+        parts += [f"({fields[name]})"] if name else []
+    return f"select day, {' || '.join(parts)} as text from ({WEEKDAY_SQL}) w"
+
+
+@register("report_text_summary", _template_sql(tx.SUMMARY_TEMPLATE), dates=["day"])
+def q_report_text_summary(spark, sf):
+    """T2 in the wording of the thread's summary post, given as a template."""
+    return cards.report_texts(daily.weekday_comparison(permits(spark, sf)), tx.SUMMARY_TEMPLATE)
+
+
+@register("report_text_permits", _template_sql(tx.PERMITS_TEMPLATE), dates=["day"])
+def q_report_text_permits(spark, sf):
+    """T2 in the wording of the thread's permit post, given as a template."""
+    return cards.report_texts(daily.weekday_comparison(permits(spark, sf)), tx.PERMITS_TEMPLATE)

@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Permits without a dig date: they belong to no day.
+UNDATED_EVERY = 61
+
+
 def permits_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1: one permit per order; 16 target columns, typed like the target schema."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
@@ -36,7 +40,7 @@ def permits_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
         ticket.alias("dig_ticket_number"),
         F.concat(F.lit("P"), ticket).alias("permit_number"),
         (F.col("o_orderdate") - F.expr("INTERVAL 2 DAYS")).alias("request_date"),
-        F.col("o_orderdate").alias("dig_date"),
+        F.when(key % UNDATED_EVERY != 0, F.col("o_orderdate")).alias("dig_date"),
         (F.col("o_orderdate") + F.expr("INTERVAL 28 DAYS")).alias("expiration_date"),
         (F.col("o_orderpriority") == F.lit("1-URGENT")).alias("is_emergency"),
         F.col("c_mktsegment").alias("street_name"),
@@ -70,12 +74,16 @@ def _last_name(cust: Column) -> Column:
     r = cust % 8
     return (
         F.when(r == 0, "PEOPLES GAS")
+        .when((r == 1) & (cust % 5 == 0), "PEOPLE GAS")
         .when(r == 1, "People Gas")
         .when(r == 2, "ACME CONST. CO.")
         .when(r == 3, "Acme Construction Company")
+        .when((r == 4) & (cust % 3 == 0), "m & j Asphalt *")
+        .when((r == 4) & (cust % 3 == 1), "M & J Asphalt *")
         .when(r == 4, "M & J ASPHALT *")
         .when(r == 5, "SMITH CONSTR. (SL-1234)")
         .when(r == 6, "")
+        .when(cust % 5 == 0, "CASA MEXICO")
         .otherwise(F.col("c_name"))
     )
 
@@ -85,7 +93,7 @@ PERMITS_SQL = """
 select cast(o_orderkey as varchar(20)) as dig_ticket_number,
        concat('P', cast(o_orderkey as varchar(20))) as permit_number,
        o_orderdate - interval '2' day  as request_date,
-       o_orderdate                     as dig_date,
+       case when o_orderkey % 61 != 0 then o_orderdate end as dig_date,
        o_orderdate + interval '28' day as expiration_date,
        o_orderpriority = '1-URGENT'    as is_emergency,
        c_mktsegment                    as street_name,
@@ -98,10 +106,12 @@ select cast(o_orderkey as varchar(20)) as dig_ticket_number,
        41.4e0 + (o_orderkey % 1300) / 1000e0  as latitude,
        -88.1e0 + (o_orderkey % 1100) / 1000e0 as longitude,
        case when o_custkey % 11 = 0 then 'PAT' when o_custkey % 11 = 1 then null else '' end as contact_first_name,
-       case o_custkey % 8 when 0 then 'PEOPLES GAS' when 1 then 'People Gas'
+       case o_custkey % 8 when 0 then 'PEOPLES GAS'
+            when 1 then case when o_custkey % 5 = 0 then 'PEOPLE GAS' else 'People Gas' end
             when 2 then 'ACME CONST. CO.' when 3 then 'Acme Construction Company'
-            when 4 then 'M & J ASPHALT *' when 5 then 'SMITH CONSTR. (SL-1234)'
-            when 6 then '' else c_name end as contact_last_name
+            when 4 then case o_custkey % 3 when 0 then 'm & j Asphalt *' when 1 then 'M & J Asphalt *' else 'M & J ASPHALT *' end
+            when 5 then 'SMITH CONSTR. (SL-1234)'
+            when 6 then '' else case when o_custkey % 5 = 0 then 'CASA MEXICO' else c_name end end as contact_last_name
 from orders join customer on o_custkey = c_custkey
 """
 

@@ -12,7 +12,11 @@ skipped if the fetch log already has its id; if the crash fell between the
 table commit and the log append, the re-run merges the same rows again,
 which leaves the same table content (merging is idempotent).  There is no
 watermark: late or corrected tickets are simply merged (the reference's
-overlap window exists for the same reason).
+overlap window exists for the same reason).  Copies that the overlap sends
+again are recognised at the merge, by comparing them with the stored rows of
+their months.  A stream-side ``dropDuplicatesWithinWatermark`` on ticket and
+content would lose a ticket that goes back to an earlier content within the
+window, so it is not used.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trenchline.operators import normalize, table
 from trenchline.sources import files
 
-LOG_SCHEMA = "batch_id bigint, batch_ts timestamp_ntz, rows bigint"
+LOG_SCHEMA = "batch_id bigint, batch_ts timestamp_ntz, rows bigint, feed string"
 
 
 def _read_log(spark: SparkSession, log_path: str) -> DataFrame | None:
@@ -39,13 +43,17 @@ def _read_log(spark: SparkSession, log_path: str) -> DataFrame | None:
     return spark.read.schema(LOG_SCHEMA).parquet(log_path)
 
 
-def append_log(spark: SparkSession, log_path: str, batch_id: int | None, now, n: int) -> None:
+def append_log(spark: SparkSession, log_path: str, batch_id: int | None, now, n: int, feed: str | None = None) -> None:
     now = _dt.datetime.fromisoformat(now) if isinstance(now, str) else now or table.utc_now()
-    spark.createDataFrame([(batch_id, now, n)], LOG_SCHEMA).write.mode("append").parquet(log_path)
+    spark.createDataFrame([(batch_id, now, n, feed)], LOG_SCHEMA).write.mode("append").parquet(log_path)
 
 
-def make_batch_handler(target: table.PermitTable, log_path: str, clock=None):
-    """The ``foreachBatch`` function: conform -> merge -> commit -> log."""
+def make_batch_handler(target: table.PermitTable, log_path: str, clock=None, family: str = "api"):
+    """The ``foreachBatch`` function: conform -> merge -> commit -> log.
+
+    The files of a batch are read once (a CSV feed lands its cells first, as
+    each file is read by its own header); the log's row count is observed in
+    the merge.  Rows that are sent again without a change rewrite nothing."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -53,12 +61,17 @@ def make_batch_handler(target: table.PermitTable, log_path: str, clock=None):
         if log is not None and log.where(F.col("batch_id") == batch_id).limit(1).count() > 0:
             return  # already applied
         now = (clock or table.utc_now)()
-        staged = f"{target.root}/staging/{uuid.uuid4().hex}"
-        ordered = files.with_row(batch)
-        files.write_parquet(ordered, staged)  # the files of the batch are read once
-        landed = files.require_clean(spark.read.schema(ordered.schema).parquet(staged))
-        table.merge_batch(target, normalize.conform(landed, keep_extra=True), now=now)
-        append_log(spark, log_path, batch_id, now, landed.count())
+        seen: dict = {}
+        feed = f"staging/{uuid.uuid4().hex}"
+        try:
+            rows = files.with_row(batch)
+            if family == "csv":
+                files.write_parquet(rows, f"{target.root}/{feed}")
+                rows = files.by_header(spark.read.schema(rows.schema).parquet(f"{target.root}/{feed}"))
+            table.merge_batch(target, normalize.conform(rows, keep_extra=True), now=now, check=seen.update, skip_unchanged=True)
+        finally:
+            target.drop_folder(feed)
+        append_log(spark, log_path, batch_id, now, seen["n_rows"], family)
 
     return handle
 
@@ -77,16 +90,16 @@ def start_ingest(
 ) -> StreamingQuery:
     """Start the ingest stream.  ``available_now`` processes what has landed
     and stops (the daily job); ``processing_time`` keeps it running."""
-    schema = files.feed_schema(family)
-    reader = spark.readStream.schema(schema.add(files.CORRUPT, T.StringType()) if family == "api" else schema)
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if family == "api":
-        src = reader.option("primitivesAsString", True).option("columnNameOfCorruptRecord", files.CORRUPT).json(landing_dir)
-    else:  # a header in another order is an error, not a silent shift of columns
-        src = reader.option("header", True).option("enforceSchema", False).csv(landing_dir)
-    src = files.with_file(src)
-    writer = src.writeStream.foreachBatch(make_batch_handler(target, log_path, clock)).option("checkpointLocation", checkpoint_dir)
+        schema = files.feed_schema(family).add(files.CORRUPT, T.StringType())
+        src = reader.schema(schema).option("primitivesAsString", True).option("columnNameOfCorruptRecord", files.CORRUPT).json(landing_dir)
+        src = files.with_file(src)
+    else:
+        src = files.csv_cells(reader, landing_dir)
+    writer = src.writeStream.foreachBatch(make_batch_handler(target, log_path, clock, family)).option("checkpointLocation", checkpoint_dir)
     if processing_time:
         writer = writer.trigger(processingTime=processing_time)
     elif available_now:
