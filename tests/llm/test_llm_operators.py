@@ -86,6 +86,37 @@ def test_packing(docs, empty, rows, whole):
     assert pack(empty).count() == 0
 
 
+def test_bins_hold_as_many_rests_as_their_class_says():
+    from trenchline.llm.packing import Bins
+
+    rng = random.Random(7)
+    for capacity in (1, 2, 64, 1024):
+        bins, docs = Bins(capacity, 3), {}
+        for d in range(1500):
+            n = rng.choice([1, 2, 3, rng.randrange(1, capacity + 1), rng.randrange(1, 4 * capacity + 1)])
+            docs[d] = np.arange(n, dtype="<u4") + 1000 * d
+            bins.add(d, memoryview(docs[d].tobytes()))
+            waiting = {k: sum(len(r[3]) // 4 for r in rests) for k, rests in bins.waiting.items()}
+            assert all(len(bins.waiting[k]) < k for k in waiting) and len(bins.open) <= 1
+            for k, rests in bins.waiting.items():
+                assert all(capacity // (k + 1) * 4 < len(r[3]) <= capacity // k * 4 or capacity * 4 // len(r[3]) == k for r in rests)
+        closed = bins.taken()
+        sums = collections.Counter()
+        for r in closed:
+            sums[r[4]] += r[2]
+        assert set(sums.values()) <= {capacity}  # nothing is padded before the end
+        bins.finish()
+        out = closed + bins.taken()
+        sums = collections.Counter()
+        for doc_id, start, length, total, sequence, offset, ids in sorted(out, key=lambda r: (r[4], r[5])):
+            assert sums[sequence] == offset and total == len(docs[doc_id])
+            assert (np.frombuffer(ids, "<u4") == docs[doc_id][start : start + length]).all()
+            sums[sequence] += length
+        assert all(v & (v - 1) == 0 and v <= capacity for v in sums.values()) and sum(v < capacity for v in sums.values()) <= capacity.bit_length()
+        assert sum(sums.values()) == sum(map(len, docs.values()))
+        assert len(out) <= sum(-(-len(x) // capacity) for x in docs.values()) + len(sums) + 1  # one cut a bin at most
+
+
 def test_simple8b_round_trip():
     from trenchline.llm.simple8b import decode, encode
 
