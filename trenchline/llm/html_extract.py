@@ -190,8 +190,20 @@ def _attributes(attrs: list[tuple[str, str | None]]) -> str:
     return " ".join(v for k, v in attrs if v and (k in ("class", "id", "role", "itemprop", "aria-label") or k == "data-role"))
 
 
+#: elements whose content is no markup, and comments, also one that is never closed
+RAW = re.compile(r"(?is)<(script|style|textarea|title|xmp|iframe|noembed|noframes)\b[^>]*>.*?</\1\b|<!--(?:.*?--!?>|.*)")
+
+
+def _without_open_comment(html: str) -> str:
+    """A comment that is never closed reaches to the end of the page."""
+    if html.count("<!--") <= html.count("-->"):
+        return html
+    return RAW.sub(lambda m: "" if m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")) else m[0], html)
+
+
 def parse(html: str) -> Node:
     dom = Dom()
+    html = _without_open_comment(html)
     # a page whose head is never closed would be silent to its end
     if "<body" in html.lower() and "</head" not in html.lower():
         html = re.sub(r"(?i)<body", "</head><body", html, count=1)
