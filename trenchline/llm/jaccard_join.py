@@ -161,13 +161,23 @@ def _verify(names: list[str], sides: list[int], weights: list[int], blobs: list[
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class: the least doc_id (then least text hash), once.
 
-    Empty texts are classes by doc_id; those without doc_id are one class."""
+    Empty texts are classes by doc_id; those without doc_id are one class.
+    All columns of ``docs`` come back as they are, whatever their names."""
+    of, text, mine, key = (unused(c, docs) for c in ("of", "hash", "doc", "key"))
     found = near_duplicates(docs.select("doc_id", "text"), **options)
     chosen = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
-    chosen = chosen.select(F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
-    rows = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string"))).withColumn("_doc", F.col("doc_id").cast("long"))
-    kept = rows.join(chosen, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["_doc", "_key"]).drop("_doc", "_key")
+    chosen = chosen.select(F.col("one.doc_id").alias(of), F.col("one.text_hash").alias(text))
+    rows = docs.withColumn(key, F.xxhash64(F.col("text").cast("string"))).withColumn(mine, F.col("doc_id").cast("long"))
+    kept = rows.join(chosen, F.col(mine).eqNullSafe(F.col(of)) & F.col(key).eqNullSafe(F.col(text)), "left_semi")
+    return kept.dropDuplicates([mine, key]).drop(mine, key)
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    name = f"_{name}"
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
