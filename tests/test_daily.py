@@ -48,3 +48,17 @@ def test_series_zero_fill_and_records(spark):
     assert daily.latest_day(daily.daily_series(p)).first().date == dt.date(2024, 3, 5)
     rec = {r.record: (r.day.isoformat(), r["count"]) for r in daily.daily_records(p).collect()}
     assert rec == {"most_tickets": ("2024-03-04", 4), "most_emergency": ("2024-03-05", 3)}
+
+
+def test_operators_keep_real_types(permits_small):
+    from trenchline.operators import geo, rankings, sampling
+
+    kinds = lambda df: {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    assert kinds(daily.daily_counts(permits_small)) == {"day": "date", "total_permits": "bigint", "emergency_permits": "bigint"}
+    assert kinds(daily.daily_series(permits_small)) == {"date": "date", "regular_tickets": "bigint", "emergency_tickets": "bigint"}
+    c = kinds(daily.weekday_comparison(permits_small))
+    assert c["day"] == "date" and c["avg_total"] == c["total_diff_percent"] == "double" and c["num_days"] == c["actual_total"] == "bigint"
+    assert kinds(geo.map_points(permits_small)) == {"day": "date", "layer": "string", "dig_ticket_number": "string", "latitude": "double", "longitude": "double"}
+    assert kinds(rankings.leaderboard_by_day(permits_small))["day"] == "date"
+    assert kinds(sampling.sampled_permits(permits_small)) == kinds(permits_small)
+    assert kinds(permits_small)["dig_date"] == "timestamp_ntz"

@@ -80,6 +80,8 @@ def test_normalize_edge_values(spark):
     assert got["K4"].dig_date == dt.datetime(2024, 1, 2, 3, 4, 5, 123000)
     assert got["K5"].dig_date == dt.datetime(2024, 1, 2)
     assert got["K1"].request_date is None  # absent column -> typed null
+    far = spark.createDataFrame([("A", "9999-12-31"), ("B", "1600-01-01"), ("C", "2262-04-11")], "dig_ticket_ string, digdate string")
+    assert [r.dig_date is None for r in normalize.conform(far).orderBy("dig_ticket_number").collect()] == [True, True, False]
     assert normalize.missing_columns(raw, ["dig_ticket_number", "permit_number"]) == ["permit_number"]
 
 

@@ -26,6 +26,8 @@ from trenchline.schema import (
 # fixed values: text timestamp layouts accepted besides ISO-8601 (which a
 # plain cast handles, with or without time / 'T' / fraction)
 US_TIMESTAMP_FORMATS = ["MM/dd/yyyy hh:mm:ss a", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy"]
+# fixed values: the span of nanosecond timestamps; a date outside is a bad value
+FIRST_MOMENT, LAST_MOMENT = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
 EXPORT_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -38,15 +40,17 @@ def rename_source_fields(raw: DataFrame) -> DataFrame:
 
 def parse_wallclock(c: Column, dtype: T.DataType) -> Column:
     """City wall-clock TIMESTAMP_NTZ from text (ISO or US layouts) or from a
-    timestamp column; unparsable -> null."""
-    if isinstance(dtype, T.TimestampNTZType):
-        return c
-    if isinstance(dtype, (T.TimestampType, T.DateType)):
-        return c.cast("timestamp_ntz")
-    text = F.trim(c.cast("string"))
-    options = [text.try_cast("timestamp_ntz")]
-    options += [F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in US_TIMESTAMP_FORMATS]
-    return F.coalesce(*options)
+    timestamp column; unparsable -> null.  So is a date that nanosecond
+    timestamps cannot hold (a year 9999), which would stretch every calendar."""
+    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+        value = c.cast("timestamp_ntz")
+    else:
+        text = F.trim(c.cast("string"))
+        options = [text.try_cast("timestamp_ntz")]
+        options += [F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in US_TIMESTAMP_FORMATS]
+        value = F.coalesce(*options)
+    first, last = (F.lit(m).cast("timestamp_ntz") for m in (FIRST_MOMENT, LAST_MOMENT))
+    return F.when(value.between(first, last), value)
 
 
 def parse_emergency(c: Column) -> Column:

@@ -315,12 +315,12 @@ def merge_report(existing: DataFrame, batch: DataFrame, key: str = KEY) -> DataF
 
 
 def _unchanged(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Tickets of the batch that the stored rows hold with the same content."""
+    """Tickets of the batch that one stored row holds with the same content."""
     same = F.lit(True)
     for c in PERMIT_COLUMNS:
         if c != KEY:
             same = same & F.col(f"b.{c}").eqNullSafe(F.col(f"s.{c}"))
-    return stored.alias("s").join(batch.alias("b"), KEY).groupBy(KEY).agg(F.bool_and(same).alias("same")).where("same").select(KEY)
+    return stored.alias("s").join(batch.alias("b"), KEY).groupBy(KEY).agg(F.bool_and(same).alias("same"), F.count(F.lit(1)).alias("n")).where("same and n = 1").select(KEY)
 
 
 def merge_batch(
@@ -352,22 +352,24 @@ def merge_batch(
         matched = existing.select(KEY, month_of(existing).alias(MONTH), "created_at").join(b.select(KEY), KEY, "left_semi")
         write_parquet(matched, f"{table.root}/{staging}/matched")
         matched = spark.read.schema(matched.schema).parquet(f"{table.root}/{staging}/matched")
-        touched = {r[MONTH] for r in matched.select(MONTH).distinct().collect()}  # at most one row per month
-        keys, updates = b.count(), matched.select(KEY).distinct().count()
-        unchanged = 0
+        # a set of months is as long as the calendar, not as the table
+        hit = matched.agg(F.collect_set(MONTH).alias("months"), F.count_distinct(KEY).alias("n")).first()
+        sent = b.agg(F.collect_set(month_of(b)).alias("months"), F.count(F.lit(1)).alias("n")).first()
+        keys, updates, unchanged = sent["n"], hit["n"], 0
         months = table.months(after)
-        if skip_unchanged and touched:
-            same = _unchanged(_with_audit_columns(table.read(after, sorted(touched & set(months)))), b)
+        if skip_unchanged and hit["n"]:
+            same = _unchanged(_with_audit_columns(table.read(after, sorted(set(hit["months"]) & set(months)))), b)
             write_parquet(same, f"{table.root}/{staging}/unchanged")
             same = spark.read.schema(same.schema).parquet(f"{table.root}/{staging}/unchanged")
             unchanged = same.count()
-            b = b.join(same, KEY, "left_anti")
-            matched = matched.join(same, KEY, "left_anti")
-            touched = {r[MONTH] for r in matched.select(MONTH).distinct().collect()}
+            if unchanged:
+                b, matched = b.join(same, KEY, "left_anti"), matched.join(same, KEY, "left_anti")
+                hit = matched.agg(F.collect_set(MONTH).alias("months")).first()
+                sent = b.agg(F.collect_set(month_of(b)).alias("months")).first()
         report = spark.createDataFrame([(metrics["n_rows"], keys - updates, updates, unchanged)], "batch_rows bigint, inserts bigint, updates bigint, unchanged bigint")
         if keys == unchanged:
             return None, report
-        touched |= {r[MONTH] for r in b.select(month_of(b).alias(MONTH)).distinct().collect()}
+        touched = set(hit["months"]) | set(sent["months"])
         part = _with_audit_columns(table.read(after, sorted(touched & set(months)))) if after is not None else existing
         kept = part.join(b.select(KEY), KEY, "left_anti").select(*PERMIT_COLUMNS, *AUDIT_COLUMNS)
         merged = kept.unionByName(_fresh(matched, b, now, KEY))

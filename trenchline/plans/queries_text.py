@@ -17,6 +17,36 @@ from trenchline.plans.queries_rankings import LEADERBOARD_BY_DAY_SQL
 from trenchline.sources.fixtures import table
 
 
+# --- fixed values: the texts that the oracles expect, spelled out here so that a
+# slip in the operators' own texts shows ---
+class Said:
+    REPORT_TITLE = '🕳️ Chicago Hole Report - '
+    REPORT_TOTAL = 'Total Permits Starting to Dig: '
+    REPORT_EMERGENCY = '🔴 Emergency Permits: '
+    REPORT_REGULAR = '🔵 Regular Permits: '
+    REPORT_INDENT = '     '
+    ARROW_DOWN = '⬇️'
+    ARROW_UP = '⬆️'
+    VS_AVG = '% vs '
+    AVG_SUFFIX = ' avg'
+    LEADERBOARD_TITLE = '🏆 Top Diggers\n\n'
+    OTHER_MARK = '👷'
+    CARD_HEADER = "🎲 Hole Roulette!\n\nHere's a permit with a Dig Date yesterday\n\n"
+    CARD_ADDRESS = '📍 '
+    CARD_WORK = '🔧 '
+    CARD_PERMIT = '📝 Permit #'
+    CARD_EMERGENCY = '\n🚨 Emergency Work'
+    CARD_LOCATION = '🚧 Location of Dig: '
+    CARD_ELLIPSIS = '...'
+    CARD_LIMIT = 300
+    CITY_SUFFIX = ', Chicago, IL'
+    DEFAULT_WORK_TYPE = 'General Construction'
+    RANK_MARKS = ['🥇', '🥈', '🥉']
+    SUMMARY_TEMPLATE = '📊 Chicago Dig Report - {day_name}\n\nTotal Permits: {actual_total} ({total_symbol}{total_diff_percent}% vs avg)\nEmergency Permits: {actual_emergency} ({emergency_symbol}{emergency_diff_percent}% vs avg)\n\n#ChicagoDigs #Infrastructure'
+    PERMITS_TEMPLATE = '📍 Total Permits: {actual_total}\n\nEmergency Permits: {actual_emergency} {emergency_symbol}{emergency_diff_percent}% vs {day_name} avg\n\nRegular Permits: {actual_regular} {regular_symbol}{regular_diff_percent}% vs {day_name} avg'
+# ---------------------------------------------------------------------------
+
+
 def sql_str(s: str) -> str:
     """A Python string as a SQL expression (newlines via chr(10))."""
     parts = ["'" + p.replace("'", "''") + "'" for p in s.split("\n")]
@@ -145,8 +175,8 @@ def q_permit_listing(spark, sf):
 CARD_SQL = f"""
 select dig_ticket_number,
        cast(street_number_from as varchar) || ' ' || street_direction || ' ' || street_name ||
-         coalesce(' ' || street_suffix, '') || {sql_str(tx.CITY_SUFFIX)} as address,
-       coalesce(nullif(replace(trim(dig_location), '_', ','), ''), {sql_str(tx.DEFAULT_WORK_TYPE)}) as work_type,
+         coalesce(' ' || street_suffix, '') || {sql_str(Said.CITY_SUFFIX)} as address,
+       coalesce(nullif(replace(trim(dig_location), '_', ','), ''), {sql_str(Said.DEFAULT_WORK_TYPE)}) as work_type,
        is_emergency
 from permits"""
 
@@ -191,8 +221,8 @@ def q_page_label_value(spark, sf):
 
 
 def _card_text_sql() -> str:
-    loc_head = sql_str(tx.CARD_LOCATION)
-    room = f"(available - {len(tx.CARD_LOCATION) + len(tx.CARD_ELLIPSIS) + 1})"
+    loc_head = sql_str(Said.CARD_LOCATION)
+    room = f"(available - {len(Said.CARD_LOCATION) + len(Said.CARD_ELLIPSIS) + 1})"
     return with_permits(
         f"""
 select dig_ticket_number, text, link_text,
@@ -204,16 +234,16 @@ from (
   select dig_ticket_number, '#' || dig_ticket_number as link_text,
          base || case when location is null or location = '' then ''
                       when length({loc_head} || location || chr(10)) <= available then {loc_head} || location || chr(10)
-                      when {room} > 0 then {loc_head} || substring(location, 1, {room}) || {sql_str(tx.CARD_ELLIPSIS)} || chr(10)
+                      when {room} > 0 then {loc_head} || substring(location, 1, {room}) || {sql_str(Said.CARD_ELLIPSIS)} || chr(10)
                       else '' end || permit as text
   from (
-    select dig_ticket_number, location, base, permit, {tx.CARD_LIMIT} - length(base) - length(permit) as available
+    select dig_ticket_number, location, base, permit, {Said.CARD_LIMIT} - length(base) - length(permit) as available
     from (
       select c.dig_ticket_number, l.location,
-             {sql_str(tx.CARD_HEADER)} || {sql_str(tx.CARD_ADDRESS)} || c.address || chr(10) ||
-               {sql_str(tx.CARD_WORK)} || c.work_type || chr(10) as base,
-             {sql_str(tx.CARD_PERMIT)} || c.dig_ticket_number ||
-               case when c.is_emergency then {sql_str(tx.CARD_EMERGENCY)} else '' end as permit
+             {sql_str(Said.CARD_HEADER)} || {sql_str(Said.CARD_ADDRESS)} || c.address || chr(10) ||
+               {sql_str(Said.CARD_WORK)} || c.work_type || chr(10) as base,
+             {sql_str(Said.CARD_PERMIT)} || c.dig_ticket_number ||
+               case when c.is_emergency then {sql_str(Said.CARD_EMERGENCY)} else '' end as permit
       from cards c left join loc l on l.dig_ticket_number = c.dig_ticket_number) a) b) t""",
         f"""cards as ({CARD_SQL}),
 loc as (select cast(page_id as varchar) as dig_ticket_number, coalesce(location_of_dig, title) as location
@@ -241,18 +271,18 @@ def _report_sql() -> str:
     def line(pct: str) -> str:
         r = py_round1_sql(pct)
         return (
-            f"{sql_str(tx.REPORT_INDENT)} || case when {r} < 0 then {sql_str(tx.ARROW_DOWN)} else {sql_str(tx.ARROW_UP)} end"
-            f" || ' ' || cast(cast(round_even(abs({r}), 0) as bigint) as varchar) || {sql_str(tx.VS_AVG)} || day_name"
-            f" || {sql_str(tx.AVG_SUFFIX)}"
+            f"{sql_str(Said.REPORT_INDENT)} || case when {r} < 0 then {sql_str(Said.ARROW_DOWN)} else {sql_str(Said.ARROW_UP)} end"
+            f" || ' ' || cast(cast(round_even(abs({r}), 0) as bigint) as varchar) || {sql_str(Said.VS_AVG)} || day_name"
+            f" || {sql_str(Said.AVG_SUFFIX)}"
         )
 
     nl2 = "chr(10) || chr(10)"
     return f"""
 select day,
-  {sql_str(tx.REPORT_TITLE)} || day_name || {nl2} ||
-  {sql_str(tx.REPORT_TOTAL)} || cast(actual_total as varchar) || chr(10) || {line('total_diff_percent')} || {nl2} ||
-  {sql_str(tx.REPORT_EMERGENCY)} || cast(actual_emergency as varchar) || chr(10) || {line('emergency_diff_percent')} || {nl2} ||
-  {sql_str(tx.REPORT_REGULAR)} || cast(actual_regular as varchar) || chr(10) || {line('regular_diff_percent')} as text
+  {sql_str(Said.REPORT_TITLE)} || day_name || {nl2} ||
+  {sql_str(Said.REPORT_TOTAL)} || cast(actual_total as varchar) || chr(10) || {line('total_diff_percent')} || {nl2} ||
+  {sql_str(Said.REPORT_EMERGENCY)} || cast(actual_emergency as varchar) || chr(10) || {line('emergency_diff_percent')} || {nl2} ||
+  {sql_str(Said.REPORT_REGULAR)} || cast(actual_regular as varchar) || chr(10) || {line('regular_diff_percent')} as text
 from ({WEEKDAY_SQL}) w"""
 
 
@@ -265,10 +295,10 @@ def q_report_text(spark, sf):
 @register(
     "leaderboard_text",
     f"""
-select day, {sql_str(tx.LEADERBOARD_TITLE)} || string_agg(line, '' order by rank) as text from (
+select day, {sql_str(Said.LEADERBOARD_TITLE)} || string_agg(line, '' order by rank) as text from (
   select day, rank,
-         case rank when 1 then {sql_str(tx.RANK_MARKS[0])} when 2 then {sql_str(tx.RANK_MARKS[1])}
-                   when 3 then {sql_str(tx.RANK_MARKS[2])} else {sql_str(tx.OTHER_MARK)} end
+         case rank when 1 then {sql_str(Said.RANK_MARKS[0])} when 2 then {sql_str(Said.RANK_MARKS[1])}
+                   when 3 then {sql_str(Said.RANK_MARKS[2])} else {sql_str(Said.OTHER_MARK)} end
          || ' ' || name || ': ' || cast(count as varchar) || chr(10) as line
   from ({LEADERBOARD_BY_DAY_SQL}) l) x
 group by day""",
@@ -286,7 +316,7 @@ def _template_sql(template: str) -> str:
         fields |= {
             f"actual_{what}": f"cast(actual_{what} as varchar)",
             f"{what}_diff_percent": f"printf('%.1f', abs({change}))",
-            f"{what}_symbol": f"case when {change} < 0 then {sql_str(tx.ARROW_DOWN)} else {sql_str(tx.ARROW_UP)} end",
+            f"{what}_symbol": f"case when {change} < 0 then {sql_str(Said.ARROW_DOWN)} else {sql_str(Said.ARROW_UP)} end",
         }
     parts = []
     for literal, name, _, _ in Formatter().parse(template):
@@ -295,13 +325,13 @@ def _template_sql(template: str) -> str:
     return f"select day, {' || '.join(parts)} as text from ({WEEKDAY_SQL}) w"
 
 
-@register("report_text_summary", _template_sql(tx.SUMMARY_TEMPLATE), dates=["day"])
+@register("report_text_summary", _template_sql(Said.SUMMARY_TEMPLATE), dates=["day"])
 def q_report_text_summary(spark, sf):
     """T2 in the wording of the thread's summary post, given as a template."""
     return cards.report_texts(daily.weekday_comparison(permits(spark, sf)), tx.SUMMARY_TEMPLATE)
 
 
-@register("report_text_permits", _template_sql(tx.PERMITS_TEMPLATE), dates=["day"])
+@register("report_text_permits", _template_sql(Said.PERMITS_TEMPLATE), dates=["day"])
 def q_report_text_permits(spark, sf):
     """T2 in the wording of the thread's permit post, given as a template."""
     return cards.report_texts(daily.weekday_comparison(permits(spark, sf)), tx.PERMITS_TEMPLATE)
