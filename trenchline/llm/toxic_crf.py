@@ -9,6 +9,11 @@ more often than chance allows (Chernoff bound, corrected for the number of
 forms tested).  Copies of a text share their contexts and count once.  The
 weights are then fitted by gradient ascent on the exact likelihood.
 
+Contexts are counted by Spark aggregates and texts never reach the driver: it
+gets the toxic word forms, at most ``SEGMENTS`` segments of ``SEGMENT`` words
+with a toxic token and as many without (least hash first), and two numbers of
+each sampled document for the calibration.
+
 Forward-backward marginals give each document's score (a logistic function of
 how much toxic mass it holds) and the offending spans.  Long texts are run in
 overlapping windows; the overlap is far longer than the chain's memory.
@@ -20,7 +25,9 @@ every score is the prior.  Repeated rows get equal scores.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,12 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trenchline.llm.words import coded_words, joined, lengths_to_offsets, pieces, schema_of, tune
+from trenchline.llm.common import landed
+from trenchline.llm.words import coded_words, joined, lengths_to_offsets, mix, pieces, schema_of, tune, word_hashes
 
 #: most labelled documents that the model is fitted on (least hash of doc_id first)
-SAMPLE_DOCS = 4_000
-#: words of a training segment, and most segments
+SAMPLE_DOCS = 12_000
+#: words of a training segment, and most segments with a toxic token, and without one
 SEGMENT, SEGMENTS = 48, 6_000
+#: characters of a word form; a longer word's form is a digest of it
+FORM_CHARS = 64
 #: words of a scoring window and of the overlap on either side
 WINDOW, OVERLAP = 256, 24
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,7 +52,8 @@ MARKS = ".,;:!?\"'()[]{}*_~#%$&<>|-"
 
 
 def forms(words: list[str]) -> list[str]:
-    return [w.strip(MARKS).lower() or w for w in words]
+    out = [w.strip(MARKS).lower() or w for w in words]
+    return [f if len(f) <= FORM_CHARS else hashlib.blake2b(f.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for f in out]
 
 
 def shape(word: str) -> str:
@@ -90,73 +101,114 @@ def forward_backward(u: np.ndarray, here: np.ndarray, trans: np.ndarray) -> tupl
     return both / (both + (1 - fwd) * (1 - bwd)), fwd, bwd
 
 
-def toxic_forms(form: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, n_forms: int, level: float = 0.01) -> np.ndarray:
-    """Which word forms (by number) have contexts that lie in toxic documents beyond chance."""
-    out = np.zeros(n_forms, bool)
-    if not len(form):
-        return out
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    f = form.astype(np.uint64) + np.uint64(1)
-    before, after = np.zeros_like(f), np.zeros_like(f)
-    before[1:] = np.where(doc[1:] == doc[:-1], f[:-1], 0)
-    after[:-1] = np.where(doc[1:] == doc[:-1], f[1:], 0)
-    key = joined(joined(before, f), after)
-    order = np.argsort(key)
-    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(form, context, toxic) of the distinct contexts of a piece of the sample."""
+    for batch in pieces(batches):
+        offsets, codes, words = coded_words(batch.column("text"))
+        if not len(codes):
+            continue
+        coded = pa.array(forms(words.to_pylist()), pa.string()).dictionary_encode()
+        form = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+        f = word_hashes(coded.dictionary.to_pylist())[form]
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        before, after = np.zeros_like(f), np.zeros_like(f)
+        before[1:] = np.where(doc[1:] == doc[:-1], f[:-1], 0)
+        after[:-1] = np.where(doc[1:] == doc[:-1], f[1:], 0)
+        key = joined(joined(before, f), after)
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int32)
+        least = np.minimum.reduceat(toxic[doc][order], first)
+        yield pa.RecordBatch.from_arrays(
+            [coded.dictionary.take(pa.array(form[order[first]])), pa.array(key[order[first]].view(np.int64)), pa.array(least)], names=["form", "context", "toxic"]
+        )
+
+
+def toxic_forms(sample: DataFrame, level: float = 0.01) -> list[str]:
+    """The word forms whose contexts lie in toxic documents beyond chance."""
+    contexts = sample.select("text", "toxic").mapInArrow(_contexts, "form string, context long, toxic int")
     # a context that a clean text has is clean
-    y = np.minimum.reduceat(toxic[doc][order], first)
-    word = form[order[first]]
-    total = np.bincount(word, minlength=n_forms)
-    hits = np.bincount(word, y, minlength=n_forms)
-    n, k = total.sum(), hits.sum()
+    once = contexts.groupBy("form", "context").agg(F.min("toxic").alias("toxic"))
+    counts = landed(once.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("hits")), "toxic_forms")
+    n, k, tested = counts.agg(F.sum("n"), F.sum("hits"), F.count_if(F.col("n") >= 3)).first()
     if not k or k == n:
-        return out
+        return []
     base = k / n
-    tested = total >= 3
-    bound = np.log(max(1, int(tested.sum())) / level)
-    p = np.where(tested, hits / np.maximum(total, 1), 0.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        kl = p * np.log(p / base) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - base)), 0.0)
-    return tested & (p > max(0.5, base)) & (total * kl > bound)
+    p = F.col("hits") / F.col("n")
+    kl = p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0)
+    found = counts.where((F.col("n") >= 3) & (F.col("hits") > 0) & (p > max(0.5, base)))
+    found = found.where(F.col("n") * kl > float(np.log(max(1, tested) / level)))
+    return sorted(r["form"] for r in found.select("form").collect())
 
 
-def _segments(offsets: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Starts and ends of training segments: those that hold a toxic token, and an even share of the others."""
-    lengths = np.diff(offsets)
-    count = -(-lengths // SEGMENT)
-    doc = np.repeat(np.arange(len(lengths)), count)
-    start = offsets[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
-    end = np.minimum(start + SEGMENT, offsets[1:][doc])
-    held = lengths_to_offsets(label)
-    has = held[end] > held[start]
-    with_toxic, without = np.flatnonzero(has), np.flatnonzero(~has)
-    chosen = np.concatenate([with_toxic[:: max(1, len(with_toxic) // SEGMENTS)], without[:: max(1, len(without) // SEGMENTS)]])
-    return np.stack([start[chosen], end[chosen]], axis=1)
+def _segments(marked: list[str]):
+    """Training segments: words, token labels, whether one is toxic, and a hash to choose by."""
+    known = set(marked)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            offsets, codes, words = coded_words(batch.column("text"))
+            if not len(codes):
+                continue
+            form = forms(words.to_pylist())
+            hit = np.array([f in known for f in form], bool)
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
+            lengths = np.diff(offsets)
+            label = hit[codes] & np.repeat(toxic, lengths)
+            count = -(-lengths // SEGMENT)
+            doc = np.repeat(np.arange(len(lengths)), count)
+            nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            start = offsets[:-1][doc] + nth * SEGMENT
+            held = lengths_to_offsets(label)
+            end = np.minimum(start + SEGMENT, offsets[1:][doc])
+            bounds = pa.array(np.append(start, len(codes)), pa.int32())
+            pick = joined(mix(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[doc]), nth.astype(np.uint64))
+            # features need the form and the shape of a word; a word beyond FORM_CHARS has its form's digest
+            short = pa.array([w if len(w) <= FORM_CHARS else f for w, f in zip(words.to_pylist(), form)], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(held[end] > held[start]),
+                    pa.array(pick.view(np.int64)),
+                    pa.ListArray.from_arrays(bounds, short.take(pa.array(codes))),
+                    pa.ListArray.from_arrays(bounds, pa.array(label.astype(np.int8))),
+                ],
+                names=["has", "pick", "words", "labels"],
+            )
+
+    return cut
+
+
+def training_segments(sample: DataFrame, marked: list[str], most: int = SEGMENTS) -> list:
+    """At most ``most`` segments with a toxic token and as many without one, least hash first."""
+    every = sample.select("doc_id", "text", "toxic").mapInArrow(_segments(marked), "has boolean, pick long, words array<string>, labels array<tinyint>")
+    every = landed(every, "segments")
+    out = []
+    for has in (True, False):
+        out += every.where(F.col("has") == has).orderBy("pick", "words").limit(most).collect()
+    return out
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float = 1e-5) -> Crf:
+def fit(sample: DataFrame, rounds: int = 60, ridge: float = 1e-5, most_segments: int = SEGMENTS) -> Crf:
+    """The model of ``sample`` (doc_id, text, toxic)."""
     model = Crf()
-    if not len(texts):
+    n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n:
         return model
-    rate = min(max(float(np.mean(toxic)), 1e-3), 1 - 1e-3)
+    rate = min(max(toxic / n, 1e-3), 1 - 1e-3)
     model.calibration = (float(np.log(rate / (1 - rate))), 0.0)
-    offsets, codes, dictionary = coded_words(pa.array(texts, pa.string()))
-    words = dictionary.to_pylist()
-    form_of = pa.array(forms(words), pa.string()).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    n_forms = int(form_of.max()) + 1 if len(form_of) else 0
-    marked = toxic_forms(form_of[codes] if len(codes) else codes, offsets, toxic, n_forms)
-    if not marked.any():
+    marked = toxic_forms(sample)
+    if not marked:
         return model
-    label_of = (marked[form_of][codes] & (np.repeat(toxic, np.diff(offsets)) > 0)).astype(np.int64)
-    spans = _segments(offsets, label_of)
+    segments = training_segments(sample, marked, most_segments)
+    lengths = np.array([len(r["labels"]) for r in segments])
+    coded = pa.array([w for r in segments for w in r["words"]], pa.string()).dictionary_encode()
+    codes, mine = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    labels = np.array([y for r in segments for y in r["labels"]], np.int64)
     step = np.arange(SEGMENT)
-    here = step < (spans[:, 1] - spans[:, 0])[:, None]
-    at = np.minimum(spans[:, :1] + step, len(codes) - 1)
-    used, code = np.unique(codes[at], return_inverse=True)
-    code = code.reshape(at.shape)
-    y = np.where(here, label_of[at], 0)
+    here = step < lengths[:, None]
+    at = np.minimum(lengths_to_offsets(lengths)[:-1, None] + step, len(codes) - 1)
+    code, y = codes[at], np.where(here, labels[at], 0)
     vocabulary: dict[str, int] = {}
-    mine = [words[i] for i in used.tolist()]
     feature_ids = np.array([[vocabulary.setdefault(f, len(vocabulary)) for f in word_features(w, s)] for w, s in zip(mine, forms(mine))])
     w, bias, trans = np.zeros(len(vocabulary)), -4.0, np.zeros((2, 2))
     square = [np.full(len(vocabulary), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
@@ -164,18 +216,16 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float = 1e
     seen = np.array([[np.sum(pair & (y[:, :-1] == a) & (y[:, 1:] == b)) for b in (0, 1)] for a in (0, 1)], float)
     for _ in range(rounds):
         u = (bias + w[feature_ids].sum(axis=1))[code]
-        marginal, fwd, bwd = forward_backward(u, here, trans)
-        miss = np.where(here, y - marginal, 0.0)
-        per_word = np.bincount(code.ravel(), miss.ravel(), minlength=len(used))
+        grad_u, expected = np.zeros(len(mine)), np.zeros(4)
+        for part in np.array_split(np.arange(len(segments)), -(-len(segments) // 2048)):  # a bounded number of segments at once
+            marginal, fwd, bwd = forward_backward(u[part], here[part], trans)
+            miss = np.where(here[part], y[part] - marginal, 0.0)
+            grad_u += np.bincount(code[part].ravel(), miss.ravel(), minlength=len(mine))
+            expected += _pair_counts(u[part], pair[part], fwd, bwd, trans)
         grad_w = np.zeros(len(vocabulary))
         for k in range(feature_ids.shape[1]):
-            grad_w += np.bincount(feature_ids[:, k], per_word, minlength=len(vocabulary))
-        f, e, b = fwd[:, :-1], np.exp(np.clip(u[:, 1:], -30, 30)), bwd[:, 1:]
-        a = np.exp(trans)
-        joint = [(1 - f) * a[0, 0] * (1 - b), (1 - f) * a[0, 1] * e * b, f * a[1, 0] * (1 - b), f * a[1, 1] * e * b]
-        norm = sum(joint)
-        expected = np.array([np.sum(np.where(pair, x / norm, 0.0)) for x in joint]).reshape(2, 2)
-        grads = [grad_w - ridge * len(spans) * w, miss.sum(), seen - expected]
+            grad_w += np.bincount(feature_ids[:, k], grad_u, minlength=len(vocabulary))
+        grads = [grad_w - ridge * len(segments) * w, grad_u.sum(), seen - expected.reshape(2, 2)]
         for s, g in zip(range(3), grads):
             square[s] = square[s] + g**2
         w = w + 1.0 * grads[0] / np.sqrt(square[0])
@@ -184,12 +234,32 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, ridge: float = 1e
     names = list(vocabulary)
     model.weights = {names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 0.01)}
     model.bias, model.trans = float(bias), trans
-    emission = model.emissions(words)
-    mass = toxic_mass(marginals(model, emission[codes], offsets), offsets)
-    model.calibration = _logistic(mass, toxic.astype(float))
+    # two numbers of each sampled document
+    mass = sample.select("text", "toxic").mapInArrow(_masses(sample.sparkSession.sparkContext.broadcast(model)), "mass double, toxic int")
+    rows = np.array(sorted(map(tuple, mass.collect())), float).reshape(-1, 2)
+    model.calibration = _logistic(rows[:, 0], rows[:, 1])
     return model
 
 
+def _pair_counts(u: np.ndarray, pair: np.ndarray, fwd: np.ndarray, bwd: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Expected number of each transition (clean-clean, clean-toxic, toxic-clean, toxic-toxic)."""
+    f, e, b = fwd[:, :-1], np.exp(np.clip(u[:, 1:], -30, 30)), bwd[:, 1:]
+    a = np.exp(trans)
+    joint = [(1 - f) * a[0, 0] * (1 - b), (1 - f) * a[0, 1] * e * b, f * a[1, 0] * (1 - b), f * a[1, 1] * e * b]
+    norm = sum(joint)
+    return np.array([np.sum(np.where(pair, x / norm, 0.0)) for x in joint])
+
+
+def _masses(shared):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            offsets, codes, words = coded_words(batch.column("text"))
+            u = shared.value.emissions(words.to_pylist())[codes] if len(codes) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(toxic_mass(marginals(shared.value, u, offsets), offsets)), batch.column("toxic").cast(pa.int32())], names=["mass", "toxic"])
+
+    return measure
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float, float]:
     """(intercept, slope) by Newton steps with a small ridge; the slope is not negative."""
     z = np.stack([np.ones(len(x)), x], axis=1)
@@ -247,17 +317,19 @@ def lengths_to_offsets_float(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(x)])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """At most ``sample_docs`` labelled texts outside the held-out fold, one for each doc_id (the least text hash)."""
-    marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """At most ``sample_docs`` labelled texts outside the held-out fold, one for
+    each doc_id (the least text hash): (doc_id, text, toxic), landed."""
+    tune(docs.sparkSession)
+    marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.where(~held_out("doc_id"))
     # the rows of least hash are known from the labels alone; texts are read for those
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(chosen), "doc_id")  # two numbers of each sampled document
     one = F.min(F.struct(F.xxhash64("text").alias("tie"), "text")).alias("one")
-    rows = rows.groupBy("doc_id", "toxic").agg(one).select("doc_id", "toxic", "one.text").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
-    return [r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows], np.int64)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return landed(rows.groupBy("doc_id", "toxic").agg(one).select("doc_id", "one.text", "toxic").repartition(parts, "doc_id"), "toxic_sample")
 
 
 def held_out(doc_id) -> F.Column:
@@ -299,4 +371,4 @@ def score_documents(docs: DataFrame, model: Crf) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_docs: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Fit on labelled rows of ``fit_docs`` (``docs`` by default), score all rows of ``docs``."""
-    return score_documents(docs, fit(*training_sample(docs if fit_docs is None else fit_docs, labels, sample_docs)))
+    return score_documents(docs, fit(training_sample(docs if fit_docs is None else fit_docs, labels, sample_docs)))
