@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trenchline.llm.common import landed, table
+from trenchline.llm.common import MADE, drop_made, landed, table
 from trenchline.llm.decision_list import quality_verdicts
 from trenchline.llm.doubling_dedup import remove_repeats
 from trenchline.llm.jaccard_join import keep_one
@@ -78,14 +78,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: SQL can express neither the learned stages nor the tokenizer; tests/llm holds the brute-force version
+#: SQL can express neither the learned stages nor the tokenizer; tests/llm/test_pipeline.py holds the brute-force version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage has landed on its way goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = landed(docs, f"pipeline_{name}")
+        before = len(MADE)
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out
+        docs = landed(out, f"pipeline_{name}")
+        # the stage's own folders and the result of the stage before it, but not this one
+        drop_made(spark, max(0, before - (i > 0)), len(MADE) - 1)
     return docs
