@@ -353,17 +353,3 @@ def test_sampled_segmentations(docs, empty, rows):
         assert abs(first[tuple(ids.tolist())] / n - math.exp(log_p)) < 0.04
     assert abs(np.mean([sum(math.exp(x[1]) / x[3] for x in p) for p in paths]) - 1) < 0.05 and len(lattice.piece)
     assert sample_segmentations(empty).count() == 0
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("kept", F.lit(7))
-    for name, stage in corpus_pipeline.STAGES:
-        before = docs
-        docs = stage(spark, docs, SF)
-        if name != "packing":
-            assert docs.columns == before.columns
-            docs = spark.createDataFrame(docs.toPandas(), before.schema) if docs.count() else docs
-    assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
-    assert corpus_pipeline.ORACLE_SQL is None

@@ -17,11 +17,14 @@ is the (k+1)-th perturbed value, which gives inclusion scores
 
 Null or empty text: one segmentation, the empty one.  A text with fewer than
 k segmentations gives all it has; their inclusion score is 1.  Repeated rows
-give equal samples.  Spaces other than U+0020 are ordinary characters.
+give equal samples.  Spaces other than U+0020 are ordinary characters.  An
+empty table gives no rows.  A very long word is sampled step by step, in time
+proportional to its length.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -36,7 +39,9 @@ from trenchline.llm.words import gather_ranges, lengths_to_offsets, mix, pieces,
 SPACE = "▁"
 BASE = np.uint64(0x100000001B3 | 1 << 61)
 #: bytes of text whose lattices are in memory at once
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 3 << 20
+#: chains or characters below which steps are taken one by one, not as arrays (very long words)
+FEW = 4
 
 
 def default_path() -> str:
@@ -166,6 +171,9 @@ class Lattice:
             chars = by_room[a:b]
             if not len(chars):
                 continue
+            if len(chars) <= FEW:  # as many or fewer at every larger distance from the end
+                self._backward(by_room[a:], weight, done, beta)
+                break
             count = self.begin[chars + 1] - self.begin[chars]
             e = gather_ranges(self.begin[chars], count)
             beta[chars] = np.logaddexp.reduceat(weight[e] + np.where(done[e], 0.0, beta[self.to[e]]), lengths_to_offsets(count)[:-1])
@@ -177,6 +185,38 @@ class Lattice:
         self.key = start + np.minimum(total[1:] - total[self.begin[start]], 1.0)
         self.last = np.append(start[1:] != start[:-1], True) if len(start) else np.zeros(0, bool)
 
+    def _backward(self, chars: np.ndarray, weight: np.ndarray, done: np.ndarray, beta: np.ndarray) -> None:
+        """Backward sums of the front of a few long chunks, character by character."""
+        for end in np.unique(self.end[chars]).tolist():
+            mine = chars[self.end[chars] == end]
+            low, high = int(mine.min()), int(mine.max())
+            first = int(self.begin[low])
+            edges = slice(first, int(self.begin[high + 1]))
+            w, ends, to, begin = weight[edges].tolist(), done[edges].tolist(), self.to[edges].tolist(), (self.begin[low : high + 2] - first).tolist()
+            known = beta[low : end + 1].tolist()
+            for c in range(high - low, -1, -1):
+                sums = [w[e] if ends[e] else w[e] + known[to[e] - low] for e in range(begin[c], begin[c + 1])]
+                most = max(sums)
+                known[c] = most + math.log(sum([math.exp(x - most) for x in sums]))
+            beta[low : high + 1] = known[: high - low + 1]
+
+    def chain(self, node: int, u: np.ndarray) -> np.ndarray:
+        """The edges sampled from ``node`` to the end of its chunk, one by one."""
+        end = int(self.end[node])
+        first = int(self.begin[node])
+        edges = slice(first, int(self.begin[end]))
+        key, last, to, done = self.key[edges].tolist(), self.last[edges].tolist(), self.to[edges].tolist(), self.done[edges].tolist()
+        begin, numbers = (self.begin[node : end + 1] - first).tolist(), u.tolist()
+        out, at = [], node
+        while True:
+            e, want = begin[at - node], at + numbers[len(out)]
+            while key[e] <= want and not last[e]:
+                e += 1
+            out.append(first + e)
+            if done[e]:
+                return np.array(out, np.int64)
+            at = to[e]
+
     def rest(self, edges: np.ndarray) -> np.ndarray:
         """Log probability of all other edges of the same character together."""
         out = np.full(len(edges), -np.inf)
@@ -225,17 +265,24 @@ def walk(lattice: Lattice, owner: np.ndarray, nodes: np.ndarray, seeds: np.ndarr
     edges, where = [], []
     size = np.zeros(len(nodes), np.int64)  # edges of each node's chain
     step, here, node = 0, place, nodes
-    while len(here):
-        u = uniform(seeds[owner[here]], (nth[here] << 16) + step)
+    while len(here) > FEW:
+        u = uniform(seeds[owner[here]], (nth[here] << 32) + step)  # a chunk has fewer characters than that
         e = lattice.sample(node, u)
         edges.append(e), where.append(here)
         size[here] += 1
         more = ~lattice.done[e]
         here, node, step = here[more], lattice.to[e[more]], step + 1
+    chains = []
+    for i, at in zip(here.tolist(), node.tolist()):
+        numbers = (int(nth[i]) << 32) + step + np.arange(int(lattice.end[at]) - at)
+        chains.append(lattice.chain(at, uniform(np.full(len(numbers), seeds[owner[i]]), numbers)))
+        size[i] += len(chains[-1])
     begin = lengths_to_offsets(size)
     in_order = np.empty(int(begin[-1]), np.int64)
-    for step, (e, here) in enumerate(zip(edges, where)):
-        in_order[begin[here] + step] = e
+    for t, (e, at) in enumerate(zip(edges, where)):
+        in_order[begin[at] + t] = e
+    for i, e in zip(here.tolist(), chains):
+        in_order[begin[i] + step : begin[i + 1]] = e
     where = np.repeat(place, size)
     return owner[where], in_order, where
 
@@ -267,7 +314,7 @@ def sample_texts(texts: list[str], keys: np.ndarray, k: int, vocab: Vocabulary)
     sizes = np.array([len(x) for x in lists], np.int64)
     flat = np.concatenate([np.zeros(0, np.int64), *lists])
     chunk_start = lengths_to_offsets(sizes)
-    root = -np.log(-np.log(uniform(keys, np.full(n, (1 << 48) + 1))))
+    root = -np.log(-np.log(uniform(keys, np.full(n, (1 << 62) + 1))))
     found: list[list[Path]] = [[] for _ in range(n)]
 
     def extend(docs: np.ndarray, nodes: list[np.ndarray], firsts: list, seeds: np.ndarray) -> None:
@@ -279,7 +326,7 @@ def sample_texts(texts: list[str], keys: np.ndarray, k: int, vocab: Vocabulary)
         place = np.arange(len(who)) - cut[who]
         place += np.array([f[1] is not None for f in firsts], np.int64)[who]  # a given first edge counts as well
         all_steps, all_rest = lattice.log_p[edges], lattice.rest(edges)
-        all_noise = noise(uniform(seeds[who], place + (1 << 50)))
+        all_noise = noise(uniform(seeds[who], place + (1 << 61)))
         for i, d in enumerate(docs.tolist()):
             g, edge, before, excluded, prefix, chunk = firsts[i]
             own = edges[cut[i] : cut[i + 1]]
@@ -290,7 +337,7 @@ def sample_texts(texts: list[str], keys: np.ndarray, k: int, vocab: Vocabulary)
                 at = np.concatenate([[chunk], at])
                 steps = np.concatenate([[lattice.log_p[edge]], steps])
                 rest = np.concatenate([lattice.rest(np.array([edge])), rest])
-                lost = np.concatenate([noise(uniform(seeds[i : i + 1], np.array([1 << 50]))), lost])
+                lost = np.concatenate([noise(uniform(seeds[i : i + 1], np.array([1 << 61]))), lost])
             ahead = before + np.concatenate([[0.0], np.cumsum(steps)])
             if excluded is not None and len(own):
                 node = lattice.start[own[0]]
@@ -316,7 +363,7 @@ def sample_texts(texts: list[str], keys: np.ndarray, k: int, vocab: Vocabulary)
             excluded = {int(path.edges[j])} | (set(path.excluded) if j == 0 and path.excluded else set())
             left = [e for e in range(int(lattice.begin[node]), int(lattice.begin[node + 1])) if e not in excluded]
             p = np.exp(lattice.log_p[left])
-            u = float(uniform(seeds[d : d + 1], np.array([1 << 49]))[0])
+            u = float(uniform(seeds[d : d + 1], np.array([1 << 62]))[0])
             edge = left[min(int(np.searchsorted(np.cumsum(p) / p.sum(), u)), len(left) - 1)]
             chunk = int(path.chunk[j])
             rest = lattice.first[flat[chunk_start[d] + chunk + 1 : chunk_start[d + 1]]]

@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 
     signed = landed(source.mapInArrow(sign, SIGNED), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(
-        F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("bands").alias("bands")
+        F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")
     )
     nodes = landed(nodes, "nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -270,10 +270,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     verified = landed(ordered.mapInArrow(check, VERIFIED), "verified")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    rows_out = signed.select("doc_id", "text_hash", "node").join(roots, "node", "left").join(links, "node", "left").join(nodes.select("node", "copies"), "node", "left")
-    rows_out = rows_out.withColumn("class", F.coalesce("root", "node"))
-    ids = rows_out.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    out = rows_out.join(ids, "class", "left")
+    # classes are worked out on nodes, whatever the number of their copies; each join reads landed
+    # tables on both sides, so that a class or a node with very many rows can be split
+    facts = nodes.select("node", "copies", "least_id").join(roots, "node", "left").join(links, "node", "left")
+    facts = landed(facts.withColumn("class", F.coalesce("root", "node")).drop("root"), "facts")
+    ids = landed(facts.groupBy("class").agg(F.min("least_id").alias("class_id")), "class_ids")
+    facts = landed(facts.join(ids, "class").drop("least_id"), "classes")
+    out = signed.select("doc_id", "text_hash", "node").join(facts, "node", "left")
     return out.select(
         "doc_id",
         "text_hash",

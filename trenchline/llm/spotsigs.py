@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,15 +110,21 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """Rows dealt by doc_id range and sorted, each part followed by the first row of the next (``borrowed``).
 
     The last part is followed by the first row of all.  One shuffle of the
-    texts; the bounds come from quantiles of (doc_id, text hash)."""
+    texts; the bounds come from quantiles of doc_id, and from the text's hash
+    where one doc_id (or none) holds more than a part."""
     rows = docs.withColumn("tie", F.xxhash64("text"))
-    keys = rows.select("doc_id", "tie")
-    cuts = keys.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
+    cuts = []
+    if parts > 1:
+        low = F.coalesce("doc_id", F.lit(-(1 << 63)))
+        cuts = rows.agg(F.percentile_approx(low, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
     part = F.lit(0)
-    if cuts:  # bounded: fewer than ``parts`` numbers
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id")))).cast("int")
+    if cuts:  # bounded: fewer than ``parts`` cuts; an id that holds several is cut by the hash of its texts
+        bounds = []
+        for cut, n in sorted(Counter(cuts).items()):
+            known = cut > -(1 << 63)
+            bounds += [F.struct(F.lit(known).alias("known"), F.lit(cut if known else None).cast("long").alias("doc_id"), F.lit(-(1 << 63) + (j << 64) // n).cast("long").alias("tie")) for j in range(n)]
+        own = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.col("tie"))
+        part = F.size(F.filter(F.array(*bounds), lambda c: c <= own)).cast("int")
     rows = rows.withColumn("part", part)
     firsts = sorted(((r["part"], r["one"]) for r in rows.select("part", "doc_id", "tie").groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("one")).collect()), key=lambda r: r[0])
     if not firsts:
