@@ -39,7 +39,9 @@ from trenchline.llm.words import gather_ranges, lengths_to_offsets, mix, pieces,
 SPACE = "▁"
 BASE = np.uint64(0x100000001B3 | 1 << 61)
 #: bytes of text whose lattices are in memory at once
-TEXT_BYTES = 3 << 20
+TEXT_BYTES = 1 << 20
+#: edges of lattices that a worker keeps for later texts (about 50 bytes each)
+KNOWN_EDGES = 2_000_000
 #: chains or characters below which steps are taken one by one, not as arrays (very long words)
 FEW = 4
 
@@ -305,11 +307,49 @@ class Path:
         self.g, self.log_p, self.excluded, self.prefix = g, log_p, excluded, prefix
 
 
-def sample_texts(texts: list[str], keys: np.ndarray, k: int, vocab: Vocabulary) -> list[list[tuple[np.ndarray, float, float, float]]]:
+class Known:
+    """The chunks of a worker's texts with their lattices, which later texts share.
+
+    Lattices stand one after the other in buffers.  Those of a batch's new
+    chunks are put behind the known ones; they become known up to
+    ``KNOWN_EDGES`` edges, and are written over by the next batch beyond that."""
+
+    def __init__(self):
+        self.numbers, self.chars, self.edges = Numbers(), 0, 0
+        self.buffers: dict[str, np.ndarray] = {}
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> np.ndarray:
+        end = at + len(values)
+        held = self.buffers.get(name)
+        if held is None or len(held) < end:
+            grown = np.empty(end + end // 4, values.dtype)
+            if held is not None:
+                grown[:at] = held[:at]
+            self.buffers[name] = held = grown
+        held[at:end] = values
+        return held[:end]
+
+    def cover(self, texts: list[str], vocab: Vocabulary) -> tuple[list[np.ndarray], Lattice]:
+        """The chunk numbers of each text, and the lattices that the numbers stand for (until the next call)."""
+        chunk_of = Numbers(self.numbers)
+        lists = [np.fromiter(map(chunk_of.__getitem__, chunks(t)), np.int64) for t in texts]
+        n, chars, edges = len(self.numbers), self.chars, self.edges
+        new, every = Lattice(list(chunk_of)[n:], vocab), Lattice.__new__(Lattice)
+        every.first = self._put("first", n, new.first + chars)
+        every.end = self._put("end", chars, new.end + chars)
+        every.begin = self._put("begin", chars, new.begin + edges)
+        for name in ("to", "start", "key"):
+            setattr(every, name, self._put(name, edges, getattr(new, name) + chars))
+        for name in ("alone", "piece", "done", "log_p", "last"):
+            setattr(every, name, self._put(name, edges, getattr(new, name)))
+        if edges + len(new.piece) <= KNOWN_EDGES:
+            self.numbers, self.chars, self.edges = chunk_of, chars + len(new.end), edges + len(new.piece)
+        return lists, every
+
+
+def sample_texts(texts: list[str], keys: np.ndarray, k: int, vocab: Vocabulary, known: Known | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k (edges' pieces, log p, perturbed value, inclusion score), best first."""
-    chunk_of = Numbers()
-    lists = [np.fromiter(map(chunk_of.__getitem__, chunks(t)), np.int64) for t in texts]
-    lattice = Lattice(list(chunk_of), vocab)
+    lists, lattice = (known or Known()).cover(texts, vocab)
     n = len(texts)
     sizes = np.array([len(x) for x in lists], np.int64)
     flat = np.concatenate([np.zeros(0, np.int64), *lists])
@@ -408,23 +448,39 @@ def chunks(text: str) -> list[str]:
 
 def piece_ids(piece: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     """Ids of lattice pieces; characters without a piece become their bytes."""
-    if (piece >= 0).all():
-        return piece.astype("<u4")
-    code = -piece
-    size = np.where(piece >= 0, 1, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
-    start = lengths_to_offsets(size)[:-1]
+    return all_ids([piece], vocab)[0]
+
+
+def all_ids(pieces_: list[np.ndarray], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all segmentations one after another, where each begins)."""
+    begin = lengths_to_offsets(np.array([len(p) for p in pieces_], np.int64))
+    piece = np.concatenate([np.zeros(0, np.int64), *pieces_])
+    bare = np.flatnonzero(piece < 0)
+    if not len(bare):
+        return piece.astype("<u4"), begin
+    size = np.ones(len(piece), np.int64)
+    code = -piece[bare]
+    size[bare] = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+    start = lengths_to_offsets(size)
     out = np.repeat(piece, size)
-    for x in np.unique(code[piece < 0]).tolist():
-        at = start[code == x]
+    for x in np.unique(code).tolist():
+        at = start[:-1][bare[code == x]]
         for k, byte in enumerate(chr(x).encode("utf-8")):
             out[at + k] = vocab.byte_id[byte]
-    return out.astype("<u4")
+    return out.astype("<u4"), start[begin]
+
+
+def all_bytes(ids: np.ndarray, begin: np.ndarray, vocab: Vocabulary) -> tuple[bytes, list[int]]:
+    """(the UTF-8 text of all segmentations, each with the space in front, and where each begins)."""
+    size = vocab.bytes_size[ids]
+    at = gather_ranges(vocab.bytes_at[ids], size)
+    return vocab.all_bytes[at].tobytes(), lengths_to_offsets(size)[begin].tolist()
 
 
 def decode(ids: np.ndarray, vocab: Vocabulary) -> str:
     """The text that ids stand for (the space in front taken off)."""
-    at = gather_ranges(vocab.bytes_at[ids], vocab.bytes_size[ids])
-    return vocab.all_bytes[at].tobytes().decode("utf-8", "replace")[1:]
+    data, _ = all_bytes(ids, np.array([0, len(ids)]), vocab)
+    return data.decode("utf-8", "replace")[1:]
 
 
 SAMPLES = T.StructType(
@@ -449,15 +505,20 @@ def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 1.0, path:
     source = source.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
     def run(batches):
-        vocab = vocabulary(path, alpha)
+        vocab, known = vocabulary(path, alpha), Known()
         for batch in pieces(batches, limit=TEXT_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             keys = batch.column("row_key").to_numpy(zero_copy_only=False).view(np.uint64)
+            found = sample_texts(texts, keys, k, vocab, known)
+            ids, begin = all_ids([x[0] for samples in found for x in samples], vocab)
+            data, at = all_bytes(ids, begin, vocab)
+            coded, begin = memoryview(ids.tobytes()), begin.tolist()
             rows: list[tuple] = []
-            for doc_id, text, samples in zip(batch.column("doc_id").to_pylist(), texts, sample_texts(texts, keys, k, vocab)):
-                for i, (piece, log_p, g, inclusion) in enumerate(samples):
-                    ids = piece_ids(piece, vocab)
-                    rows.append((doc_id, i, len(ids), log_p, g, inclusion, ids.tobytes(), decode(ids, vocab) == text))
+            for doc_id, text, samples in zip(batch.column("doc_id").to_pylist(), texts, found):
+                said = text.encode()
+                for i, (_, log_p, g, inclusion) in enumerate(samples):
+                    n = len(rows)
+                    rows.append((doc_id, i, begin[n + 1] - begin[n], log_p, g, inclusion, bytes(coded[4 * begin[n] : 4 * begin[n + 1]]), data[at[n] + 1 : at[n + 1]] == said))
             kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.float64()] * 3, pa.binary(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=SAMPLES.names)
 
