@@ -3,7 +3,6 @@
 import pytest
 
 from trenchline.operators import normalize, table
-from trenchline.plans import jobs
 from trenchline.session import scratch_path
 from trenchline.sources import files, fixtures
 
@@ -71,11 +70,3 @@ def test_stream_reads_by_header(spark, permits_small):
     blank = {"": None}
     assert got.count() == want.count()
     assert got.exceptAll(want.replace(blank)).count() == 0
-
-
-def test_refresh_reads_the_feed_once(spark, permits_small):
-    base = scratch_path(spark, "csv-once")
-    files.write_csv(fixtures.raw_feed(permits_small, "csv"), f"{base}/bulk")
-    t = table.PermitTable(spark, f"{base}/table")
-    assert jobs.full_refresh_job(spark, t, f"{base}/bulk", now="2024-01-01 00:00:00") == 1
-    assert t.read().count() == permits_small.count()

@@ -215,6 +215,21 @@ def test_one_day_reads_one_month_in_day_order(spark):
     assert t.recent(as_of="2024-02-05", days=10).count() == sum(r[1] >= "2024-01-26" for r in rows)
 
 
+def test_a_day_skips_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(table, "ROW_GROUP_BYTES", 2048)
+    t = table.PermitTable(spark, scratch_path(spark, "groups"))
+    rows = [(f"T{i}", f"2024-01-{i * 5 % 28 + 1:02d}", "x" * 20, 1) for i in range(6000)]
+    table.full_refresh(t, month_rows(spark, rows), now="2024-01-01 00:00:00")
+    day = t.read(start="2024-01-10", end="2024-01-10")
+    got = day.collect()
+    plan = day._jdf.queryExecution().executedPlan()
+    if plan.nodeName().startswith("Adaptive"):
+        plan = plan.executedPlan()
+    leaf = plan.collectLeaves().apply(0)
+    scanned = leaf.metrics().get("numOutputRows").get().value()
+    assert len(got) == sum(r[1] == "2024-01-10" for r in rows) and len(got) <= scanned < len(rows) / 4
+
+
 def test_day_counts_follow_the_touched_months(spark):
     from trenchline.operators import daily, day_counts
 

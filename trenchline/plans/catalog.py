@@ -85,3 +85,4 @@ from trenchline.plans import queries_rankings  # noqa: E402,F401
 from trenchline.plans import queries_table  # noqa: E402,F401
 from trenchline.plans import queries_text  # noqa: E402,F401
 from trenchline.plans import queries_quality  # noqa: E402,F401
+from trenchline.plans import queries_jobs  # noqa: E402,F401

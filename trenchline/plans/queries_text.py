@@ -220,7 +220,7 @@ def q_page_label_value(spark, sf):
     return pages.page_fields(table(spark, sf, "pages").withColumn("html", rows))
 
 
-def _card_text_sql() -> str:
+def card_text_sql(locations: str = f"select cast(page_id as varchar) as dig_ticket_number, coalesce(location_of_dig, title) as location from ({PAGE_FIELDS_SQL}) pf") -> str:
     loc_head = sql_str(Said.CARD_LOCATION)
     room = f"(available - {len(Said.CARD_LOCATION) + len(Said.CARD_ELLIPSIS) + 1})"
     return with_permits(
@@ -246,12 +246,11 @@ from (
                case when c.is_emergency then {sql_str(Said.CARD_EMERGENCY)} else '' end as permit
       from cards c left join loc l on l.dig_ticket_number = c.dig_ticket_number) a) b) t""",
         f"""cards as ({CARD_SQL}),
-loc as (select cast(page_id as varchar) as dig_ticket_number, coalesce(location_of_dig, title) as location
-        from ({PAGE_FIELDS_SQL}) pf)""",
+loc as ({locations})""",
     )
 
 
-@register("permit_card_text", _card_text_sql())
+@register("permit_card_text", card_text_sql())
 def q_permit_card_text(spark, sf):
     """T4/T5: the 300-character permit post of every permit and the byte span
     of its '#ticket' link.  The dig location comes from the stored page of
