@@ -17,7 +17,9 @@
 Null or empty text: no shingles, no links, a class of its own.  A text of
 fewer than n words has one shingle, its whole word sequence.  Repeated rows
 are copies of each other.  Rows with a null doc_id belong to classes like any
-other; the class id is the least non-null doc_id of the class.
+other; the class id is the least non-null doc_id of the class.  A very long
+text is one set like any other.  An empty table gives no rows.  Only doc_id
+and text are read; ``keep_one`` gives all columns back, whatever their names.
 """
 
 from __future__ import annotations

@@ -22,7 +22,9 @@ limit.
 
 Null text: no words, the end token alone.  Repeated rows are scored alike and
 count each time in training.  A null doc_id counts as the empty string in the
-fold rule.  With no training rows every token has probability 1 / 1.
+fold rule.  With no training rows every token has probability 1 / 1.  A very
+long text is a block of its own and is scored whole.  An empty table gives no
+rows.  Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

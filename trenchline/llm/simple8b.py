@@ -10,6 +10,10 @@ A file row ("chunk") holds whole documents: their ids and lengths, the coded
 words, block offsets and escapes.  Rows are written in ascending doc_id order
 by range partition through Spark's committer, so a lost task leaves nothing
 behind.
+
+Null or empty text: the end id alone.  Null ids come first; rows of equal id
+are documents of their own and follow by text.  A very long text is one chunk.  An empty table gives files without rows.  Only doc_id and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ overlapping windows; the overlap is far longer than the chain's memory.
 
 Inputs of a score: the text alone.  Null or empty text: no tokens, no spans,
 the score of a text without toxic mass.  No labelled rows, or none toxic:
-every score is the prior.  Repeated rows get equal scores.
+every score is the prior.  Repeated rows get equal scores.  An empty table
+gives no rows.  Input columns named like an output column (toxic_score,
+toxic_spans) give way to it.
 """
 
 from __future__ import annotations
