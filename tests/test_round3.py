@@ -106,6 +106,9 @@ def test_empty_runs_in_batch_and_stream(spark, seed):
     df = spark.createDataFrame(log, "batch_ts timestamp_ntz, rows bigint")
     want = brute_runs(log, 3)
     assert {tuple(r) for r in ingest_log.empty_batch_runs(df.repartition(3)).collect()} == want
+    at_end = [r for r in want if r[1] == max(ts for ts, _ in log)] if max(log, key=lambda r: (r[0], r[1]))[1] == 0 else []
+    now = ingest_log.current_empty_run(df).first()
+    assert (now.empty_batches, now.alert) == ((at_end[0][2], at_end[0][3]) if at_end else (0, False))
     if seed > 1:
         return
     from trenchline.streaming import no_data

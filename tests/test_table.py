@@ -207,7 +207,7 @@ def test_one_day_reads_one_month_in_day_order(spark):
     assert day.count() == sum(r[1] == "2024-02-10" for r in rows)
     assert all("_month=2024-02" in f for f in day.inputFiles())
     plan = day._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(dig_date), GreaterThanOrEqual(dig_date" in plan
+    assert "PushedFilters" in plan and "Or(IsNull(_day)," in plan
     for f in spark.read.parquet(f"{t.root}/{t.months()['2024-02'][0]}").inputFiles():
         got = [r.dig_date for r in spark.read.parquet(f).select("dig_date").coalesce(1).collect()]
         assert got == sorted(got)
@@ -265,6 +265,9 @@ def test_feeds_that_cannot_be_read_fail(spark, tmp_path):
     log = scratch_path(spark, "log")
     out = jobs.daily_update(spark, t, str(tmp_path / "empty.json"), day="2024-01-02", min_rows=1, multi_line=True, log_path=log)
     assert out.version is None and spark.read.parquet(log).first().rows == 0
+    for _ in range(2):
+        out = jobs.daily_update(spark, t, str(tmp_path / "empty.json"), day="2024-01-02", min_rows=1, multi_line=True, log_path=log)
+    assert tuple(out.no_data.first()) == (3, True)  # warns at the third
 
 
 def test_rows_without_a_day_belong_to_no_day(spark):

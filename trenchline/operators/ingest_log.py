@@ -77,6 +77,14 @@ def empty_batch_runs(log: DataFrame, threshold: int = CONSECUTIVE_EMPTY_THRESHOL
     return runs.select("run_start", "run_end", "empty_batches", (F.col("empty_batches") >= threshold).alias("alert"), "first_alert_at")
 
 
+def current_empty_run(log: DataFrame, threshold: int = CONSECUTIVE_EMPTY_THRESHOLD, ts: str = "batch_ts") -> DataFrame:
+    """The no-data counter: one row ``empty_batches, alert`` for the fetches
+    since the last one with rows (two small aggregates, no window)."""
+    last = log.select(F.max(F.when(F.col("rows") > 0, F.col(ts)))).scalar()
+    since = log.where(F.col(ts).isNotNull() & (last.isNull() | (F.col(ts) > last)))
+    return since.agg(F.count(F.lit(1)).alias("empty_batches")).withColumn("alert", F.col("empty_batches") >= threshold)
+
+
 def events_by_local_day(events: DataFrame, flag_type: str = "error") -> DataFrame:
     """P1 for UTC instants: ``local_day, n_events, n_flagged`` in city time."""
     return events.groupBy(utc_instant_local_day("ts").alias("local_day")).agg(

@@ -63,6 +63,8 @@ def rename_new(spark: SparkSession, source: str, target: str) -> bool:
 
 MONTH = "_month"
 NO_MONTH = "none"
+#: the dig day beside each stored row, for skipping row groups; not a column of the table
+DAY = "_day"
 #: a day of a month falls into few row groups of this size
 ROW_GROUP_BYTES = 32 << 20
 
@@ -122,9 +124,20 @@ class PermitTable:
         if end is not None:
             names = [m for m in names if m != NO_MONTH and m <= str(end)[:7]]
         paths = [f"{self.root}/{f}" for m in names for f in found["months"][m]]
-        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         days = day_range_filter("dig_date", start, end)
-        return rows if days is None else rows.where(days)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        if days is None:
+            return self.spark.read.schema(schema).parquet(*paths)
+        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField(DAY, T.DateType())])).parquet(*paths)
+        # ranges of dates reach the row groups' statistics, those of TIMESTAMP_NTZ do not;
+        # null: a file without the column
+        skip = F.lit(True)
+        if start is not None:
+            skip = skip & (F.col(DAY) >= as_date(start))
+        if end is not None:
+            skip = skip & (F.col(DAY) <= as_date(end))
+        return rows.where(F.col(DAY).isNull() | skip).where(days).drop(DAY)
 
     def recent(self, as_of=None, days: int = 30, version: int | None = None) -> DataFrame:
         """K5 on the stored table: only months that can hold such rows are read.
@@ -144,7 +157,11 @@ class PermitTable:
         # few files per month; AQE splits a month that is too large for one task.
         # The writer sorts by month anyway, so the day order costs no second sort
         by_month = df.withColumn(MONTH, month_of(df)).hint("rebalance", MONTH)
-        by_day = by_month.sortWithinPartitions(MONTH, "dig_date") if "dig_date" in df.columns else by_month
+        by_day = by_month
+        if "dig_date" in df.columns:
+            kind = df.schema["dig_date"].dataType
+            day = F.to_date("dig_date") if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.lit(None).cast("date")
+            by_day = by_month.withColumn(DAY, day).sortWithinPartitions(MONTH, "dig_date")
         write_parquet(by_day, f"{self.root}/{folder}", [MONTH], {"parquet.block.size": ROW_GROUP_BYTES})
         fs, p = _fs(self.spark, f"{self.root}/{folder}")
         names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]

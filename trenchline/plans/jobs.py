@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trenchline.operators import cards, daily, day_counts, geo, normalize, pages, quality, rankings, sampling, table
+from trenchline.operators import cards, daily, day_counts, geo, ingest_log, normalize, pages, quality, rankings, sampling, table
 from trenchline.sources import files
 from trenchline.streaming import ingest
 
@@ -30,6 +30,7 @@ class DailyOutputs:
     report_text: DataFrame
     leaderboard_text: DataFrame
     points: DataFrame
+    no_data: DataFrame | None  # the counter of empty fetches, if there is a log
 
 
 def daily_update(
@@ -85,6 +86,7 @@ def daily_update(
         report_text=cards.report_texts(comparison),
         leaderboard_text=cards.leaderboard_texts(by_day),
         points=geo.map_points(merged),
+        no_data=None if log_path is None else ingest_log.current_empty_run(ingest.read_fetch_log(spark, log_path, family)),
     )
 
 

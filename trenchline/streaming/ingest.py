@@ -107,11 +107,13 @@ def start_ingest(
     return writer.start()
 
 
-def read_fetch_log(spark: SparkSession, log_path: str) -> DataFrame:
-    """The fetch log as ``batch_ts, rows`` (input of ``empty_batch_runs``)."""
+def read_fetch_log(spark: SparkSession, log_path: str, feed: str | None = None) -> DataFrame:
+    """The fetch log as ``batch_ts, rows`` (input of ``empty_batch_runs``), of one feed if named."""
     log = _read_log(spark, log_path)
     if log is None:
         return spark.createDataFrame([], "batch_ts timestamp_ntz, rows bigint")
+    if feed is not None:
+        log = log.where(F.col("feed").isNull() | (F.col("feed") == feed))
     return log.select("batch_ts", "rows")
 
 
