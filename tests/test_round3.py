@@ -31,6 +31,9 @@ def test_profile_values_is_one_exact_scan(spark):
     got = [tuple(r) for r in quality.profile_values(df).orderBy("column_name", "rank").collect()]
     assert got == [("a b", "false", 500, 1), ("a b", "true", 500, 2)] + [("ten", f"k{i}", 100, i + 1) for i in range(5)]
     assert quality.profile_values(df.where("false")).count() == 0
+    # a column whose many values come after the peek, and one with both zeros
+    late = spark.range(5000).select(F.greatest(F.col("id") - 1500, F.lit(0)).alias("late"), F.when(F.col("id") % 2 == 0, -0.0).otherwise(F.col("id") % 10 * 1.0).alias("zeros")).coalesce(1)
+    assert {r.column_name for r in quality.profile_values(late).collect()} == {"zeros"}
     assert plan_of(quality.profile_values(df)).count("Scan") == 1 and "approx" not in plan_of(quality.profile_values(df))
 
 

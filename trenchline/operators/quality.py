@@ -16,6 +16,8 @@ MIN_ROWS_FULL_REFRESH = 100
 MIN_ROWS_DAILY_UPDATE = 10
 PROFILE_MAX_DISTINCT = 10
 PROFILE_TOP_VALUES = 5
+#: rows looked at to leave out columns that have too many values for certain
+PEEK_ROWS = 1000
 
 
 class DataValidationError(RuntimeError):
@@ -126,14 +128,19 @@ def profile_values(df: DataFrame, max_distinct: int = PROFILE_MAX_DISTINCT, top:
     ``max_distinct`` distinct non-null values -> ``column_name, value,
     frequency, rank`` (values as text).
 
-    Exact, in one scan: grouping sets with one set for each column.  Every
-    task counts the values it sees before the shuffle, so a column of few
-    values sends a handful of rows; the values of other columns are counted
-    to the end too, but no column is gathered in one task: of each column
-    only the ``max_distinct`` + 1 commonest values leave a task, and one row
-    too many tells that the column has more.
+    Exact, in one scan: grouping sets with one set for each column.  Columns
+    that show more than ``max_distinct`` values in the first ``PEEK_ROWS``
+    rows have too many for certain and are not counted (a head of the table,
+    a hash for each value).  Every task counts the values it sees before the
+    shuffle, so a column of few values sends a handful of rows; of a column
+    that has many after all only the ``max_distinct`` + 1 commonest values
+    leave a task, and one row too many tells.
     """
-    cols = df.columns
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    # 0.0 and -0.0 are one value
+    plain = [F.col(f"`{c}`") + F.lit(0.0) if kinds[c] in ("double", "float") else F.col(f"`{c}`") for c in df.columns]
+    peek = df.select([F.when(v.isNotNull(), F.xxhash64(v)).alias(f"_h{i}") for i, v in enumerate(plain)]).head(PEEK_ROWS)
+    cols = [c for i, c in enumerate(df.columns) if len({r[i] for r in peek} - {None}) <= max_distinct]
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, value string, frequency bigint, rank bigint")
     # names of its own for every column, so that no name clashes with those made here

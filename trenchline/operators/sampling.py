@@ -38,7 +38,8 @@ def sample_permits(permits: DataFrame, k: int = 1, seed: int = 42) -> DataFrame:
     p = dated.select(local_day("dig_date").alias("day"), "dig_ticket_number", priority(seed).alias("_p"))
     if k == 1:
         least = p.groupBy("day").agg(F.min("_p").alias("_p"))
-        p = p.join(least, ["day", "_p"])
+        # one row per calendar day, so at most 3.7 million rows of two numbers whatever the table
+        p = p.join(F.broadcast(least), ["day", "_p"])
     return _first(p, k, "_p", "dig_ticket_number").select("day", "rank", "dig_ticket_number")
 
 
