@@ -31,3 +31,33 @@ def test_stream_equals_batch_and_logs_batches(spark, permits_small):
     assert streamed.exceptAll(want).count() == 0 and want.exceptAll(streamed).count() == 0
     log = read_fetch_log(spark, f"{base}/log").collect()
     assert len(log) == 2 and all(r.rows > 0 for r in log)
+
+
+def test_stream_ingest_lands_its_feed_in_bounded_tasks(spark, monkeypatch):
+    """However large the feed is against a task's share, more tasks land it, still for three micro-batches."""
+    from trenchline.plans import catalog, queries_table  # noqa: F401  the catalog loads first
+
+    base = scratch_path(spark, "stream-size")
+    monkeypatch.setattr(queries_table, "scratch_path", lambda spark, name: base)
+    sizes = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    for size in sizes:
+        spark.conf.set(size, "8k")
+    try:
+        got = queries_table.q_stream_ingest(spark, "/root/testdata/sf0.001")
+        want = queries_table.q_normalize(spark, "/root/testdata/sf0.001").select(*PERMIT_COLUMNS)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    finally:
+        for size in sizes:
+            spark.conf.unset(size)
+    landed = spark.read.text(f"{base}/landing/*").groupBy(F.input_file_name().alias("file")).count().collect()
+    assert len(landed) >= 18 and max(r["count"] for r in landed) * 12 < want.count()
+    log = read_fetch_log(spark, f"{base}/log").collect()
+    assert len(log) == 3 and sum(r.rows for r in log) == want.count() and min(r.rows for r in log) > 0
+
+
+def test_a_feed_of_few_rows_has_its_shares(spark):
+    base = scratch_path(spark, "shares")
+    assert files.write_json_shares(spark.range(40).coalesce(1), f"{base}/few", 3) * 3 == len(spark.read.text(f"{base}/few/*").select(F.input_file_name()).distinct().collect())
+    assert files.write_json_shares(spark.range(1), f"{base}/one", 3) == 1
+    assert files.write_json_shares(spark.range(0), f"{base}/none", 3) == 1
+    assert spark.read.schema("id long").json(f"{base}/few/*").agg(F.sum("id")).first()[0] == 780

@@ -201,16 +201,16 @@ def q_overlap_window(spark, sf):
 
 @register("stream_ingest", WITH_BAD_VALUES_SQL, stamps=PERMIT_STAMPS)
 def q_stream_ingest(spark, sf):
-    """The API feed landed as three JSON Lines files, ingested by the
-    streaming job one file per micro-batch (conform -> merge by ticket ->
+    """The API feed landed as three shares of JSON Lines files, ingested by
+    the streaming job one share per micro-batch (conform -> merge by ticket ->
     new table version); the final table version."""
     from trenchline.schema import PERMIT_COLUMNS
     from trenchline.streaming.ingest import fixed_clock, start_ingest
 
     base = scratch_path(spark, "stream")
-    files.write_json_lines(fixtures.raw_feed(permits(spark, sf), "api").repartition(3), f"{base}/landing")
+    share = files.write_json_shares(fixtures.raw_feed(permits(spark, sf), "api"), f"{base}/landing", 3)
     t = table.PermitTable(spark, f"{base}/table")
-    q = start_ingest(spark, f"{base}/landing", t, f"{base}/checkpoint", f"{base}/log", files_per_batch=1, clock=fixed_clock(T1))
+    q = start_ingest(spark, f"{base}/landing/_share=*", t, f"{base}/checkpoint", f"{base}/log", files_per_batch=share, clock=fixed_clock(T1))
     q.awaitTermination()
     return t.read().select(*PERMIT_COLUMNS)
 

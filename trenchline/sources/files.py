@@ -182,6 +182,20 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+def write_json_shares(df: DataFrame, path: str, shares: int) -> int:
+    """Deal the rows of ``df`` to ``shares`` folders of JSON Lines files
+    (``_share=0``, ...) under ``path``; returns how many files are one share.
+
+    A task gets as many rows as AQE advises, however large the feed is, and
+    writes one file for every share, so a small feed has all its shares too."""
+    spark = df.sparkSession
+    dealt = df.hint("rebalance").withColumn("_share", F.pmod(F.monotonically_increasing_id(), F.lit(shares)))
+    dealt.write.mode("errorifexists").partitionBy("_share").json(path)
+    written = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_share=*/*.json")
+    n = len(written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(written) or [])
+    return max(1, -(-n // shares))
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, options: dict | None = None) -> None:
     """K1: snappy Parquet; never overwrites (new data goes to a new path)."""
     w = df.write.mode("errorifexists").option("compression", "snappy").options(**(options or {}))
