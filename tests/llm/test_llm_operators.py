@@ -353,3 +353,47 @@ def test_sampled_segmentations(docs, empty, rows):
         assert abs(first[tuple(ids.tolist())] / n - math.exp(log_p)) < 0.04
     assert abs(np.mean([sum(math.exp(x[1]) / x[3] for x in p) for p in paths]) - 1) < 0.05 and len(lattice.piece)
     assert sample_segmentations(empty).count() == 0
+
+
+def test_word_encoder_encodes_a_word_with_marks_once(whole, monkeypatch):
+    """Marks behind a letter and batches that follow bring no further work of the library."""
+    import pyarrow as pa
+
+    from trenchline.llm import tokens
+
+    enc, done = tokens.WordEncoder(tokens.default_path()), []
+    encode = enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda part: done.append(part) or encode(part))
+    texts = ["straße straße, straße. ÉTÉ!! été é, Ab ab*** 12, ,, it's it's, a'. İx, ǆ; " + "x" * 400 + ")", None, "", ", été",
+             "é, ͅ! ﬁn. 日本, 1a) ẞ? <|endoftext|>, Σας."]
+    for batch in (texts, texts[::-1], [], [None], ["ab"]):
+        offsets, ids = enc.encode(pa.array(batch, pa.string()), 1)
+        want = [whole(t) + [1] for t in batch]
+        assert np.diff(offsets).tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        large = enc.encode(pa.array(["no", *batch, "no"], pa.large_string()).slice(1, len(batch)), 1)
+        assert large[0].tolist() == offsets.tolist() and large[1].tolist() == ids.tolist()
+    assert len(done) == len(set(done)) and {"straße", "été", "ab"} <= set(done) and not {"straße,", "été!!", "ab***"} & set(done)
+    enc.forget()
+    assert enc.encode(pa.array(["ab, ab"]), 1)[1].tolist() == whole("ab, ab") + [1]
+
+
+def test_simple8b_words_are_greedy_in_every_block():
+    """Each word takes the most ids that fit from where it begins, and blocks begin words of their own."""
+    from trenchline.llm.simple8b import BITS, BLOCK, COUNTS, decode, encode
+
+    rng = np.random.default_rng(3)
+    for n, top in ((1, 16), (1023, 8), (1025, 2), (5000, 16), (3000, 33), (2500, 64)):
+        values = rng.integers(0, 1 << 63, n, dtype=np.uint64) >> (63 - rng.integers(0, top, n)).astype(np.uint64)
+        values[rng.integers(0, n, 3)] = (1 << min(top, 64)) - 1
+        words, first, escapes = encode(values)
+        assert (decode(words, first, escapes, n) == values).all()
+        want, begins = [], []
+        for a in range(0, n, BLOCK):
+            block = [int(v) for v in values[a : a + BLOCK]]
+            begins.append(len(want))
+            while block:
+                fit = [s for s in range(1, 16) if all(v < 1 << int(BITS[s]) for v in block[: COUNTS[s]])]
+                s = fit[0] if fit else 0
+                want.append((s << 60) | (sum(v << (k * int(BITS[s])) for k, v in enumerate(block[: COUNTS[s]])) if s else 0))
+                block = block[COUNTS[s] :]
+        assert words.tolist() == want and first.tolist() == begins

@@ -34,6 +34,8 @@ COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 LIMITS = np.array([1 << int(b) for b in BITS[1:]], np.uint64)  # a value below LIMITS[s - 1] fits selector s
 PAD = 128
+SMALL = 1 << 16
+NEED = (np.searchsorted(LIMITS, np.arange(SMALL, dtype=np.uint64), side="right") + 1).astype(np.uint8)  # by value, for small ones
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,7 +48,8 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[:n] = values
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    need = (np.searchsorted(LIMITS, grid, side="right") + 1).astype(np.uint8)  # least selector that holds the value; 16: escape
+    # least selector that holds the value; 16: escape
+    need = NEED[grid.astype(np.uint16)] if flat.max() < SMALL else (np.searchsorted(LIMITS, grid, side="right") + 1).astype(np.uint8)
     tables, span = {1: need}, 1
     while span * 2 <= 120:
         last = tables[span]
@@ -60,27 +63,28 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         span = 1 << (count.bit_length() - 1)
         table = tables[span]
         fits = np.maximum(table[:, :BLOCK], table[:, count - span : count - span + BLOCK]) <= s
-        choice[fits] = s
-    used = np.full(blocks, BLOCK)
-    used[-1] = n - (blocks - 1) * BLOCK
-    row, at = np.arange(blocks), np.zeros(blocks, np.int64)
-    rows, starts, selectors = [], [], []
-    while len(row):
-        s = choice[row, at]
-        rows.append(row), starts.append(at), selectors.append(s)
-        at = at + COUNTS[s]
-        alive = at < used[row]
-        row, at = row[alive], at[alive]
-    rows, starts, selectors = np.concatenate(rows), np.concatenate(starts), np.concatenate(selectors)
-    order = np.argsort(rows, kind="stable")
-    rows, starts, selectors = rows[order], starts[order], selectors[order]
+        if fits.any():
+            choice[fits] = s
+    choice = choice.ravel()
+    at = np.arange(blocks) * BLOCK
+    end = np.minimum(at + BLOCK, n)
+    begins = np.zeros(blocks * BLOCK, bool)  # where a word begins: each block is walked from its start, all at once
+    while len(at):
+        begins[at] = True
+        at = at + COUNTS[choice[at]]
+        alive = at < end
+        at, end = at[alive], end[alive]
+    starts = np.flatnonzero(begins)
+    selectors, rows = choice[starts], starts // BLOCK
     words = selectors.astype(np.uint64) << np.uint64(60)
-    base, plain = rows * (BLOCK + PAD) + starts, grid.ravel()
+    base, plain = starts + rows * PAD, grid.ravel()
     for s in range(2, 16):
         mine = np.flatnonzero(selectors == s)
         if len(mine):
-            shift = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-            words[mine] |= np.bitwise_or.reduce(plain[base[mine][:, None] + np.arange(COUNTS[s])] << shift, axis=1)
+            first, word = base[mine], words[mine]
+            for k in range(COUNTS[s]):
+                word |= plain[first + k] << np.uint64(k * BITS[s])
+            words[mine] = word
     escapes = plain[base[selectors == 0]]
     return words, np.searchsorted(rows, np.arange(blocks)).astype(np.uint32), escapes
 
